@@ -21,7 +21,7 @@ def series_steps(df: DataFrame, series_col: str = "series", order: tuple[str, ..
 def running_mean(df: DataFrame, keys: tuple[str, ...] = ("series", "epoch"), step_col: str = "step", value_col: str = "value") -> DataFrame:
     """Mean of the values so far within each key (an epoch in the key is the meter's reset)."""
     out = segmented_scan(df, list(keys), [step_col], {"_s": ("sum", value_col, True), "_n": ("count", value_col, True)})
-    return out.withColumn("running_mean", F.col("_s") / F.col("_n")).drop("_s", "_n")
+    return out.withColumn("running_mean", F.col("_s") / F.col("_n"))
 
 
 def epoch_values(df: DataFrame, series_col: str = "series", epoch_col: str = "epoch", value_col: str = "value") -> DataFrame:

@@ -103,8 +103,10 @@ def segmented_scan(
     names = list(scans) + (["rn"] if row_number_col else [])
     fns = {name: scans[name][0] for name in scans}
     fns["rn"] = "count"
+    # totals of earlier ranges: counts and sums add up, max/min combine as themselves
+    merge = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
     offsets = totals.select(
-        _PID, *partition_by, *[_AGG[fns[n]](f"_tot_{n}").over(earlier).alias(f"_before_{n}") for n in names]
+        _PID, *partition_by, *[merge[fns[n]](f"_tot_{n}").over(earlier).alias(f"_before_{n}") for n in names]
     )
     # at most one row per (range, group): no larger than the group table plus the range count
     out = local.join(offsets, [_PID, *partition_by])

@@ -87,7 +87,7 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Metric series from events: (series, epoch, step, ts, event_id, value)."""
     ev = table(spark, sf, "events").select(
         F.col("event_type").alias("series"),
-        (F.dayofmonth("ts") - 1).alias("epoch"),
+        (F.dayofmonth("ts") - 1).cast("bigint").alias("epoch"),
         "ts",
         "event_id",
         (F.col("value") / 100).alias("value"),
