@@ -1 +1,250 @@
-"""(filled in below)"""
+"""Queries: tokens, vocabulary, dictionary, encoding, padding, word vectors (R1–R5, D2–D6, E6–E9, W5,
+U2, U3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from commentlab.functions import math as X
+from commentlab.functions import text as T
+from commentlab.operators import sequence as S
+from commentlab.operators import vocab as V
+from commentlab.plans import fixtures as fx
+from commentlab.plans.fixtures import duck_lit, with_views
+from commentlab.plans.q_text import sql_clean_tokens, sql_word_punct
+from commentlab.plans.registry import r6, register
+from commentlab.sources.tables import table
+
+SEQ_LEN = 200  # the reference's max_seq_len
+PAD_ID, UNK_ID = 1, 0
+
+VOCAB_VIEWS = {
+    "encoded": (
+        f"SELECT t.id, t.pos, CAST(coalesce(v.id, {UNK_ID}) AS BIGINT) AS token_id FROM tokens t LEFT JOIN vocab v ON t.token = v.token",
+        ("tokens", "vocab"),
+    ),
+    "seqs": (f"SELECT id, list(token_id ORDER BY pos) AS l FROM encoded WHERE pos < {SEQ_LEN} GROUP BY id", ("encoded",)),
+    "matrix": (
+        "SELECT v.id, v.token, w.token IS NOT NULL AS found, "
+        f"coalesce(CAST(w.vec AS DOUBLE[]), list_resize(CAST([] AS DOUBLE[]), {fx.DIM}, 0.0)) AS vec "
+        "FROM vocab v LEFT JOIN word_vectors w ON v.token = w.token",
+        ("vocab", "word_vectors"),
+    ),
+    "seq_vectors": (
+        "SELECT e.id, e.pos, e.token_id, m.vec FROM encoded e JOIN matrix m ON e.token_id = m.id",
+        ("encoded", "matrix"),
+    ),
+}
+
+
+def vsql(final: str, *names: str) -> str:
+    return with_views(final, *names, extra=VOCAB_VIEWS)
+
+
+def _vec_sum_sql(x: str) -> str:
+    return f"round(list_sum(CAST({x} AS DOUBLE[])), 6)"
+
+
+def _vec_norm_sql(x: str) -> str:
+    return f"round(sqrt(list_sum(list_transform(CAST({x} AS DOUBLE[]), lambda v: v * v))), 6)"
+
+
+# ---- Spark building blocks shared by the vocabulary and feature queries
+
+
+class Corpus:
+    """Tokens, vocabulary, word vectors and encodings of one table folder, built once per query."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
+        self._tokens = self._vocab = self._vectors = self._matrix = None
+
+    @property
+    def tokens(self) -> DataFrame:
+        if self._tokens is None:
+            self._tokens = fx.tokens(self.spark, self.sf)
+        return self._tokens
+
+    @property
+    def vocab(self) -> DataFrame:
+        if self._vocab is None:
+            self._vocab = fx.vocab(self.spark, self.sf, self.tokens)
+        return self._vocab
+
+    @property
+    def vectors(self) -> DataFrame:
+        if self._vectors is None:
+            self._vectors = fx.word_vectors(self.spark, self.sf, self.tokens)
+        return self._vectors
+
+    @property
+    def matrix(self) -> DataFrame:
+        if self._matrix is None:
+            self._matrix = V.embedding_matrix(self.vocab, self.vectors, fx.DIM)
+        return self._matrix
+
+    def encoded(self) -> DataFrame:
+        return V.encode_tokens(self.tokens, self.vocab, UNK_ID)
+
+    def sequences(self) -> DataFrame:
+        return S.to_sequence(self.encoded(), max_len=SEQ_LEN)
+
+    def seq_vectors(self) -> DataFrame:
+        return S.sequence_vectors(self.encoded(), self.matrix)
+
+
+# ---- R1 / E8 / U2 / U3 / E6
+
+
+@register("token_positions", with_views("SELECT id, pos, token FROM tokens", "tokens"))
+def token_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every token with its position."""
+    return fx.tokens(spark, sf)
+
+
+@register("distinct_tokens", with_views("SELECT DISTINCT token FROM tokens", "tokens"))
+def distinct_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct union of the documents' token sets."""
+    return fx.tokens(spark, sf).select("token").distinct()
+
+
+@register(
+    "token_difference",
+    f"SELECT unnest({sql_word_punct('text')}) AS token FROM documents WHERE lang = 'en' "
+    f"EXCEPT SELECT unnest({sql_word_punct('text')}) AS token FROM documents WHERE lang <> 'en'",
+)
+def token_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of English documents that no other-language document uses (set difference)."""
+    d = table(spark, sf, "documents").select("lang", F.explode(T.word_punct_tokens("text")).alias("token"))
+    return d.where(F.col("lang") == "en").select("token").subtract(d.where(F.col("lang") != "en").select("token"))
+
+
+@register("max_seq_len", f"SELECT CAST(max(len({sql_word_punct('text')})) AS BIGINT) AS max_seq_len FROM documents")
+def max_seq_len(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest token sequence."""
+    d = table(spark, sf, "documents").select(T.word_punct_tokens("text").alias("t"))
+    return V.max_seq_len(d, "t")
+
+
+# ---- E7 / W5 / D2
+
+
+@register("vocab_min_freq", with_views("SELECT token, id, freq FROM vocab", "vocab"))
+def vocab_min_freq(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens counted at least 10 times; <unk>=0, <pad>=1, then frequency order."""
+    return Corpus(spark, sf).vocab.select("token", "id", "freq")
+
+
+_RESERVED_SQL = ", ".join(duck_lit(t) for t in V.RESERVED)
+
+
+@register(
+    "dictionary_ids",
+    "WITH ct AS (SELECT unnest(" + sql_clean_tokens("text") + ") AS token FROM documents), "
+    f"f AS (SELECT token, count(*) AS freq FROM ct WHERE token NOT IN ({_RESERVED_SQL}) GROUP BY token) "
+    f"SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, token) + {len(V.RESERVED)} AS BIGINT) AS id FROM f "
+    + " ".join(f"UNION ALL SELECT {duck_lit(t)}, CAST({i + 1} AS BIGINT)" for i, t in enumerate(V.RESERVED)),
+)
+def dictionary_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The dictionary of the cleaned tokens (T5): reserved tokens first, ids from 1."""
+    d = table(spark, sf, "documents").select(F.explode(T.clean_tokens("text")).alias("token"))
+    return V.dictionary_ids(d, start_id=1)
+
+
+@register("encode_tokens", vsql("SELECT id, pos, token_id FROM encoded", "encoded"))
+def encode_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Token -> id, <unk> for tokens outside the vocabulary."""
+    return Corpus(spark, sf).encoded().select("id", "pos", "token_id")
+
+
+# ---- R2 / R3 / R4 / R5
+
+
+@register("pad_right", vsql(f"SELECT id, array_to_string(list_resize(l, {SEQ_LEN}, {PAD_ID}), ',') AS seq FROM seqs", "seqs"))
+def pad_right(spark: SparkSession, sf: str) -> DataFrame:
+    """R2: truncate to 200 ids, pad on the right."""
+    s = S.padded(Corpus(spark, sf).sequences(), SEQ_LEN, PAD_ID, "right")
+    return s.select("id", F.array_join("padded", ",").alias("seq"))
+
+
+@register(
+    "pad_left",
+    vsql(
+        f"SELECT id, array_to_string(list_concat(list_resize(CAST([] AS BIGINT[]), {SEQ_LEN} - len(l), {PAD_ID}), l), ',') AS seq FROM seqs",
+        "seqs",
+    ),
+)
+def pad_left(spark: SparkSession, sf: str) -> DataFrame:
+    """Truncate to 200 ids, pad on the left."""
+    s = S.padded(Corpus(spark, sf).sequences(), SEQ_LEN, PAD_ID, "left")
+    return s.select("id", F.array_join("padded", ",").alias("seq"))
+
+
+@register(
+    "position_ids",
+    vsql(
+        f"SELECT id, array_to_string(list_transform(list_resize(l, {SEQ_LEN}, {PAD_ID}), lambda x, i: CASE WHEN x = {PAD_ID} THEN 0 ELSE i END), ',') AS positions FROM seqs",
+        "seqs",
+    ),
+)
+def position_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """i+1 on real tokens, 0 on padding, over the right-padded sequence."""
+    s = S.with_positions(S.padded(Corpus(spark, sf).sequences(), SEQ_LEN, PAD_ID, "right"), PAD_ID)
+    return s.select("id", F.array_join("positions", ",").alias("positions"))
+
+
+@register("one_hot_bag", vsql("SELECT DISTINCT id, token_id, 1 AS value FROM encoded", "encoded"))
+def one_hot_bag(spark: SparkSession, sf: str) -> DataFrame:
+    """Sparse binary bag of one-hots per document."""
+    return S.one_hot_bag(Corpus(spark, sf).encoded())
+
+
+# ---- D3 / D4 / D5 / D6 / E9
+
+
+@register(
+    "vectors_in_vocab",
+    vsql(f"SELECT token, {_vec_sum_sql('vec')} AS vec_sum FROM word_vectors WHERE token IN (SELECT token FROM vocab)", "vocab", "word_vectors"),
+)
+def vectors_in_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    """D3: word vectors whose token is in the vocabulary."""
+    c = Corpus(spark, sf)
+    return V.vectors_in_vocab(c.vectors, c.vocab).select("token", r6(X.array_sum("vec")).alias("vec_sum"))
+
+
+@register("oov_tokens", vsql("SELECT token FROM vocab WHERE token NOT IN (SELECT token FROM word_vectors)", "vocab", "word_vectors"))
+def oov_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Vocabulary tokens without a vector."""
+    c = Corpus(spark, sf)
+    return V.oov_tokens(c.vocab, c.vectors).select("token")
+
+
+@register(
+    "embedding_matrix",
+    vsql(f"SELECT id, token, found, {_vec_sum_sql('vec')} AS vec_sum, {_vec_norm_sql('vec')} AS vec_norm FROM matrix", "matrix"),
+)
+def embedding_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vocabulary id with its vector, zeros when missing."""
+    m = Corpus(spark, sf).matrix
+    return m.select("id", "token", "found", r6(X.array_sum("vec")).alias("vec_sum"), r6(X.l2_norm("vec")).alias("vec_norm"))
+
+
+@register(
+    "vocab_coverage",
+    vsql(
+        "SELECT CAST(count(*) AS BIGINT) AS vocab_size, CAST(max(len(vec)) AS BIGINT) AS dim, CAST(count(*) AS BIGINT) AS looked_for, "
+        "CAST(sum(CASE WHEN found THEN 1 ELSE 0 END) AS BIGINT) AS found FROM matrix",
+        "matrix",
+    ),
+)
+def vocab_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """E9."""
+    return V.vocab_coverage(Corpus(spark, sf).matrix)
+
+
+@register("sequence_vectors", vsql(f"SELECT id, pos, token_id, {_vec_sum_sql('vec')} AS vec_sum FROM seq_vectors", "seq_vectors"))
+def sequence_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Each token id replaced by its vector."""
+    sv = Corpus(spark, sf).seq_vectors()
+    return sv.select("id", "pos", "token_id", r6(X.array_sum("vec")).alias("vec_sum"))
