@@ -52,49 +52,81 @@ def doc_vector_last(seq_vectors: DataFrame, max_len: int | None = None, id_col:
     return rows.groupBy(id_col).agg(F.max_by("vec", "pos").cast("array<double>").alias("vec"))
 
 
-def attention_scores(vec: Column, layer1: list[list[float]], out: list[float], b1: float = 0.0, b2: float = 0.0) -> Column:
-    """score = out . relu(layer1 @ vec + b1) + b2."""
-    hidden = F.array(*[relu(dot_literal(vec, w) + F.lit(b1)) for w in layer1])
-    return dot_literal(hidden, out) + F.lit(b2)
-
-
-def doc_vector_attention(seq_vectors: DataFrame, layer1: list[list[float]], out: list[float], id_col: str = "id") -> DataFrame:
-    """softmax over a document's positions of the attention score, weighted sum of the vectors."""
-    scored = seq_vectors.withColumn("_s", attention_scores(F.col("vec"), layer1, out))
-    gathered = scored.groupBy(id_col).agg(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("vec").alias("v"))).alias("_sv"))
-    m = F.array_max(F.transform("_sv", lambda r: r["s"]))
-    weighted = F.transform("_sv", lambda r: F.struct(F.exp(r["s"] - m).alias("w"), r["v"].alias("v")))
-    dim = F.size(F.col("_sv")[0]["v"])
-    zero = F.array_repeat(F.lit(0.0), dim)
-    total_w = F.aggregate(weighted, F.lit(0.0), lambda acc, r: acc + r["w"])
-    summed = F.aggregate(weighted, zero, lambda acc, r: F.zip_with(acc, r["v"], lambda a, b: a + r["w"] * b))
-    return gathered.select(id_col, F.transform(summed, lambda x: x / total_w).alias("vec"))
-
-
-def doc_vector_conv_max(seq_vectors: DataFrame, kernels: list[list[list[float]]], id_col: str = "id") -> DataFrame:
-    """for each kernel (width x dim), ReLU of its dot product with every window of consecutive
-    positions, then the maximum over the windows. Documents shorter than the width give no row."""
+def _weight_lit(rows: list[list[float]]) -> Column:
+    """A weight matrix as one constant array-of-arrays (folded to a single literal by Catalyst)."""
+    return F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in rows])
+
+
+def _dot_each(vec: Column, rows: Column) -> Column:
+    """[row . vec for row in rows] — one lambda over the rows, not one expression per row."""
+    v = vec.cast("array<double>")
+    return F.transform(rows, lambda w: F.aggregate(F.zip_with(w, v, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x))
+
+
+def score_attention(matrix: DataFrame, layer1: list[list[float]], out: list[float], b1: float = 0.0, b2: float = 0.0) -> DataFrame:
+    """F3 step 1: attention score of every vocabulary row, out . relu(layer1 @ vec + b1) + b2.
+
+    The score depends on the token only, so it is computed once per vocabulary entry and reaches the
+    tokens with the vector lookup — vocabulary-sized work instead of corpus-sized work."""
+    hidden = F.transform(_dot_each(F.col("vec"), _weight_lit(layer1)), lambda h: relu(h + F.lit(b1)))
+    return matrix.withColumn("_h", hidden).withColumn("score", dot(F.col("_h"), F.array(*[F.lit(float(x)) for x in out])) + F.lit(b2)).drop("_h")
+
+
+SAFE_EXP_SPREAD = 700.0  # exp(-700) is still a normal double: no weight underflows to 0
+
+
+def doc_vector_attention(encoded: DataFrame, scored_matrix: DataFrame, token_id_col: str = "token_id", id_col: str = "id") -> DataFrame:
+    """F3 step 2: softmax of the scores over a document's positions, weighted sum of the vectors.
+
+    softmax-weighted mean = Summarizer.mean(vec, weight = exp(score - c)) for any shift c. When the
+    scores of the whole vocabulary lie within ``SAFE_EXP_SPREAD`` (checked on the vocabulary-sized
+    table), c is the vocabulary maximum: one map-side-combined aggregate, no extra shuffle. Otherwise c
+    is each document's own maximum, joined back on the document id (one shuffle of the token ids)."""
+    from commentlab.operators.vocab import bounded_broadcast
+
+    lookup = bounded_broadcast(scored_matrix.select(F.col("id").alias(token_id_col), F.col("vec").cast("array<double>").alias("vec"), "score"))
+    hi, lo = scored_matrix.agg(F.max("score"), F.min("score")).first()
+    tokens = encoded.select(id_col, token_id_col)
+    if hi is not None and hi - lo < SAFE_EXP_SPREAD:
+        rows = tokens.join(lookup, token_id_col).withColumn("_c", F.lit(float(hi)))
+    else:
+        doc_max = tokens.join(lookup.select(token_id_col, "score"), token_id_col).groupBy(id_col).agg(F.max("score").alias("_c"))
+        rows = tokens.join(doc_max, id_col).join(lookup, token_id_col)
+    weighted = rows.withColumn("_w", F.exp(F.col("score") - F.col("_c")))
+    agg = weighted.groupBy(id_col).agg(Summarizer.mean(_vec(), F.col("_w")).alias("_m"))
+    return agg.select(id_col, vector_to_array("_m").alias("vec"))
+
+
+def project_kernels(matrix: DataFrame, kernels: list[list[list[float]]]) -> DataFrame:
+    """F4 step 1: for every vocabulary row and kernel offset o, the K dot products kernel[k][o] . vec
+    (``_p0``, ``_p1``, ...). Computed once per vocabulary entry, like the attention score."""
     width = len(kernels[0])
-    # per token: its contribution to each kernel at each offset (K numbers per offset)
-    proj = [F.array(*[dot_literal(F.col("vec"), k[o]) for k in kernels]).alias(f"_p{o}") for o in range(width)]
-    tok = seq_vectors.select(id_col, "pos", *proj)
-    gathered = tok.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", *[f"_p{o}" for o in range(width)]))).alias("_t"))
-    n = F.size("_t")
-    n_k = len(kernels)
+    out = matrix
+    for o in range(width):
+        out = out.withColumn(f"_p{o}", _dot_each(F.col("vec"), _weight_lit([k[o] for k in kernels])))
+    return out
+
+
+def doc_vector_conv_max(token_proj: DataFrame, width: int, id_col: str = "id") -> DataFrame:
+    """F4 step 2: window value(start) = sum_o proj_o(start + o), ReLU, max over the windows, per kernel.
+    Documents shorter than ``width`` give no row. Input ``(id, pos, _p0 .. _p{width-1})``."""
+    parts = [f"_p{o}" for o in range(width)]
+    g = token_proj.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", *parts))).alias("_t"))
 
     def window_value(i: Column) -> Column:
-        parts = [F.col("_t")[i + o][f"_p{o}"] for o in range(width)]
-        acc = parts[0]
-        for p in parts[1:]:
-            acc = F.zip_with(acc, p, lambda a, b: a + b)
+        acc = F.col("_t")[i][parts[0]]
+        for o in range(1, width):
+            acc = F.zip_with(acc, F.col("_t")[i + o][parts[o]], lambda a, b: a + b)
         return F.transform(acc, lambda x: relu(x))
 
-    starts = F.sequence(F.lit(0), n - width)
-    per_window = F.transform(starts, window_value)
-    pooled = F.transform(
-        F.sequence(F.lit(0), F.lit(n_k - 1)), lambda k: F.array_max(F.transform(per_window, lambda w: w[k]))
-    )
-    return gathered.where(n >= width).select(id_col, pooled.alias("vec"))
+    # ReLU values are >= 0, so an element-wise max folded from zeros is the max over the windows. The
+    # windows are built and folded in one expression (no array column read inside a lambda, which
+    # Catalyst would re-evaluate per element); the size guard stays inside in case the filter moves.
+    n_k = F.size(F.col("_t")[0][parts[0]])
+    zeros = F.array_repeat(F.lit(0.0), n_k)
+    windows = F.transform(F.sequence(F.lit(0), F.size("_t") - width), window_value)
+    pooled = F.when(F.size("_t") >= width, F.aggregate(windows, zeros, lambda acc, w: F.zip_with(acc, w, lambda a, b: F.greatest(a, b))))
+    return g.where(F.size("_t") >= width).select(id_col, pooled.alias("vec"))
 
 
 def linear_scores(doc_vectors: DataFrame, head: list[tuple[str, list[float], float]], id_col: str = "id") -> DataFrame:

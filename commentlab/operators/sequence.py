@@ -48,11 +48,11 @@ def one_hot_vectors(encoded: DataFrame, vocab_size: int, id_col: str = "id", tok
     return model.transform(docs).drop("_ids")
 
 
-def sequence_vectors(encoded: DataFrame, matrix: DataFrame, token_id_col: str = "token_id") -> DataFrame:
-    """Each token id replaced by its row of the embedding matrix ``(id, vec)``.
+def sequence_vectors(encoded: DataFrame, matrix: DataFrame, token_id_col: str = "token_id", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Each token id replaced by its row of the embedding matrix ``(id, vec, *extra)``.
 
     The matrix is broadcast when its size is within the bound; a larger one is joined by shuffle."""
-    m = matrix.select(F.col("id").alias(token_id_col), F.col("vec").cast("array<double>").alias("vec"))
+    m = matrix.select(F.col("id").alias(token_id_col), F.col("vec").cast("array<double>").alias("vec"), *extra)
     return encoded.join(bounded_broadcast(m), token_id_col)
 
 
