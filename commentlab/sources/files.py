@@ -32,9 +32,18 @@ def comment_schema(labels: list[str], label_type: T.DataType = T.IntegerType(),
 
 def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", mode: str = "overwrite") -> None:
     """A5: headed, quoted CSV (doubled quotes inside text), UTF-8, no row index."""
-    df.write.mode(mode).option("header", header).option("sep", sep).option("quote", '"').option("escape", '"').option(
-        "encoding", "UTF-8"
-    ).csv(path)
+    (
+        df.write.mode(mode)
+        .option("header", header)
+        .option("sep", sep)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("encoding", "UTF-8")
+        # the CSV writer trims white space by default; text must come back unchanged
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, sep: str = ",") -> DataFrame:
