@@ -119,13 +119,16 @@ def label_auc(scores: DataFrame, score_col: str = "logit") -> DataFrame:
 
 
 def confusion_matrix(pairs: DataFrame, k: int, target_col: str = "target", pred_col: str = "pred") -> DataFrame:
-    """K x k counts (row = target, column = prediction), zero cells kept.
+    """K x k counts (row = target, column = prediction), zero cells kept."""
+    counts = pairs.groupBy(target_col, pred_col).agg(F.count(F.lit(1)).alias("n"))
+    return fill_confusion(counts, k, target_col, pred_col)
 
-    The k*k grid comes from ``range`` (no cross join); counts are aggregated before the join.
-    """
-    spark = pairs.sparkSession
+
+def fill_confusion(counts: DataFrame, k: int, target_col: str = "target", pred_col: str = "pred") -> DataFrame:
+    """Counted cells (target, pred, n) completed to the k x k grid. The grid comes from ``range``
+    (no cross join); the counts have at most k*k rows, so broadcasting them is bounded."""
+    spark = counts.sparkSession
     grid = spark.range(k * k).select((F.col("id") / k).cast("int").alias(target_col), (F.col("id") % k).cast("int").alias(pred_col))
-    counts = pairs.groupBy(target_col, pred_col).agg(F.count(F.lit(1)).alias("n"))
     return grid.join(F.broadcast(counts), [target_col, pred_col], "left").select(
         target_col, pred_col, F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )

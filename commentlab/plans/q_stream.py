@@ -1 +1,41 @@
-"""(filled in below)"""
+"""Queries: streaming cleaning and meters (ST1–ST3); each equals its batch counterpart."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from commentlab.operators import metrics as M
+from commentlab.plans import fixtures as fx
+from commentlab.plans.q_metrics import _CM_SQL
+from commentlab.plans.q_text import sql_clean_tokens, sql_normalise
+from commentlab.plans.registry import r6, register
+from commentlab.streaming import meters as St
+
+
+@register(
+    "stream_clean",
+    f"SELECT doc_id AS id, {sql_normalise('text')} AS text, array_to_string({sql_clean_tokens('text')}, ' ') AS tokens FROM documents",
+)
+def stream_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """ST1: a stream of documents cleaned (T1) and tokenised (T5) row by row, appended to a sink."""
+    return St.run_append(St.clean_stream(St.table_stream(spark, sf, "documents")), "stream_clean")
+
+
+@register(
+    "stream_mean_meter",
+    "SELECT event_type AS series, CAST(day(ts) - 1 AS BIGINT) AS epoch, count(value) AS n, round(sum(value / 100), 6) AS total, "
+    "round(round(sum(value / 100) * 10000) * 100 / count(value)) / 1000000 AS mean FROM events GROUP BY event_type, day(ts)",
+)
+def stream_mean_meter(spark: SparkSession, sf: str) -> DataFrame:
+    """ST2: the streaming average meter per (series, epoch)."""
+    out = St.run_complete(St.mean_meter(St.table_stream(spark, sf, "events")), "stream_mean_meter")
+    mean = F.round(F.round(F.col("total") * 10000) * 100 / F.col("n"), 0) / 1000000
+    return out.select("series", "epoch", "n", r6("total").alias("total"), mean.alias("mean"))
+
+
+@register("stream_confusion", _CM_SQL.replace("FROM class_scores", "FROM (SELECT label AS target, CAST(embedding[1:10] AS DOUBLE[]) AS scores FROM embeddings)") + "SELECT target, pred, n FROM cm")
+def stream_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """ST3: the streaming confusion meter; zero cells are added from the sink table afterwards."""
+    cells = St.run_complete(St.confusion_meter(St.table_stream(spark, sf, "embeddings"), fx.N_CLASSES), "stream_confusion")
+    return M.fill_confusion(cells, fx.N_CLASSES)
