@@ -45,8 +45,13 @@ def token_frequencies(tokens: DataFrame, token_col: str = "token") -> DataFrame:
 def build_vocab(tokens: DataFrame, min_freq: int = 10, specials: Sequence[str] = (UNK, PAD), token_col: str = "token") -> DataFrame:
     """E7 + W5: tokens with total count >= ``min_freq``; ids 0.. for ``specials``, then frequency
     descending, ties by token. Result ``(token, id, freq, rank)``, materialised in the shared folder."""
-    spark = tokens.sparkSession
-    freq = token_frequencies(tokens, token_col).where(F.col("freq") >= min_freq)
+    return vocab_from_counts(token_frequencies(tokens, token_col), min_freq, specials, token_col)
+
+
+def vocab_from_counts(counts: DataFrame, min_freq: int = 10, specials: Sequence[str] = (UNK, PAD), token_col: str = "token") -> DataFrame:
+    """``build_vocab`` from an existing (token, freq) table, so one token count serves several uses."""
+    spark = counts.sparkSession
+    freq = counts.where(F.col("freq") >= min_freq)
     if specials:
         freq = freq.where(~F.col(token_col).isin(*specials))
     ranked = global_rank(freq, [F.col("freq").desc(), F.col(token_col)], rank_col="rank")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from commentlab.functions.text import WORD_OR_MARK, word_punct_tokens
 from commentlab.operators import order, vocab as V
+from commentlab.session import cut_lineage
 from commentlab.sources.tables import table
 
 LABELS = ("toxic", "quality")
@@ -52,14 +53,20 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
     return V.explode_tokens(docs, "id", word_punct_tokens("text"))
 
 
-def vocab(spark: SparkSession, sf: str, tok: DataFrame | None = None) -> DataFrame:
-    return V.build_vocab(tok if tok is not None else tokens(spark, sf), MIN_FREQ)
+def token_counts(spark: SparkSession, sf: str, tok: DataFrame | None = None) -> DataFrame:
+    """(token, freq) over the whole corpus, materialised once in the shared folder: the vocabulary and
+    the distinct-token list both read it, so the texts are tokenised once for both."""
+    return cut_lineage(V.token_frequencies(tok if tok is not None else tokens(spark, sf)))
 
 
-def word_vectors(spark: SparkSession, sf: str, tok: DataFrame | None = None) -> DataFrame:
+def vocab(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
+    return V.vocab_from_counts(counts if counts is not None else token_counts(spark, sf), MIN_FREQ)
+
+
+def word_vectors(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
     """(token, vec): embedding row ``vec_id`` goes to the (vec_id+1)-th distinct token in md5 order."""
-    tok = tok if tok is not None else tokens(spark, sf)
-    distinct = tok.select("token").distinct()
+    counts = counts if counts is not None else token_counts(spark, sf)
+    distinct = counts.select("token")
     ranked = order.global_rank(distinct, [F.md5("token"), F.col("token")], rank_col="rk")
     emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     return ranked.join(emb, ranked["rk"] - 1 == emb["vec_id"]).select("token", "vec")

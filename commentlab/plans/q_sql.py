@@ -11,6 +11,7 @@ from commentlab.plans.fixtures import with_views
 from commentlab.plans.q_metrics import CLAMP
 from commentlab.plans.q_text import sql_clean_tokens, sql_normalise, sql_ws_tokens
 from commentlab.plans.registry import register
+from commentlab.sources.tables import table
 
 
 def _python_split(text: str) -> list[str]:
@@ -25,7 +26,7 @@ def _python_split(text: str) -> list[str]:
 )
 def custom_tokenizer(spark: SparkSession, sf: str) -> DataFrame:
     """A Python callable plugged in as the tokenizer (runs as a pandas UDF over Arrow batches)."""
-    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), tokenise("text", _python_split).alias("t"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tokenise("text", _python_split).alias("t"))
     return d.select("id", F.size("t").cast("bigint").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -58,5 +59,5 @@ def sql_score_functions(spark: SparkSession, sf: str) -> DataFrame:
 def sql_token_table(spark: SparkSession, sf: str) -> DataFrame:
     """The table function tokens_of(text) joined laterally to the documents."""
     register_sql_functions(spark)
-    spark.read.parquet(f"{sf}/documents.parquet").createOrReplaceTempView("cl_documents")
+    table(spark, sf, "documents").createOrReplaceTempView("cl_documents")
     return spark.sql("SELECT d.doc_id AS id, t.pos, t.token FROM cl_documents d, LATERAL tokens_of(d.text) t")

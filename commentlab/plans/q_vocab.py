@@ -58,7 +58,7 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, sf: str):
         self.spark, self.sf = spark, sf
-        self._tokens = self._vocab = self._vectors = self._matrix = None
+        self._tokens = self._counts = self._vocab = self._vectors = self._matrix = None
 
     @property
     def tokens(self) -> DataFrame:
@@ -66,16 +66,22 @@ class Corpus:
             self._tokens = fx.tokens(self.spark, self.sf)
         return self._tokens
 
+    @property
+    def counts(self) -> DataFrame:
+        if self._counts is None:
+            self._counts = fx.token_counts(self.spark, self.sf, self.tokens)
+        return self._counts
+
     @property
     def vocab(self) -> DataFrame:
         if self._vocab is None:
-            self._vocab = fx.vocab(self.spark, self.sf, self.tokens)
+            self._vocab = fx.vocab(self.spark, self.sf, self.counts)
         return self._vocab
 
     @property
     def vectors(self) -> DataFrame:
         if self._vectors is None:
-            self._vectors = fx.word_vectors(self.spark, self.sf, self.tokens)
+            self._vectors = fx.word_vectors(self.spark, self.sf, self.counts)
         return self._vectors
 
     @property
