@@ -1,9 +1,9 @@
 """Document features from token vectors and given weights.
 
 Token vectors ``(id, pos, vec)`` are pooled with Spark ML's ``Summarizer`` (a JVM aggregate with a
-map-side partial step), so each document collapses to one row before the shuffle. Attention and trigram
-pooling need a document's positions together; they gather one array per document (bounded by that
-document's own length) and finish with array expressions in the same row.
+map-side partial step), so each document collapses to one row before the shuffle. Work that depends on
+the token only (attention score, kernel projections) is done once per vocabulary row; trigram windows
+use ``lead`` over each document's positions.
 
 Weights (linear head, kernels, attention layers) are model parameters: they are read with a row bound
 checked and inlined as literal arrays, the same way a fitted Spark ML model carries its coefficients.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commentlab.functions.math import dot, dot_literal, relu
@@ -109,24 +109,22 @@ def project_kernels(matrix: DataFrame, kernels: list[list[list[float]]]) -> Data
 
 def doc_vector_conv_max(token_proj: DataFrame, width: int, id_col: str = "id") -> DataFrame:
     """F4 step 2: window value(start) = sum_o proj_o(start + o), ReLU, max over the windows, per kernel.
-    Documents shorter than ``width`` give no row. Input ``(id, pos, _p0 .. _p{width-1})``."""
+    Documents shorter than ``width`` give no row. Input ``(id, pos, _p0 .. _p{width-1})``.
+
+    ``lead`` over the positions of each document brings the next tokens' projections onto the window's
+    first row; the max over windows is ``Summarizer.max``. Tokens are clustered by document already
+    (narrow explode + broadcast lookups), so the window sorts within partitions and the aggregate
+    combines map-side: no token shuffle, and no per-document array is built."""
     parts = [f"_p{o}" for o in range(width)]
-    g = token_proj.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", *parts))).alias("_t"))
-
-    def window_value(i: Column) -> Column:
-        acc = F.col("_t")[i][parts[0]]
-        for o in range(1, width):
-            acc = F.zip_with(acc, F.col("_t")[i + o][parts[o]], lambda a, b: a + b)
-        return F.transform(acc, lambda x: relu(x))
-
-    # ReLU values are >= 0, so an element-wise max folded from zeros is the max over the windows. The
-    # windows are built and folded in one expression (no array column read inside a lambda, which
-    # Catalyst would re-evaluate per element); the size guard stays inside in case the filter moves.
-    n_k = F.size(F.col("_t")[0][parts[0]])
-    zeros = F.array_repeat(F.lit(0.0), n_k)
-    windows = F.transform(F.sequence(F.lit(0), F.size("_t") - width), window_value)
-    pooled = F.when(F.size("_t") >= width, F.aggregate(windows, zeros, lambda acc, w: F.zip_with(acc, w, lambda a, b: F.greatest(a, b))))
-    return g.where(F.size("_t") >= width).select(id_col, pooled.alias("vec"))
+    w = Window.partitionBy(id_col).orderBy("pos")
+    rows = token_proj.select(id_col, "pos", *[F.lead(parts[o], o).over(w).alias(f"_n{o}") if o else F.col(parts[0]).alias("_n0") for o in range(width)])
+    rows = rows.where(F.col(f"_n{width - 1}").isNotNull())  # a full window starts here
+    acc = F.col("_n0")
+    for o in range(1, width):
+        acc = F.zip_with(acc, F.col(f"_n{o}"), lambda a, b: a + b)
+    value = F.transform(acc, lambda x: relu(x))
+    pooled = rows.select(id_col, array_to_vector(value).alias("_v")).groupBy(id_col).agg(Summarizer.max(F.col("_v")).alias("_m"))
+    return pooled.select(id_col, vector_to_array("_m").alias("vec"))
 
 
 def linear_scores(doc_vectors: DataFrame, head: list[tuple[str, list[float], float]], id_col: str = "id") -> DataFrame:
