@@ -19,7 +19,7 @@ from commentlab.streaming import meters as St
 )
 def stream_clean(spark: SparkSession, sf: str) -> DataFrame:
     """ST1: a stream of documents cleaned (T1) and tokenised (T5) row by row, appended to a sink."""
-    return St.run_append(St.clean_stream(St.table_stream(spark, sf, "documents")), "stream_clean")
+    return St.run_append_per_batch(St.table_stream(spark, sf, "documents"), "stream_clean", St.clean_stream, spread_by="doc_id")
 
 
 @register(

@@ -31,6 +31,25 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def run_append_per_batch(stream: DataFrame, name: str, transform, spread_by: str | None = None) -> DataFrame:
+    """Like ``run_append``, but each micro-batch is transformed as a batch DataFrame: a micro-batch with
+    fewer partitions than task slots (a few large files) is first hash-partitioned by ``spread_by``.
+    Each batch overwrites its own ``batch=<id>`` folder, so a replayed batch replaces its output
+    (exactly-once result with the checkpointed offsets)."""
+    spark = stream.sparkSession
+    out, ckpt = scratch_path(spark, f"{name}_out"), scratch_path(spark, f"{name}_ckpt")
+    slots = spark.sparkContext.defaultParallelism
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if spread_by and batch.rdd.getNumPartitions() < slots:
+            batch = batch.repartition(slots, spread_by)
+        transform(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 def run_complete(stream: DataFrame, name: str) -> DataFrame:
     """Run an aggregating stream to completion; every micro-batch replaces the sink with the full
     result table (complete mode through ``foreachBatch``); return the final table."""
