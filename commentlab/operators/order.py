@@ -124,9 +124,18 @@ def shuffle_key(id_col: Column | str, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
+TOP_N_IN_ONE_TASK = 1000
+
+
 def head_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
-    """First ``n`` rows in ``order`` (planned as TakeOrderedAndProject: a per-task top-n)."""
-    return df.orderBy(*_cols(order)).limit(n)
+    """First ``n`` rows in ``order``.
+
+    A small n is a per-task top-n merged in one task (TakeOrderedAndProject). That merge receives up to
+    n rows from every partition, so a large n instead keeps the rows whose distributed global rank is
+    at most n (order must then be unique)."""
+    if n <= TOP_N_IN_ONE_TASK:
+        return df.orderBy(*_cols(order)).limit(n)
+    return global_rank(df, order, rank_col="_head_pos").where(F.col("_head_pos") <= n).drop("_head_pos")
 
 
 def tail_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:

@@ -103,3 +103,33 @@ def test_trace_accuracy_equals_argmax_accuracy(spark):
     acc = M.confusion_accuracy(cm).first()["accuracy_pct"]
     direct = preds.agg(F.avg((F.col("pred") == F.col("target")).cast("double"))).first()[0] * 100
     assert abs(acc - direct) < 1e-9
+
+
+def test_per_label_losses_average_to_soft_margin_loss(spark):
+    rows = [(i, lab, ((i * (7 + k)) % 19 - 9) / 3.0, (i + k) % 2) for i in range(100) for k, lab in enumerate(["a", "b", "c"])]
+    df = spark.createDataFrame(rows, "id int, label string, logit double, target int")
+    from commentlab.functions.math import soft_margin_term
+
+    per_label = df.groupBy("label").agg(F.avg(soft_margin_term("logit", "target")).alias("l")).agg(F.avg("l")).first()[0]
+    joint = M.soft_margin_loss(df).first()["loss"]
+    assert abs(per_label - joint) < 1e-12
+
+
+def test_encode_decode_restores_vocabulary_tokens(spark):
+    from commentlab.operators import vocab as V
+
+    toks = spark.createDataFrame([(d, p, t) for d in range(20) for p, t in enumerate(["x", "y", "x", "z", f"rare{d}"])], "id int, pos int, token string")
+    vocab = V.build_vocab(toks, min_freq=2)
+    enc = V.encode_tokens(toks, vocab, unk_id=0)
+    back = enc.join(vocab.select(F.col("id").alias("token_id"), F.col("token").alias("decoded")), "token_id")
+    known = back.where(F.col("token_id") != 0)
+    assert known.where(F.col("token") != F.col("decoded")).count() == 0
+    assert known.count() == 80 and enc.where(F.col("token_id") == 0).count() == 20
+
+
+def test_results_unchanged_under_repartitioning(spark):
+    rows = [(i, "a", float((i * 37) % 11), int(i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, label string, logit double, target int")
+    a = M.label_auc(df).first()["auc"]
+    b = M.label_auc(df.repartition(13)).first()["auc"]
+    assert a == b
