@@ -34,18 +34,38 @@ def _ranged(df: DataFrame, sort: list[Column], num_ranges: int | None) -> DataFr
     return cut_lineage(parted)
 
 
+# A frame proven to hold at most this many rows may be ordered in one task (bounded work); larger
+# frames always take the distributed path.
+SINGLE_TASK_MAX_ROWS = 1_000_000
+
+
+def _fits_one_task(df: DataFrame, max_rows: int | None) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows; reads at most ``max_rows + 1`` rows to find out."""
+    if not max_rows:
+        return False
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def global_rank(
     df: DataFrame,
     order: Sequence[Column | str],
     rank_col: str = "rank",
     total_col: str | None = None,
     num_ranges: int | None = None,
+    single_task_max_rows: int | None = SINGLE_TASK_MAX_ROWS,
 ) -> DataFrame:
     """Add the 1-based position of each row in the total order ``order`` (pass a unique order).
 
     ``total_col`` optionally adds the row count of the whole frame, so callers need no separate action.
+    A frame checked to be small is numbered by one window in one task; any other frame is range-partitioned
+    and numbered in parallel.
     """
     sort = _cols(order)
+    if _fits_one_task(df, single_task_max_rows):
+        out = df.withColumn(rank_col, F.row_number().over(Window.orderBy(*sort)).cast("bigint"))
+        if total_col:
+            out = out.withColumn(total_col, F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+        return out
     ranged = _ranged(df, sort, num_ranges)
     local = ranged.withColumn("_local_rank", F.row_number().over(Window.partitionBy(_PID).orderBy(*sort)))
     sizes = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
@@ -78,13 +98,27 @@ def segmented_scan(
     scans: dict[str, tuple[str, Column | str, bool]],
     row_number_col: str | None = None,
     num_ranges: int | None = None,
+    single_task_max_rows: int | None = SINGLE_TASK_MAX_ROWS,
 ) -> DataFrame:
     """Running aggregates per group in a total order, parallel even when one group holds most rows.
 
     ``scans`` maps an output name to ``(fn, column, inclusive)`` with fn in sum/count/max/min;
     ``inclusive=False`` gives the value over the rows strictly before. ``row_number_col`` adds the
-    1-based position inside the group. Order must be unique within a group.
+    1-based position inside the group. Order must be unique within a group. A frame checked to be
+    small uses plain per-group windows (no group can exceed the checked bound).
     """
+    if _fits_one_task(df, single_task_max_rows):
+        seg = Window.partitionBy(*partition_by).orderBy(*_cols(order))
+        out = df
+        for name, (fn, col, inclusive) in scans.items():
+            c = F.col(col) if isinstance(col, str) else col
+            v = _AGG[fn](c).over(seg.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+            if fn in ("sum", "count"):
+                v = F.coalesce(v, F.lit(0))
+            out = out.withColumn(name, v)
+        if row_number_col:
+            out = out.withColumn(row_number_col, F.row_number().over(seg).cast("bigint"))
+        return out
     sort = [F.col(c) for c in partition_by] + _cols(order)
     ranged = _ranged(df, sort, num_ranges)
     seg = Window.partitionBy(_PID, *partition_by).orderBy(*_cols(order))

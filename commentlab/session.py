@@ -54,11 +54,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder (reliable checkpoint) and return the re-read frame.
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared folder and return the table read back.
 
     Used where a later step depends on a value that must not change if a task is recomputed (for
-    example a partition number), and to keep long plans short.
+    example a partition number), and to keep long plans short. A written table (rather than
+    ``DataFrame.checkpoint``) computes its input once and gives the planner file sizes, so small
+    results are broadcast by the usual size rules.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,18 +11,21 @@ from commentlab.operators import monitor as W
 from commentlab.operators import order as O
 
 
-def test_global_rank_equals_row_number(spark):
+@pytest.mark.parametrize("single_task_max_rows", [None, 1_000_000])
+def test_global_rank_equals_row_number(spark, single_task_max_rows):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"), F.col("id"))
-    got = O.global_rank(df.repartition(7), ["k", "id"], total_col="n")
+    got = O.global_rank(df.repartition(7), ["k", "id"], total_col="n", single_task_max_rows=single_task_max_rows)
     ref = df.withColumn("rank_ref", F.row_number().over(Window.orderBy("k", "id")))
     bad = got.join(ref, ["k", "id"]).where((F.col("rank") != F.col("rank_ref")) | (F.col("n") != 5000)).count()
     assert bad == 0 and got.count() == 5000
 
 
-def test_segmented_scan_with_hot_group(spark):
-    # one group holds most rows: the scan must still equal the plain window
+@pytest.mark.parametrize("single_task_max_rows", [None, 1_000_000])
+def test_segmented_scan_with_hot_group(spark, single_task_max_rows):
+    # one group holds most rows: the distributed scan must still equal the plain window
     df = spark.range(0, 3000).select(F.when(F.col("id") % 10 == 0, F.lit("b")).otherwise(F.lit("hot")).alias("g"), "id", (F.col("id") % 13).alias("v"))
-    got = O.segmented_scan(df, ["g"], ["id"], {"s": ("sum", "v", True), "m": ("max", "v", False)}, row_number_col="rn")
+    scans = {"s": ("sum", "v", True), "m": ("max", "v", False)}
+    got = O.segmented_scan(df, ["g"], ["id"], scans, row_number_col="rn", single_task_max_rows=single_task_max_rows)
     w = Window.partitionBy("g").orderBy("id")
     ref = df.select(
         "g", "id",
