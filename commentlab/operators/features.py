@@ -82,16 +82,21 @@ def doc_vector_attention(encoded: DataFrame, scored_matrix: DataFrame, token_id_
     scores of the whole vocabulary lie within ``SAFE_EXP_SPREAD`` (checked on the vocabulary-sized
     table), c is the vocabulary maximum: one map-side-combined aggregate, no extra shuffle. Otherwise c
     is each document's own maximum, joined back on the document id (one shuffle of the token ids)."""
-    from commentlab.operators.vocab import bounded_broadcast
+    from commentlab.operators.vocab import frequency_split_lookup
+
+    lookup = scored_matrix.select(F.col("id").alias(token_id_col), F.col("vec").cast("array<double>").alias("vec"), "score")
+    lookup = lookup.withColumn("_rank", F.col(token_id_col))  # vocabulary ids follow frequency rank
+
+    def attach(rows: DataFrame, cols: list[str]) -> DataFrame:
+        return frequency_split_lookup(rows, lookup.select(token_id_col, "_rank", *cols), token_id_col, "_rank", "inner")
 
-    lookup = bounded_broadcast(scored_matrix.select(F.col("id").alias(token_id_col), F.col("vec").cast("array<double>").alias("vec"), "score"))
     hi, lo = scored_matrix.agg(F.max("score"), F.min("score")).first()
     tokens = encoded.select(id_col, token_id_col)
     if hi is not None and hi - lo < SAFE_EXP_SPREAD:
-        rows = tokens.join(lookup, token_id_col).withColumn("_c", F.lit(float(hi)))
+        rows = attach(tokens, ["vec", "score"]).withColumn("_c", F.lit(float(hi)))
     else:
-        doc_max = tokens.join(lookup.select(token_id_col, "score"), token_id_col).groupBy(id_col).agg(F.max("score").alias("_c"))
-        rows = tokens.join(doc_max, id_col).join(lookup, token_id_col)
+        doc_max = attach(tokens, ["score"]).groupBy(id_col).agg(F.max("score").alias("_c"))
+        rows = attach(tokens.join(doc_max, id_col), ["vec", "score"])
     weighted = rows.withColumn("_w", F.exp(F.col("score") - F.col("_c")))
     agg = weighted.groupBy(id_col).agg(Summarizer.mean(_vec(), F.col("_w")).alias("_m"))
     return agg.select(id_col, vector_to_array("_m").alias("vec"))
@@ -132,7 +137,3 @@ def linear_scores(doc_vectors: DataFrame, head: list[tuple[str, list[float], flo
     bounded parameter list turned into one array of (label, logit) per document, then exploded."""
     per_label = F.array(*[F.struct(F.lit(lab).alias("label"), (dot_literal(F.col("vec"), w) + F.lit(float(b))).alias("logit")) for lab, w, b in head])
     return doc_vectors.select(id_col, F.inline(per_label))
-
-
-def dot_columns(a: str, b: str) -> Column:
-    return dot(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"))

@@ -32,6 +32,28 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
+def frequency_split_lookup(
+    rows: DataFrame, lookup: DataFrame, key: str, rank_col: str, how: str = "left", max_rows: int = BROADCAST_MAX_ROWS
+) -> DataFrame:
+    """Join ``rows`` to a lookup table whose ``rank_col`` orders entries by frequency (1 = most frequent).
+
+    A lookup within the bound is broadcast whole. A larger one is split: its ``max_rows`` most frequent
+    entries — which hold every hot key — are broadcast, and only the rows that miss them are shuffle-
+    joined with the remaining rare entries, so no shuffle partition receives a hot key. Entries with a
+    null rank (reserved tokens) go to the broadcast part."""
+    if lookup.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(lookup), key, how)
+    head_cond = F.col(rank_col).isNull() | (F.col(rank_col) <= max_rows)
+    head = lookup.where(head_cond).drop(rank_col)
+    tail = lookup.where(~head_cond).drop(rank_col)
+    value_cols = [c for c in head.columns if c != key]
+    marked = rows.join(F.broadcast(head.withColumn("_hit", F.lit(True))), key, "left")
+    hit = marked.where(F.col("_hit")).drop("_hit")
+    miss = marked.where(F.col("_hit").isNull()).drop("_hit", *value_cols)
+    rest = miss.join(tail, key, how)
+    return hit.unionByName(rest)
+
+
 def explode_tokens(df: DataFrame, id_col: str, tokens: Column, pos_col: str = "pos", token_col: str = "token") -> DataFrame:
     """One row per token with its 0-based position; only id, position and token are kept."""
     return df.select(F.col(id_col), F.posexplode(tokens).alias(pos_col, token_col))
@@ -78,9 +100,10 @@ def dictionary_ids(tokens: DataFrame, start_id: int = 1, reserved: Sequence[str]
 
 def encode_tokens(tokens: DataFrame, vocab: DataFrame, unk_id: int = 0, token_col: str = "token", id_col: str = "token_id") -> DataFrame:
     """Token -> id with ``unk_id`` for misses. The token rows keep their partitioning when the
-    vocabulary is broadcast, so a later group-by on the document id needs no new shuffle."""
-    lookup = vocab.select(F.col(token_col), F.col("id").alias(id_col))
-    out = tokens.join(bounded_broadcast(lookup), token_col, "left")
+    vocabulary is broadcast, so a later group-by on the document id needs no new shuffle; a vocabulary
+    above the broadcast bound is joined by frequency split (hot tokens broadcast, rare ones shuffled)."""
+    lookup = vocab.select(F.col(token_col), F.col("id").alias(id_col), F.col("rank").alias("_rank"))
+    out = frequency_split_lookup(tokens, lookup, token_col, "_rank", "left")
     return out.withColumn(id_col, F.coalesce(F.col(id_col), F.lit(unk_id)).cast("bigint"))
 
 

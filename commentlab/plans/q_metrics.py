@@ -63,13 +63,10 @@ def clamp_values(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "softmax_scores",
     with_views(
-        "WITH l AS (SELECT id, unnest(scores) AS s, CAST(generate_subscripts(scores, 1) - 1 AS INTEGER) AS k FROM class_scores) "
-        "SELECT id, k, round(exp(s - max(s) OVER (PARTITION BY id)) / sum(exp(s - max(s) OVER (PARTITION BY id))) OVER (PARTITION BY id), 6) AS p FROM l",
+        "WITH l AS (SELECT id, unnest(scores) AS s, CAST(generate_subscripts(scores, 1) - 1 AS INTEGER) AS k FROM class_scores), "
+        "e AS (SELECT id, k, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM l) "
+        "SELECT id, k, round(e / sum(e) OVER (PARTITION BY id), 6) AS p FROM e",
         "class_scores",
-    )
-    .replace(
-        "round(exp(s - max(s) OVER (PARTITION BY id)) / sum(exp(s - max(s) OVER (PARTITION BY id))) OVER (PARTITION BY id), 6) AS p FROM l",
-        "round(e / sum(e) OVER (PARTITION BY id), 6) AS p FROM (SELECT id, k, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM l)",
     ),
 )
 def softmax_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -90,11 +90,9 @@ def write_vectors_text(vectors: DataFrame, path: str, dim: int, header: bool = T
     """Write ``token v1 ... vd`` lines, optionally preceded by a ``count dim`` line."""
     body = vectors.select(F.concat_ws(" ", F.col("token"), F.array_join(F.col("vec").cast("array<string>"), " ")).alias("value"))
     if header:
-        spark = vectors.sparkSession
         count = vectors.agg(F.count(F.lit(1)).alias("n"))
         first = count.select(F.concat_ws(" ", F.col("n").cast("string"), F.lit(str(dim))).alias("value"))
         body = first.unionByName(body)
-        del spark
     body.write.mode("overwrite").text(path)
 
 

@@ -137,3 +137,15 @@ def test_results_unchanged_under_repartitioning(spark):
     a = M.label_auc(df).first()["auc"]
     b = M.label_auc(df.repartition(13)).first()["auc"]
     assert a == b
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_frequency_split_lookup_equals_plain_join(spark, how):
+    from commentlab.operators.vocab import frequency_split_lookup
+
+    rows = spark.createDataFrame([(i, f"t{i % 37}") for i in range(500)] + [(999, "none")], "id int, token string")
+    lookup = spark.createDataFrame([(f"t{k}", 100 + k, k + 1) for k in range(30)] + [("<unk>", 0, None)], "token string, tid int, rank int")
+    split = frequency_split_lookup(rows, lookup, "token", "rank", how, max_rows=5)
+    plain = rows.join(lookup.drop("rank"), "token", how)
+    assert split.count() == plain.count()
+    assert split.exceptAll(plain.select(*split.columns)).count() == 0
