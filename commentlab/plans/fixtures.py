@@ -44,7 +44,11 @@ def comments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored_comments(spark: SparkSession, sf: str) -> DataFrame:
-    return comments(spark, sf).where(F.col("toxic") != -1)
+    """B2: comments with a score. Filtering the labels before an inner join is the same as filtering
+    ``coalesce(toxic, -1) <> -1`` after the left join, and the plain predicate reaches the Parquet reader."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("comment_text"))
+    labels = table(spark, sf, "labels").where(F.col("toxic") != -1).select(F.col("doc_id").alias("id"), "toxic", "quality")
+    return docs.join(labels, "id").select("id", "comment_text", "toxic", "quality")
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
