@@ -33,16 +33,23 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
     return spark
 
 
+_PRIVATE_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Uses ``spark.checkpoint.dir`` when the session names one; otherwise creates a private folder and
     records it in the session, so every later call (and ``DataFrame.checkpoint``) uses the same place.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or _PRIVATE_DIRS.get(spark.sparkContext.applicationId)
     if not path:
         path = tempfile.mkdtemp(prefix="commentlab-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        _PRIVATE_DIRS[spark.sparkContext.applicationId] = path
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # noqa: BLE001 — some deployments refuse runtime core settings; the cache above suffices
+            pass
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(os.path.join(path, "rdd"))
