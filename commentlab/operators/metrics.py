@@ -134,6 +134,13 @@ def fill_confusion(counts: DataFrame, k: int, target_col: str = "target", pred_c
     )
 
 
+def confusion_wide(cm: DataFrame, k: int, target_col: str = "target", pred_col: str = "pred") -> DataFrame:
+    """E14 wide form: one row per target, one column ``p<j>`` per prediction. The pivot values are given
+    (0..k-1), so Spark needs no extra pass to find them."""
+    wide = cm.groupBy(target_col).pivot(pred_col, list(range(k))).agg(F.sum("n"))
+    return wide.select(target_col, *[F.coalesce(F.col(str(j)), F.lit(0)).cast("bigint").alias(f"p{j}") for j in range(k)])
+
+
 def confusion_accuracy(cm: DataFrame, target_col: str = "target", pred_col: str = "pred") -> DataFrame:
     """100 * trace / total."""
     return cm.agg(

@@ -235,6 +235,21 @@ def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return _confusion(spark, sf)
 
 
+@register(
+    "confusion_wide",
+    with_views(
+        _CM_SQL
+        + "SELECT target, "
+        + ", ".join(f"CAST(sum(CASE WHEN pred = {j} THEN n ELSE 0 END) AS BIGINT) AS p{j}" for j in range(fx.N_CLASSES))
+        + " FROM cm GROUP BY target",
+        "class_scores",
+    ),
+)
+def confusion_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """E14, wide form by pivot: rows = target, columns = prediction."""
+    return M.confusion_wide(_confusion(spark, sf), fx.N_CLASSES)
+
+
 _CM_ACC_SQL = (
     "SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(CASE WHEN target = pred THEN n ELSE 0 END) AS BIGINT) AS correct, "
     "round(100.0 * sum(CASE WHEN target = pred THEN n ELSE 0 END) / sum(n), 6)::DOUBLE AS accuracy_pct FROM cm"
