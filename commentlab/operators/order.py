@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from commentlab.session import cut_lineage
 
 _PID = "_range_id"
+_PLACE = "_range_place"
 
 
 def _cols(cols: Sequence[Column | str]) -> list[Column]:
@@ -30,20 +31,18 @@ def _num_ranges(df: DataFrame, num_ranges: int | None) -> int:
 
 
 def _ranged(df: DataFrame, sort: list[Column], num_ranges: int | None) -> DataFrame:
-    parted = df.repartitionByRange(_num_ranges(df, num_ranges), *sort).withColumn(_PID, F.spark_partition_id())
-    return cut_lineage(parted)
-
-
-# A frame proven to hold at most this many rows may be ordered in one task (bounded work); larger
-# frames always take the distributed path.
-SINGLE_TASK_MAX_ROWS = 1_000_000
-
-
-def _fits_one_task(df: DataFrame, max_rows: int | None) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads at most ``max_rows + 1`` rows to find out."""
-    if not max_rows:
-        return False
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Sorted ranges, written once, each row with its range number and its 0-based place inside the range."""
+    parted = df.repartitionByRange(_num_ranges(df, num_ranges), *sort).sortWithinPartitions(*sort)
+    # the id is (partition << 33) + place in the partition, taken in the task that sorts the range
+    place = F.monotonically_increasing_id()
+    numbered = parted.withColumn(_PLACE, place)
+    return cut_lineage(
+        numbered.select(
+            *[F.col(f"`{c}`") for c in df.columns],
+            F.shiftrightunsigned(_PLACE, 33).cast("int").alias(_PID),
+            F.col(_PLACE).bitwiseAND(F.lit((1 << 33) - 1)).alias(_PLACE),
+        )
+    )
 
 
 def global_rank(
@@ -52,22 +51,15 @@ def global_rank(
     rank_col: str = "rank",
     total_col: str | None = None,
     num_ranges: int | None = None,
-    single_task_max_rows: int | None = SINGLE_TASK_MAX_ROWS,
 ) -> DataFrame:
     """Add the 1-based position of each row in the total order ``order`` (pass a unique order).
 
     ``total_col`` optionally adds the row count of the whole frame, so callers need no separate action.
-    A frame checked to be small is numbered by one window in one task; any other frame is range-partitioned
-    and numbered in parallel.
+    One shuffle of the rows: each range numbers its rows in the task that sorted it, and the sizes of the
+    earlier ranges are added.
     """
     sort = _cols(order)
-    if _fits_one_task(df, single_task_max_rows):
-        out = df.withColumn(rank_col, F.row_number().over(Window.orderBy(*sort)).cast("bigint"))
-        if total_col:
-            out = out.withColumn(total_col, F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-        return out
     ranged = _ranged(df, sort, num_ranges)
-    local = ranged.withColumn("_local_rank", F.row_number().over(Window.partitionBy(_PID).orderBy(*sort)))
     sizes = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -76,10 +68,10 @@ def global_rank(
         F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"),
     )
     # one row per range: bounded by the number of ranges, never by the data
-    out = local.join(F.broadcast(offsets), _PID).withColumn(rank_col, F.col("_local_rank") + F.col("_offset"))
+    out = ranged.join(F.broadcast(offsets), _PID).withColumn(rank_col, F.col(_PLACE) + F.col("_offset") + F.lit(1))
     if total_col:
         out = out.withColumn(total_col, F.col("_total"))
-    return out.drop(_PID, "_local_rank", "_offset", "_total")
+    return out.drop(_PID, _PLACE, "_offset", "_total")
 
 
 _COMBINE = {
@@ -98,27 +90,14 @@ def segmented_scan(
     scans: dict[str, tuple[str, Column | str, bool]],
     row_number_col: str | None = None,
     num_ranges: int | None = None,
-    single_task_max_rows: int | None = SINGLE_TASK_MAX_ROWS,
 ) -> DataFrame:
     """Running aggregates per group in a total order, parallel even when one group holds most rows.
 
     ``scans`` maps an output name to ``(fn, column, inclusive)`` with fn in sum/count/max/min;
     ``inclusive=False`` gives the value over the rows strictly before. ``row_number_col`` adds the
-    1-based position inside the group. Order must be unique within a group. A frame checked to be
-    small uses plain per-group windows (no group can exceed the checked bound).
+    1-based position inside the group. Order must be unique within a group. Rows whose group columns are
+    NULL form a group of their own, as in GROUP BY.
     """
-    if _fits_one_task(df, single_task_max_rows):
-        seg = Window.partitionBy(*partition_by).orderBy(*_cols(order))
-        out = df
-        for name, (fn, col, inclusive) in scans.items():
-            c = F.col(col) if isinstance(col, str) else col
-            v = _AGG[fn](c).over(seg.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-            if fn in ("sum", "count"):
-                v = F.coalesce(v, F.lit(0))
-            out = out.withColumn(name, v)
-        if row_number_col:
-            out = out.withColumn(row_number_col, F.row_number().over(seg).cast("bigint"))
-        return out
     sort = [F.col(c) for c in partition_by] + _cols(order)
     ranged = _ranged(df, sort, num_ranges)
     seg = Window.partitionBy(_PID, *partition_by).orderBy(*_cols(order))
@@ -143,12 +122,18 @@ def segmented_scan(
         _PID, *partition_by, *[merge[fns[n]](f"_tot_{n}").over(earlier).alias(f"_before_{n}") for n in names]
     )
     # at most one row per (range, group): no larger than the group table plus the range count
-    out = local.join(offsets, [_PID, *partition_by])
+    offsets = offsets.select(
+        *[F.col(c).alias(f"_key_{c}") for c in [_PID, *partition_by]], *[f"_before_{n}" for n in names]
+    )
+    same = F.col(_PID) == F.col(f"_key_{_PID}")
+    for c in partition_by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    out = local.join(offsets, same)
     for name in scans:
         out = out.withColumn(name, _COMBINE[fns[name]](F.col(f"_before_{name}"), F.col(f"_here_{name}")))
     if row_number_col:
         out = out.withColumn(row_number_col, _COMBINE["count"](F.col("_before_rn"), F.col("_here_rn")))
-    drop = [_PID] + [f"_here_{n}" for n in names] + [f"_before_{n}" for n in names]
+    drop = [_PID, _PLACE] + [f"_key_{c}" for c in [_PID, *partition_by]] + [f"_here_{n}" for n in names] + [f"_before_{n}" for n in names]
     return out.drop(*drop)
 
 
@@ -158,23 +143,15 @@ def shuffle_key(id_col: Column | str, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
-TOP_N_IN_ONE_TASK = 1000
-
-
 def head_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
-    """First ``n`` rows in ``order``.
-
-    A small n is a per-task top-n merged in one task (TakeOrderedAndProject). That merge receives up to
-    n rows from every partition, so a large n instead keeps the rows whose distributed global rank is
-    at most n (order must then be unique)."""
-    if n <= TOP_N_IN_ONE_TASK:
-        return df.orderBy(*_cols(order)).limit(n)
+    """First ``n`` rows in ``order`` (unique): the rows whose distributed rank is at most ``n``."""
     return global_rank(df, order, rank_col="_head_pos").where(F.col("_head_pos") <= n).drop("_head_pos")
 
 
 def tail_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
-    """Last ``n`` rows in ``order``."""
-    return df.orderBy(*[c.desc() for c in _cols(order)]).limit(n)
+    """Last ``n`` rows in ``order`` (unique), by the same distributed rank."""
+    ranked = global_rank(df, order, rank_col="_pos", total_col="_n")
+    return ranked.where(F.col("_pos") > F.col("_n") - n).drop("_pos", "_n")
 
 
 def ordered_split(

@@ -7,6 +7,7 @@ only reads that setting. A private folder is created only when the setting is ab
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,10 +40,13 @@ _PRIVATE_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the session names one; otherwise creates a private folder and
-    records it in the session, so every later call (and ``DataFrame.checkpoint``) uses the same place.
+    Uses ``spark.checkpoint.dir`` when the session names one. A local master (tests) without the setting
+    gets a private folder, recorded in the session, so every later call (and ``DataFrame.checkpoint``) uses
+    the same place; on a cluster, where a private folder would not be shared, the setting is required.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or _PRIVATE_DIRS.get(spark.sparkContext.applicationId)
+    if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="commentlab-")
         _PRIVATE_DIRS[spark.sparkContext.applicationId] = path

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,21 +10,19 @@ from commentlab.operators import monitor as W
 from commentlab.operators import order as O
 
 
-@pytest.mark.parametrize("single_task_max_rows", [None, 1_000_000])
-def test_global_rank_equals_row_number(spark, single_task_max_rows):
+def test_global_rank_equals_row_number(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"), F.col("id"))
-    got = O.global_rank(df.repartition(7), ["k", "id"], total_col="n", single_task_max_rows=single_task_max_rows)
+    got = O.global_rank(df.repartition(7), ["k", "id"], total_col="n")
     ref = df.withColumn("rank_ref", F.row_number().over(Window.orderBy("k", "id")))
     bad = got.join(ref, ["k", "id"]).where((F.col("rank") != F.col("rank_ref")) | (F.col("n") != 5000)).count()
     assert bad == 0 and got.count() == 5000
 
 
-@pytest.mark.parametrize("single_task_max_rows", [None, 1_000_000])
-def test_segmented_scan_with_hot_group(spark, single_task_max_rows):
+def test_segmented_scan_with_hot_group(spark):
     # one group holds most rows: the distributed scan must still equal the plain window
     df = spark.range(0, 3000).select(F.when(F.col("id") % 10 == 0, F.lit("b")).otherwise(F.lit("hot")).alias("g"), "id", (F.col("id") % 13).alias("v"))
     scans = {"s": ("sum", "v", True), "m": ("max", "v", False)}
-    got = O.segmented_scan(df, ["g"], ["id"], scans, row_number_col="rn", single_task_max_rows=single_task_max_rows)
+    got = O.segmented_scan(df, ["g"], ["id"], scans, row_number_col="rn")
     w = Window.partitionBy("g").orderBy("id")
     ref = df.select(
         "g", "id",
@@ -38,6 +35,20 @@ def test_segmented_scan_with_hot_group(spark, single_task_max_rows):
     assert bad == 0 and j.count() == 3000
 
 
+def test_segmented_scan_keeps_null_groups(spark):
+    rows = [(None, i, 1) for i in range(5)] + [("a", i, 1) for i in range(3)]
+    got = O.segmented_scan(spark.createDataFrame(rows, "g string, id int, v int"), ["g"], ["id"], {"s": ("sum", "v", True)})
+    assert sorted((r["g"] or "", r["id"], r["s"]) for r in got.collect()) == sorted([("", i, i + 1) for i in range(5)] + [("a", i, i + 1) for i in range(3)])
+
+
+def test_head_and_tail_do_not_depend_on_partitioning(spark):
+    df = spark.range(0, 2500)
+    for part in (1, 9):
+        d = df.repartition(part)
+        assert sorted(r["id"] for r in O.head_rows(d, ["id"], 7).collect()) == list(range(7))
+        assert sorted(r["id"] for r in O.tail_rows(d, ["id"], 1200).collect()) == list(range(1300, 2500))
+
+
 def test_overlap_tail_batches_golden(spark):
     def batches(n):
         df = spark.range(1, n + 1)

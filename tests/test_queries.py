@@ -6,16 +6,19 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from commentlab.plans import registry
 from tests.conftest import SF_SMALL
 from tools.oracle_check import _digest, frame_rows
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+registry.load_all()
+QUERIES = dict(registry.QUERIES)
+ORACLE = dict(registry.ORACLE)
 
 
 def test_every_query_has_a_name_and_most_have_sql():
     assert len(QUERIES) >= 90
     assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
     assert len(set(QUERIES) - set(ORACLE)) <= 6
 
 
