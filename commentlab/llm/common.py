@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from commentlab.session import scratch_path
+
 # A word is a run of characters other than these white-space characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -42,3 +44,10 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
         c = F.col(f"`{k}`").eqNullSafe(F.col(f"`_r_{k}`"))
         cond = c if cond is None else cond & c
     return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, read back: computed once, and kept if an executor is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

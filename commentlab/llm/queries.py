@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from commentlab.llm import line_dedup, mixing, sharding
+from commentlab.llm import line_dedup, mixing, packing, sharding
 from commentlab.sources.tables import table
 
 QUERIES = {}
@@ -30,6 +30,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", spread_by=False)
 
 
+@query("op2_round_robin_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_docs(spark, sf_dir), with_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+
+
 @query("op7_jump_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(_docs(spark, sf_dir))
