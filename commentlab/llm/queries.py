@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from commentlab.llm import line_dedup, mixing, packing, sharding
+from commentlab.llm import line_dedup, mixing, packing, quality, sharding
 from commentlab.sources.tables import table
 
 QUERIES = {}
@@ -36,6 +36,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
 
 
+@query("op5_divergence_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_docs(spark, sf_dir))
+
+
 @query("op7_jump_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(_docs(spark, sf_dir))
