@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from commentlab.llm import line_dedup, mixing, packing, quality, sharding
+from commentlab.llm import line_dedup, mixing, ngram_join, packing, quality, sharding
 from commentlab.sources.tables import table
 
 QUERIES = {}
@@ -41,6 +41,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_docs(spark, sf_dir))
 
 
+@query("op6_multi_order_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op7_jump_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(_docs(spark, sf_dir))
