@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from commentlab.llm import line_dedup, mixing, ngram_join, packing, quality, sharding
+from commentlab.llm import fixity, line_dedup, mixing, ngram_join, packing, quality, sharding, url_filter
 from commentlab.sources.tables import table
 
 QUERIES = {}
@@ -30,6 +30,87 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", spread_by=False)
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages", spread_by=False)
+
+
+URL_SQL = r"""
+WITH RECURSIVE rules(verdict, rh, rp) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]{0,1000}>')) AS tag FROM pages),
+targets AS (
+  SELECT url, replace(CASE
+    WHEN regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
+    END, '&amp;', '&') AS t FROM tags),
+links AS (
+  SELECT url, CASE WHEN t LIKE '%://%' THEN t
+    WHEN t LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || t
+    WHEN t LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t
+    WHEN length(regexp_extract(url, '(?s)^(.*?://[^?#]*/)', 1)) > length(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1))
+      THEN regexp_extract(url, '(?s)^(.*?://[^?#]*/)', 1) || t
+    ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || '/' || t END AS target
+  FROM targets WHERE t <> ''),
+urls AS (SELECT url FROM pages UNION SELECT target FROM links),
+parts AS (
+  SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+         regexp_replace(regexp_replace(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1),
+           '(?:^|&)(?:utm_[a-z]+|ref|gclid|fbclid)=[^&]*', '', 'g'), '^&', '') AS rest
+  FROM urls),
+nodes AS (
+  SELECT url, coalesce(host, '') AS host, coalesce(path, '') AS path,
+         CASE WHEN host <> '' THEN host || path || CASE WHEN rest <> '' THEN '?' || rest ELSE '' END END AS node FROM parts),
+fits AS (
+  SELECT n.url, r.rh || r.rp AS rule, r.verdict, row_number() OVER (PARTITION BY n.url ORDER BY length(r.rh || r.rp) DESC, r.verdict, r.rh) AS k
+  FROM nodes n JOIN rules r ON (n.host = r.rh OR n.host LIKE '%.' || r.rh) AND starts_with(n.path, r.rp) WHERE n.host <> ''),
+edges AS (
+  SELECT a.node AS a, b.node AS b FROM links l JOIN nodes a ON a.url = l.url JOIN nodes b ON b.url = l.target
+  WHERE a.node IS NOT NULL AND b.node IS NOT NULL AND a.node <> b.node),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (
+  SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other),
+decided AS (
+  SELECT r.node, bool_or(f.verdict = 'block') AS blocks, bool_or(f.verdict = 'allow') AS allows
+  FROM reach r JOIN nodes n ON n.node = r.other JOIN fits f ON f.url = n.url AND f.k = 1 GROUP BY r.node)
+SELECT p.page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, f.rule,
+       coalesce(f.verdict, CASE WHEN d.blocks AND NOT coalesce(d.allows, FALSE) THEN 'block' END, 'allow') AS verdict
+FROM pages p LEFT JOIN nodes n ON n.url = p.url LEFT JOIN fits f ON f.url = p.url AND f.k = 1
+LEFT JOIN decided d ON d.node = n.node
+"""
+
+
+@query("op1_redirect_equivalence", URL_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_pages(spark, sf_dir), url_filter.rules_table(spark))
+
+
+FIXITY_SQL = r"""
+WITH bodies AS (
+  SELECT page_id, url, coalesce(html, '') AS html,
+         coalesce(CASE WHEN page_id % 97 = 13 THEN substr(html, 1, length(html) - 1) || chr(0) ELSE html END, '') AS copy FROM pages),
+stored AS (
+  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+           || chr(13) || chr(10) || 'Content-Length: ' AS head, chr(13) || chr(10) || chr(13) || chr(10) AS gap, html, copy FROM bodies),
+records AS (
+  SELECT page_id, page_id // 1000 AS archive, head || strlen(html) || gap || html || gap AS a, head || strlen(copy) || gap || copy || gap AS b FROM stored),
+laid AS (
+  SELECT page_id, archive, a, b, CAST(coalesce(sum(strlen(a)) OVER (PARTITION BY archive ORDER BY page_id, sha256(a) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+  FROM records)
+SELECT archive, pos AS "offset", page_id AS record_id, CASE WHEN page_id % 193 = 7 THEN 'missing' ELSE 'changed' END AS kind,
+       CAST(strlen(a) AS BIGINT) AS length_a, CASE WHEN page_id % 193 <> 7 THEN CAST(strlen(b) AS BIGINT) ELSE 0 END AS length_b,
+       sha256(a) AS digest_a, CASE WHEN page_id % 193 <> 7 THEN sha256(b) END AS digest_b
+FROM laid WHERE page_id % 193 = 7 OR a <> b
+"""
+
+
+@query("op4_merkle_fixity", FIXITY_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.audit(*fixity.damaged_pair(_pages(spark, sf_dir)))
+
+
 @query("op2_round_robin_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_docs(spark, sf_dir), with_ids=False)
