@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from commentlab.llm import fixity, line_dedup, mixing, ngram_join, packing, quality, sharding, url_filter
+from commentlab.llm import fixity, line_dedup, mixing, ngram_join, packing, quality, sharding, topk, url_filter
 from commentlab.sources.tables import table
 
 QUERIES = {}
@@ -87,6 +87,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_pages(spark, sf_dir), url_filter.rules_table(spark))
 
 
+TOPK_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0::DOUBLE * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+@query("op3_nra_top_k", TOPK_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings", spread_by=False))
+    return topk.top_k(vectors, F.col("id") % 50 == 0)
+
+
 FIXITY_SQL = r"""
 WITH bodies AS (
   SELECT page_id, url, coalesce(html, '') AS html,
