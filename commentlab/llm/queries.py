@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from commentlab.llm import fixity, line_dedup, mixing, ngram_join, packing, quality, sharding, topk, url_filter
+from commentlab.llm import fixity, line_dedup, mixing, ngram_join, packing, pii, quality, sharding, topk, url_filter
 from commentlab.sources.tables import table
 
 QUERIES = {}
@@ -155,6 +155,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_skip_chain_crf")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_docs(spark, sf_dir))
+
+    def joined(spans):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(parts, ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
