@@ -1,35 +1,57 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
-Each stage takes what its predecessor kept, as a written table, and returns a DataFrame.
+Each stage works on all its predecessor kept, written as Parquet and read again, and returns the columns of
+``documents``; the last one returns the packed pieces with their token ids.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commentlab.llm import line_dedup, mixing
+from commentlab.llm import line_dedup, mixing, ngram_join, packing, quality
 from commentlab.session import cut_lineage
 from commentlab.sources.tables import table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: documents that fail a base rule or diverge from their language's references go."""
+    return quality.keep_good(docs)
+
+
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of three lines or more that an earlier document holds are cut from the later ones."""
+    """Line dedup: three-line windows that an earlier document holds are cut from the later ones."""
     return line_dedup.dedup_lines(docs).select(*docs.columns)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: one document of each group of near copies stays."""
+    return ngram_join.one_of_each(docs)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target asks for."""
+    """Mixing: every document as often as the target of its source asks for."""
     return mixing.repeat_documents(docs)
 
 
-STAGES = [("line_dedup", line_dedup_stage), ("mix", mix_stage)]
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: pieces of documents in sequences of at most 2048 tokens, sources mixed in every sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_dedup_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("mix", mix_stage),
+    ("pack", pack_stage),
+]
 
-# tokenizing, loopy histograms and similarity joins are beyond SQL; tests compare with a brute-force version
+# tokenizing and the divergence rules are beyond SQL; tests compare every stage with a brute-force version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", spread_by=False)
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
