@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,17 @@ SEGMENT = 16
 END_ID = 1
 MAX_SOURCES = 4096
 ROWS_AT_ONCE = 512
-CACHED_WORDS = 200_000
+HELD_PIECES = 250_000
+PIECES_AT_ONCE = 200
 
-_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-_TOKENIZERS: dict[str, tuple[Tokenizer, dict[str, bytes], str]] = {}
+# The pieces that the default tokenizer's pre-tokenizer makes of lower-cased text, and the
+# characters for which they are known to be right: ASCII, Latin letters in composed form, common punctuation.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+_PLAIN = re.compile(r"[\t\n\r -~\u00a1\u00ab\u00bb\u00bf-\u012f\u0131-\u024f\u2010-\u2027]*")
+_CHUNKS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+_SEPARATOR = "\x01"
+_TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def default_tokenizer() -> str:
@@ -50,28 +58,66 @@ def default_tokenizer() -> str:
 
 
 class WordTokenizer:
-    """Token ids of whole texts, one look-up per word.
+    """Token ids of whole texts, one look-up per piece.
 
-    The tokenizer's pre-tokenizer never joins characters across white space, so the ids of a text are those
-    of its words in turn. The ids of a word are kept as bytes; the store is emptied when full.
+    The tokenizer lower-cases, splits text into runs of letters, single digits and runs of other characters, and
+    encodes each by itself, so the ids of a text are those of its pieces in turn. Text with other characters, or
+    that may hold a special token, is handed over word by word as it is: no piece crosses white space. The ids
+    of pieces seen lately are kept in two generations; when the young one is full it replaces the old one.
     """
 
     def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.separator = self._ids(_SEPARATOR)
+
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
         if path not in _TOKENIZERS:
-            t = Tokenizer.from_file(path)
-            _TOKENIZERS[path] = (t, {}, "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
-        self.tokenizer, self.known, self.dtype = _TOKENIZERS[path]
+            _TOKENIZERS[path] = cls(path)
+        return _TOKENIZERS[path]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces: many are encoded as one text, with a separator between them to tell them apart."""
+        for at in range(0, len(pieces), PIECES_AT_ONCE):
+            group = pieces[at : at + PIECES_AT_ONCE]
+            ids = self._ids(f" {_SEPARATOR} ".join(group))
+            cuts = np.flatnonzero(ids == self.separator[0]).tolist() if len(self.separator) == 1 else []
+            if len(cuts) == len(group) - 1:
+                raw, width = ids.tobytes(), ids.itemsize
+                for w, a, b in zip(group, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True):
+                    self.young[w] = raw[a * width : b * width]
+            else:  # a piece holds the separator itself
+                for w in group:
+                    self.young[w] = self._ids(w).tobytes()
+
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return _PIECES.findall(text.lower())
+        out: list[str] = []
+        for chunk in _CHUNKS.findall(text):
+            out += _PIECES.findall(chunk.lower()) if _PLAIN.fullmatch(chunk) and "<|" not in chunk else [chunk]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids (``dtype``) of each text."""
-        words = [_WORD.findall(t) for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = list({w for ws in words for w in ws if w not in self.known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        if len(self.young) > HELD_PIECES:
+            self.young, self.old = {}, self.young
+        pieces = [self.pieces(t) for t in texts]
+        absent = []
+        for w in set(chain.from_iterable(pieces)).difference(self.young):
+            if (ids := self.old.get(w)) is None:
+                absent.append(w)
+            else:
+                self.young[w] = ids
+        self._learn(absent)
+        return [b"".join(map(self.young.__getitem__, ps)) for ps in pieces]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +129,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        tok = WordTokenizer(path)
+        tok = WordTokenizer.of(path)
         end = np.array([end_id], dtype=tok.dtype).tobytes()
         width = len(end)
         sent: dict[str | None, int] = {}
@@ -237,5 +283,5 @@ def pack(
     placed = join_null_safe(tokens, starts_before(tokens, "doc_tokens", ["source"], "_before"), ["_part", "source"])
     schema = f"doc_id {kind}, source string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     return placed.select("doc_id", "source", "doc_tokens", "ids", (F.col("_local") + F.col("_before")).alias("start")).mapInArrow(
-        _cut(order, schedule, WordTokenizer(path).dtype, with_ids), schema + (", ids binary" if with_ids else "")
+        _cut(order, schedule, WordTokenizer.of(path).dtype, with_ids), schema + (", ids binary" if with_ids else "")
     )
