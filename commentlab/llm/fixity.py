@@ -55,17 +55,15 @@ def _parents(nodes: DataFrame, keys: list[Column], order: list[str]) -> DataFram
 def build_levels(records: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
     """Written node tables from the leaves to the root: ``(replica, a, i, digest)``.
 
-    Below the archive roots ``a`` is the archive's number (null as -1) and ``i`` the node's place; above them i is 0
-    and a the place of a node over archives, as it is counted on its level.
+    Below the archive roots ``a`` is the archive's place and ``i`` the node's in it; above them i is 0 and a the
+    place of a node over archives, as it is counted on its level. Places count from 0, so that they meet in one root.
     """
-    archive = F.coalesce(F.col("archive"), F.lit(-1)).cast("bigint")
-    leaf = F.floor(F.col("offset") / range_bytes).cast("bigint")
-    leaves = _parents(records, [archive.alias("a"), leaf.alias("i")], ["offset", "length"])
+    leaves = _parents(records, [F.col("a"), F.floor(F.col("offset") / range_bytes).cast("bigint").alias("i")], ["offset", "length"])
     levels = [cut_lineage(leaves, "leaves")]
-    while (top := levels[-1].agg(F.max("i").alias("i"), F.max("a").alias("a"), F.min("a").alias("low")).first())["a"] is not None:
+    while (top := levels[-1].agg(F.max("i").alias("i"), F.max("a").alias("a")).first())["a"] is not None:
         if top["i"] > 0:
             above = _parents(levels[-1], [F.col("a"), F.floor(F.col("i") / fanout).cast("bigint").alias("i")], ["i"])
-        elif top["a"] != top["low"] or top["a"] not in (-1, 0):
+        elif top["a"] > 0:
             above = _parents(levels[-1], [F.floor(F.col("a") / fanout).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("i")], ["a"])
         else:
             break
@@ -93,10 +91,11 @@ def audit(a: DataFrame, b: DataFrame, range_bytes: int = RANGE_BYTES, fanout: in
     cols = ["archive", "offset", "length", "record_id", "digest"]
     records = a.select(F.lit("a").alias("replica"), *cols).unionByName(b.select(F.lit("b").alias("replica"), *cols))
     records = cut_lineage(records.distinct(), "records")
+    low = records.agg(F.min("archive")).first()[0] or 0
+    records = records.withColumn("a", F.coalesce(F.col("archive") - F.lit(low) + 1, F.lit(0)).cast("bigint"))
     levels = build_levels(records, range_bytes, fanout)
     bad = descend(levels, fanout)
-    place = [F.coalesce(F.col("archive"), F.lit(-1)).cast("bigint"), F.floor(F.col("offset") / range_bytes).cast("bigint")]
-    near = records.join(bad, (place[0] == F.col("a")) & (place[1] == F.col("i")), "left_semi")
+    near = records.withColumn("i", F.floor(F.col("offset") / range_bytes).cast("bigint")).join(bad, ["a", "i"], "left_semi")
     sides = near.groupBy("archive", "offset").agg(
         *[F.sort_array(F.collect_list(F.when(F.col("replica") == r, F.struct("length", "digest", "record_id")))).alias(f"in_{r}") for r in "ab"]
     )
