@@ -5,15 +5,16 @@ similarity of at least 0.75 share a token among the first n - ceil(0.75 n) + 1 o
 is the same for all documents. Every order here starts with the tokens whose bucket of a fixed-size corpus
 sketch is light, so common passages come last, and breaks ties by a hash of its own.
 
-1. Documents with equal sets are one class; one row of it, its representative, goes on.
-2. Representatives that share a prefix token under the first order meet in the group of that token's
-   smallest representative, its leader. One row per (leader, member) stands for all pairs of the group, so
-   their number grows with the documents, not with the square of a group.
-3. Groups are cut into blocks of about ``BLOCK`` members. In a block of short signatures (shingle counts in
-   hash buckets, which bound the overlap from above) members that can have no partner go.
-4. The other members' whole sets come in. Candidate pairs share prefix tokens under every order; the
+1. Within a task, documents with equal sets go on as one row. Rows that share a prefix token under the first
+   order meet in the group of that token; the group is named by the smallest of its rows, its leader, so that
+   the tokens of copies name one group. One row per (leader, member) stands for all pairs of the group: their
+   number grows with the documents, not with the square of a group. Rows of equal sets become one class.
+2. Groups are cut into blocks of about ``BLOCK`` members. Members without a partner of a fitting size go, then,
+   by short signatures (counts of shingles in hash buckets, which bound the overlap from above), members
+   that can have no partner.
+3. The other members' whole sets come in. Candidate pairs share prefix tokens under every order; the
    filters are intersected, and what is left is verified exactly. A block sends a tree of edges, not all pairs.
-5. In a group of more than one block, members of different components meet across blocks in the same way.
+4. In a group of more than one block, members of different components meet across blocks in the same way.
 
 Nothing is capped: every pair of linked texts is in one block at least, or linked already.
 
@@ -32,17 +33,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from commentlab.llm.common import join_null_safe, write_table
 from commentlab.llm.components import connected_components
-from commentlab.operators.order import global_rank
 from commentlab.session import cut_lineage
 
 WORDS = 5
 NUM, DEN = 75, 100  # similarity 0.75 as a ratio of integers
 ORDERS = (0x51ED27, 0x2545F4, 0x9E3779)  # seeds of the token orders; the first one builds the groups
 BUCKETS = 1 << 20  # of the corpus sketch: one byte each goes to the tasks, whatever the corpus
-SIGNATURE = 128
 BLOCK = 1024
 ROWS_AT_ONCE = 512
 BROADCAST_ROWS = 1_000_000  # of three numbers each
@@ -63,8 +63,8 @@ class Shingler:
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
 
-    def sets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ends, tokens): the sorted distinct tokens of text i are ``tokens[ends[i]:ends[i + 1]]``."""
+    def shingles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text number, token) of every shingle."""
         # bytes.lower() and bytes.split() know ASCII only: A-Z, and the six white-space characters of a word's ends
         words = [t.encode("utf-8").lower().split() for t in texts]
         if len(self.known) > HELD_WORDS:
@@ -83,13 +83,17 @@ class Shingler:
         short = [i for i, w in enumerate(words) if 0 < len(w) < WORDS]
         whole = [xxhash.xxh3_64_intdigest(b" ".join(words[i]), seed=len(words[i])) for i in short]
         doc = np.concatenate([doc[full], np.array(short, dtype=np.int64)])
-        code = np.concatenate([code[full], np.array(whole, dtype=np.uint64)])
+        return doc, np.concatenate([code[full], np.array(whole, dtype=np.uint64)])
+
+    def sets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, tokens): the sorted distinct tokens of text i are ``tokens[ends[i]:ends[i + 1]]``."""
+        doc, code = self.shingles(texts)
         order = np.lexsort((code, doc))
         doc, code = doc[order], code[order]
         first = np.ones(len(doc), dtype=bool)
         first[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
         doc, code = doc[first], code[first]
-        return np.searchsorted(doc, np.arange(len(n) + 1)), code
+        return np.searchsorted(doc, np.arange(len(texts) + 1)), code
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -119,7 +123,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets that stand out in this task's documents, with their counts."""
     counts, shingler = np.zeros(BUCKETS, dtype=np.int64), Shingler()
     for _, texts in _texts(batches):
-        counts += np.bincount((shingler.sets(texts)[1] & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        counts += np.bincount((shingler.shingles(texts)[1] & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
     mean = counts.mean()
     heavy = np.flatnonzero(counts > mean + 4 * np.sqrt(mean) + 3)
     yield pa.RecordBatch.from_arrays([pa.array(heavy), pa.array(counts[heavy])], names=["bucket", "n"])
@@ -138,29 +142,51 @@ def token_levels(docs: DataFrame) -> np.ndarray:
     return levels
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """Tokens per hash bucket, two to four a bucket: 32 times shorter than the set, at least."""
+    bits = max(1, int(len(tokens) - 1).bit_length() - 2)
+    return np.bincount((tokens >> _U(64 - bits)).astype(np.int64), minlength=1 << bits).clip(0, 255).astype(np.uint8).tobytes()
+
+
+def overlap_bound(a: bytes, b: bytes) -> int:
+    """No two sets with these signatures share more tokens than this."""
+    x, y = (np.frombuffer(s, dtype=np.uint8) for s in (a, b))
+    full = x.max() == 255 or y.max() == 255  # a bucket that may hold more than it can count
+    size = min(len(x), len(y))
+    x, y = (v.reshape(size, -1).sum(axis=1, dtype=np.int64) for v in (x, y))
+    return 1 << 60 if full else int(np.minimum(x, y).sum())
+
+
 def _describe(levels: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, part, rows = Shingler(), TaskContext.get().partitionId(), 0
+        met: dict[bytes, int] = {}  # one entry per different text of this task
         for batch, texts in _texts(batches):
             ends, tokens = shingler.sets(texts)
             n = np.diff(ends)
-            digests = [xxhash.xxh3_128_digest(tokens[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            cuts = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            digests = [xxhash.xxh3_128_digest(tokens[a:b].tobytes()) for a, b in cuts]
+            own = [(part << 33) + rows + i for i in range(len(n))]
+            rows += len(n)
+            rid = [met.setdefault(d, r) for d, r in zip(digests, own, strict=True)]
+            first = np.array([a == b for a, b in zip(rid, own, strict=True)]) & (n > 0)
             halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-            owner, first = prefixes(ends, tokens, levels, ORDERS[0])
+            owner, prefix = prefixes(ends, tokens, levels, ORDERS[0])
+            inside = first[owner]
+            owner, prefix = owner[inside], prefix[inside]
             starts = np.searchsorted(owner, np.arange(len(n) + 1)).astype(np.int32)
-            cells = np.repeat(np.arange(len(n)), n) * SIGNATURE + (tokens >> _U(57)).astype(np.int64)
-            sig = np.bincount(cells, minlength=len(n) * SIGNATURE).clip(0, 65535).astype("<u2").reshape(-1, SIGNATURE)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("text_id"),
                     pa.array(n),
+                    pa.array(rid, pa.int64()),
                     pa.array(halves[:, 0].copy()),
                     pa.array(halves[:, 1].copy()),
-                    pa.ListArray.from_arrays(pa.array(starts), pa.array(first.view(np.int64))),
-                    pa.array([s.tobytes() for s in sig], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(starts), pa.array(prefix.view(np.int64))),
+                    pa.array([signature(tokens[a:b]) if f else None for (a, b), f in zip(cuts, first.tolist(), strict=True)], pa.binary()),
                 ],
-                names=["doc_id", "text_id", "n", "h1", "h2", "prefix", "sig"],
+                names=["doc_id", "text_id", "n", "rid", "h1", "h2", "prefix", "sig"],
             )
 
     return run
@@ -221,18 +247,37 @@ def _alike(shared: np.ndarray, n: np.ndarray) -> np.ndarray:
     return DEN * shared >= NUM * (n[:, None] + n[None, :] - shared)
 
 
+def _fits(n: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return (NUM * n <= DEN * other) & (NUM * other <= DEN * n)
+
+
+def _sizes_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of one-block groups with a partner of a fitting size; all members of larger groups."""
+    for group in _groups(batches, ["leader", "block"]):
+        n = group.column("n").to_numpy()
+        keep = np.ones(len(n), dtype=bool)
+        if group.column("blocks")[0].as_py() == 1:
+            order = np.argsort(n, kind="stable")
+            close = NUM * n[order][1:] <= DEN * n[order][:-1]  # the nearest size decides
+            keep[order] = np.concatenate([close, [False]]) | np.concatenate([[False], close])
+        yield from group.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of one-block groups whose signature leaves a partner possible; all members of larger groups."""
     for group in _groups(batches, ["leader", "block"]):
         n = group.column("n").to_numpy()
         keep = np.ones(len(n), dtype=bool)
         if group.column("blocks")[0].as_py() == 1:
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype="<u2").reshape(-1, SIGNATURE).astype(np.int64)
+            sig = group.column("sig").to_pylist()
+            keep[:] = False
             for i in range(len(n)):
-                bound = np.where(sig[i].max() == 65535, n.sum(), np.minimum(sig[i], sig).sum(axis=1))
-                can = DEN * bound >= NUM * (n[i] + n - bound)
-                can[i] = False
-                keep[i] = can.any()
+                for j in np.flatnonzero(_fits(n[i], n[:i])).tolist():
+                    if keep[i] and keep[j]:
+                        continue
+                    bound = overlap_bound(sig[i], sig[j])
+                    if DEN * bound >= NUM * (int(n[i] + n[j]) - bound):
+                        keep[i] = keep[j] = True
         out = group.filter(pa.array(keep)).select(["leader", "block", "blocks", "cid"])
         yield from out.combine_chunks().to_batches()
 
@@ -247,7 +292,7 @@ def _link(levels: np.ndarray, keys: list[str]) -> Callable:
             n = np.array([len(t) // 8 for t in raw], dtype=np.int64)
             tokens = np.frombuffer(b"".join(raw), dtype=np.uint64)
             ends = np.concatenate([[0], np.cumsum(n)])
-            linked = (roots[:, None] != roots[None, :]) & (NUM * n[:, None] <= DEN * n[None, :]) & (NUM * n[None, :] <= DEN * n[:, None])
+            linked = (roots[:, None] != roots[None, :]) & _fits(n[:, None], n[None, :])
             for seed in ORDERS:
                 if not linked.any():
                     break
@@ -323,41 +368,46 @@ def _cross_blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.select("leader", "cid", "root", F.explode(F.when(is_main, with_main).otherwise(with_rest)).alias("pair"))
 
 
+def _number_classes(described: DataFrame, found: DataFrame) -> DataFrame:
+    """``(rid, cid, doc_id, text_id, n, sig)`` of the rows that are in a group: the smallest row of a set names it."""
+    rows = described.where(F.col("sig").isNotNull()).drop("prefix")
+    rows = write_table(rows.join(found.select("rid").distinct(), "rid"), "rows-in-groups")
+    classes = rows.groupBy("h1", "h2").agg(F.min("rid").alias("cid"))
+    return write_table(rows.join(cut_lineage(classes, "classes"), ["h1", "h2"]).drop("h1", "h2"), "numbered-rows")
+
+
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(described, classes, roots): a row per document, a row per set of shingles, a root per linked class."""
+    """(described, numbered, roots): a row per document, the class of each row in a group, a root per linked class."""
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
     levels = token_levels(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     described = write_table(
         docs.mapInArrow(
             _describe(levels),
-            f"doc_id {kind}, text_id bigint, n bigint, h1 bigint, h2 bigint, prefix array<bigint>, sig binary",
+            f"doc_id {kind}, text_id bigint, n bigint, rid bigint, h1 bigint, h2 bigint, prefix array<bigint>, sig binary",
         ),
         "described",
     )
-    row = F.struct("doc_id", "text_id")
-    classes = described.where(F.col("n") > 0).groupBy("h1", "h2").agg(F.min(row).alias("rep"))
-    classes = classes.select("h1", "h2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_id").alias("text_id"))
-    classes = cut_lineage(global_rank(classes, [F.col("doc_id").asc_nulls_last(), "text_id", "h1", "h2"], "cid"), "classes")
-
-    reps = join_null_safe(described.drop("h1", "h2"), classes.select("doc_id", "text_id", "cid"), ["doc_id", "text_id"])
-    # rows that repeat id and text describe the same set
-    reps = write_table(reps.groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig")), "representatives")
-    postings = reps.select("cid", F.explode("prefix").alias("token"))
-    leaders = postings.groupBy("token").agg(F.min("cid").alias("leader"), F.max("cid").alias("last"))
+    postings = described.select("rid", F.explode("prefix").alias("token"))
+    leaders = postings.groupBy("token").agg(F.min("rid").alias("leader"), F.max("rid").alias("last"))
     leaders = write_table(leaders.where(F.col("leader") < F.col("last")).drop("last"), "leaders")
-    members = write_table(postings.join(leaders, "token").select("leader", "cid").distinct(), "members")
+    found = write_table(postings.join(leaders, "token").select("leader", "rid").distinct(), "rows-by-leader")
+    numbered = _number_classes(described, found)
+    members = write_table(found.join(numbered.select("rid", "cid"), "rid").select("leader", "cid").distinct(), "members")
 
-    sizes = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
+    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n_members")).where(F.col("n_members") > 1)
+    sizes = sizes.select("leader", F.ceil(F.col("n_members") / BLOCK).cast("bigint").alias("blocks"))
     blocked = members.join(cut_lineage(sizes, "group-sizes"), "leader").withColumn("block", _block_of(F.col("cid"), F.col("blocks")))
-    described_members = blocked.join(reps.select("cid", "n", "sig"), "cid")
-    members = write_table(
-        _by_block(described_members, ["leader", "block"]).mapInArrow(_partners, "leader bigint, block int, blocks bigint, cid bigint"),
-        "possible-members",
-    )
-    wanted = write_table(classes.join(members.select("cid").distinct(), "cid").select("doc_id", "text_id", "cid"), "wanted")
+    one = numbered.where(F.col("rid") == F.col("cid"))
+    names = "leader bigint, block int, blocks bigint, cid bigint"
+    sized = blocked.join(one.select("cid", "n"), "cid").select("leader", "block", "blocks", "cid", "n")
+    fitting = write_table(_by_block(sized, ["leader", "block"]).mapInArrow(_sizes_fit, names + ", n bigint"), "members-of-fitting-size")
+    signed = fitting.join(one.select("cid", "sig"), "cid")
+    members = write_table(_by_block(signed, ["leader", "block"]).mapInArrow(_partners, names), "possible-members")
+
+    wanted = write_table(one.join(members.select("cid").distinct(), "cid").select("doc_id", "text_id", "cid"), "wanted")
     sets = _join_checked(docs, wanted, ["doc_id", "text_id"]).select("cid", "text").mapInArrow(_whole_sets, "cid bigint, tokens binary")
-    sets = write_table(sets, "sets").dropDuplicates(["cid"])
+    sets = write_table(sets, "sets").dropDuplicates(["cid"])  # rows that repeat id and text
 
     blocks = members.join(sets, "cid").withColumn("root", F.col("cid"))
     links = _by_block(blocks, ["leader", "block"]).mapInArrow(_link(levels, ["leader", "block"]), "a bigint, b bigint")
@@ -368,24 +418,20 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     if not across.isEmpty():
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = cut_lineage(connected_components(across.unionByName(stars)), "roots")
-    return described, classes, roots
+    return described, numbered, roots
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_id, n_shingles, class_id, root, component_id)`` for every row of ``docs``."""
-    described, classes, roots = similar_classes(docs)
-    named = classes.select("h1", "h2", "cid").join(roots.withColumnsRenamed({"node": "cid"}), "cid", "left")
-    named = named.select("h1", "h2", "cid", F.coalesce("root", "cid").alias("root"))
-    rows = described.select("doc_id", "text_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
-    rows = cut_lineage(rows.select("doc_id", "text_id", "n", "cid", "root"), "class-of-documents")
+    """``(doc_id, text_id, n_shingles, root, component_id)`` for every row of ``docs``; root names its component."""
+    described, numbered, roots = similar_classes(docs)
+    named = numbered.select("rid", "cid").join(roots.withColumnsRenamed({"node": "cid"}), "cid", "left")
+    named = cut_lineage(named.select("rid", F.coalesce("root", "cid").alias("root")), "root-of-row")
+    rows = described.select("doc_id", "text_id", "n", "rid").join(named, "rid", "left")
+    root = F.when(F.col("n") > 0, F.coalesce("root", "rid"))
+    rows = cut_lineage(rows.select("doc_id", "text_id", "n", root.alias("root")), "root-of-document")
     smallest = cut_lineage(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest")), "smallest")
     return rows.join(smallest, "root", "left").select(
-        "doc_id",
-        "text_id",
-        F.col("n").alias("n_shingles"),
-        F.col("cid").alias("class_id"),
-        "root",
-        F.coalesce("smallest", "doc_id").alias("component_id"),
+        "doc_id", "text_id", F.col("n").alias("n_shingles"), "root", F.coalesce("smallest", "doc_id").alias("component_id")
     )
 
 
