@@ -29,7 +29,7 @@ def docs_frame(spark, rows):
 
 
 EDGE = [
-    (1, None, "en", "a"), (2, "", "en", "a"), (3, " \t\r\n", None, None), (4, "one", "xx", None), (5, LONG, "en", "b"),
+    (1, None, "en", "a"), (2, "", "en", "a"), (3, " \t\r\n", None, None), (4, "one", "xx", None), (5, LONG, "zz", "b"),
     (6, "tie tie tie", "en", "b"), (7, "tie tie tie", "en", "b"), (8, "same row", "de", "b"), (8, "same row", "de", "b"), (None, "no id here", "fr", "c"),
     (10, "Ünïcode “quotes” ét ﬁ <|endoftext|> \x01 x", "fr", ""),
 ]
