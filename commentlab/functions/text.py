@@ -132,10 +132,8 @@ def word_punct_tokens(col: Column | str, max_chars: int | None = None) -> Column
     A documented regex tokenizer standing in for the reference's spaCy tokenizer; ``max_chars`` truncates
     the text first (T7) when given.
     """
-    out = F.lower(_c(col))
-    if max_chars is not None:
-        out = truncate_chars(out, max_chars)
-    return F.regexp_extract_all(out, F.lit(_WORD_J), 0)
+    out = _c(col) if max_chars is None else truncate_chars(col, max_chars)
+    return F.regexp_extract_all(F.lower(out), F.lit(_WORD_J), 0)
 
 
 def spark_sql_regex(pattern: str) -> str:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commentlab.functions.math import dot, dot_literal, relu
+from commentlab.operators.vocab import lookup_join
+from commentlab.session import cut_lineage
 
 MAX_WEIGHT_ROWS = 4096
 
@@ -72,32 +74,19 @@ def score_attention(matrix: DataFrame, layer1: list[list[float]], out: list[floa
     return matrix.withColumn("_h", hidden).withColumn("score", dot(F.col("_h"), F.array(*[F.lit(float(x)) for x in out])) + F.lit(b2)).drop("_h")
 
 
-SAFE_EXP_SPREAD = 700.0  # exp(-700) is still a normal double: no weight underflows to 0
-
-
 def doc_vector_attention(encoded: DataFrame, scored_matrix: DataFrame, token_id_col: str = "token_id", id_col: str = "id") -> DataFrame:
     """F3 step 2: softmax of the scores over a document's positions, weighted sum of the vectors.
 
-    softmax-weighted mean = Summarizer.mean(vec, weight = exp(score - c)) for any shift c. When the
-    scores of the whole vocabulary lie within ``SAFE_EXP_SPREAD`` (checked on the vocabulary-sized
-    table), c is the vocabulary maximum: one map-side-combined aggregate, no extra shuffle. Otherwise c
-    is each document's own maximum, joined back on the document id (one shuffle of the token ids)."""
-    from commentlab.operators.vocab import frequency_split_lookup
-
+    softmax-weighted mean = Summarizer.mean(vec, weight = n * exp(score - c)), with n the token's count in
+    the document and c the document's own largest score, so that no weight underflows. Tokens are counted per
+    document first, and the scored matrix is written once and read by both look-ups."""
     lookup = scored_matrix.select(F.col("id").alias(token_id_col), F.col("vec").cast("array<double>").alias("vec"), "score")
-    lookup = lookup.withColumn("_rank", F.col(token_id_col))  # vocabulary ids follow frequency rank
-
-    def attach(rows: DataFrame, cols: list[str]) -> DataFrame:
-        return frequency_split_lookup(rows, lookup.select(token_id_col, "_rank", *cols), token_id_col, "_rank", "inner")
-
-    hi, lo = scored_matrix.agg(F.max("score"), F.min("score")).first()
-    tokens = encoded.select(id_col, token_id_col)
-    if hi is not None and hi - lo < SAFE_EXP_SPREAD:
-        rows = attach(tokens, ["vec", "score"]).withColumn("_c", F.lit(float(hi)))
-    else:
-        doc_max = attach(tokens, ["score"]).groupBy(id_col).agg(F.max("score").alias("_c"))
-        rows = attach(tokens.join(doc_max, id_col), ["vec", "score"])
-    weighted = rows.withColumn("_w", F.exp(F.col("score") - F.col("_c")))
+    lookup = cut_lineage(lookup, "scored-matrix")
+    counts = encoded.groupBy(id_col, token_id_col).agg(F.count(F.lit(1)).alias("_n"))
+    scored = cut_lineage(lookup_join(counts, lookup.drop("vec"), token_id_col, "inner"), "scored-tokens")
+    top = scored.groupBy(id_col).agg(F.max("score").alias("_c"))
+    rows = lookup_join(scored.join(top, id_col), lookup.drop("score"), token_id_col, "inner")
+    weighted = rows.withColumn("_w", F.col("_n") * F.exp(F.col("score") - F.col("_c")))
     agg = weighted.groupBy(id_col).agg(Summarizer.mean(_vec(), F.col("_w")).alias("_m"))
     return agg.select(id_col, vector_to_array("_m").alias("vec"))
 

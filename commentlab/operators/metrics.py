@@ -126,8 +126,20 @@ def confusion_matrix(pairs: DataFrame, k: int, target_col: str = "target", pred_
 
 def fill_confusion(counts: DataFrame, k: int, target_col: str = "target", pred_col: str = "pred") -> DataFrame:
     """Counted cells (target, pred, n) completed to the k x k grid. The grid comes from ``range``
-    (no cross join); the counts have at most k*k rows, so broadcasting them is bounded."""
+    (no cross join). A cell outside 0..k-1, or with a null, is an error: the grid has a fixed size and
+    leaving the cell out would change the total."""
     spark = counts.sparkSession
+
+    def inside(c: str) -> Column:
+        return F.coalesce((F.col(c) >= 0) & (F.col(c) < k), F.lit(False))
+
+    valid = inside(target_col) & inside(pred_col)
+    wrong = F.raise_error(F.concat_ws(" ", F.lit(f"confusion cell outside 0..{k - 1}:"), F.col(target_col).cast("string"), F.col(pred_col).cast("string")))
+    counts = counts.select(
+        F.when(valid, F.col(target_col)).otherwise(wrong).cast("int").alias(target_col),
+        F.when(valid, F.col(pred_col)).otherwise(wrong).cast("int").alias(pred_col),
+        "n",
+    )
     grid = spark.range(k * k).select((F.col("id") / k).cast("int").alias(target_col), (F.col("id") % k).cast("int").alias(pred_col))
     return grid.join(F.broadcast(counts), [target_col, pred_col], "left").select(
         target_col, pred_col, F.coalesce("n", F.lit(0)).cast("bigint").alias("n")

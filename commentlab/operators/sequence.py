@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commentlab.functions.math import pad_left, pad_right, position_ids
-from commentlab.operators.vocab import frequency_split_lookup
+from commentlab.operators.vocab import lookup_join
 
 
 def to_sequence(encoded: DataFrame, id_col: str = "id", pos_col: str = "pos", value_col: str = "token_id", seq_col: str = "seq", max_len: int | None = None) -> DataFrame:
@@ -49,13 +49,9 @@ def one_hot_vectors(encoded: DataFrame, vocab_size: int, id_col: str = "id", tok
 
 
 def sequence_vectors(encoded: DataFrame, matrix: DataFrame, token_id_col: str = "token_id", extra: tuple[str, ...] = ()) -> DataFrame:
-    """Each token id replaced by its row of the embedding matrix ``(id, vec, *extra)``.
-
-    The matrix is broadcast when its size is within the bound. A larger one is split by frequency:
-    vocabulary ids follow frequency rank, so the lowest ids (the hot tokens) are broadcast and only rare
-    ids are shuffle-joined."""
+    """Each token id replaced by its row of the embedding matrix ``(id, vec, *extra)``."""
     m = matrix.select(F.col("id").alias(token_id_col), F.col("vec").cast("array<double>").alias("vec"), *extra)
-    return frequency_split_lookup(encoded, m.withColumn("_rank", F.col(token_id_col)), token_id_col, "_rank", "inner")
+    return lookup_join(encoded, m, token_id_col, "inner")
 
 
 def softmax_long(df: DataFrame, group_col: str, score_col: str, out_col: str = "p") -> DataFrame:

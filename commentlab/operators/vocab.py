@@ -1,8 +1,8 @@
 """Tokens, vocabularies, dictionaries and word vectors.
 
 Tables, not dictionaries: a vocabulary is a DataFrame ``(token, id, freq)``; lookups are joins. A lookup
-table is broadcast only after its row count has been checked against a bound; above the bound the join
-stays a shuffle join on the token.
+table is broadcast by its size in bytes, which the planner knows because lookups are written tables; a larger
+one is joined by a shuffle on the token.
 """
 
 from __future__ import annotations
@@ -17,41 +17,16 @@ from commentlab.operators.order import global_rank
 from commentlab.session import cut_lineage
 
 UNK, PAD = "<unk>", "<pad>"
-RESERVED = ("[PADDING]", "[UNK]", "[END]")
+RESERVED = ("[PADDING]", "[UNK]", "[END]")  # fixed values
 
-# A lookup side is broadcast only up to this many rows (about 64 floats per row: well under 1 GB).
-BROADCAST_MAX_ROWS = 2_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only if ``df`` provably has at most ``max_rows`` rows; otherwise return it as is.
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join ``rows`` to a written lookup table on ``key``: one plan and one schema for every size.
 
-    The check reads at most ``max_rows + 1`` rows, so it stays cheap on a large table.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def frequency_split_lookup(
-    rows: DataFrame, lookup: DataFrame, key: str, rank_col: str, how: str = "left", max_rows: int = BROADCAST_MAX_ROWS
-) -> DataFrame:
-    """Join ``rows`` to a lookup table whose ``rank_col`` orders entries by frequency (1 = most frequent).
-
-    A lookup within the bound is broadcast whole. A larger one is split: its ``max_rows`` most frequent
-    entries — which hold every hot key — are broadcast, and only the rows that miss them are shuffle-
-    joined with the remaining rare entries, so no shuffle partition receives a hot key. Entries with a
-    null rank (reserved tokens) go to the broadcast part."""
-    if lookup.limit(max_rows + 1).count() <= max_rows:
-        return rows.join(F.broadcast(lookup), key, how)
-    head_cond = F.col(rank_col).isNull() | (F.col(rank_col) <= max_rows)
-    head = lookup.where(head_cond).drop(rank_col)
-    tail = lookup.where(~head_cond).drop(rank_col)
-    value_cols = [c for c in head.columns if c != key]
-    marked = rows.join(F.broadcast(head.withColumn("_hit", F.lit(True))), key, "left")
-    hit = marked.where(F.col("_hit")).drop("_hit")
-    miss = marked.where(F.col("_hit").isNull()).drop("_hit", *value_cols)
-    rest = miss.join(tail, key, how)
-    return hit.unionByName(rest)
+    Spark broadcasts the lookup when the bytes of its files are below ``spark.sql.autoBroadcastJoinThreshold``;
+    otherwise both sides are shuffled on the key, and AQE splits the partitions of hot keys."""
+    return rows.join(lookup, key, how)
 
 
 def explode_tokens(df: DataFrame, id_col: str, tokens: Column, pos_col: str = "pos", token_col: str = "token") -> DataFrame:
@@ -100,16 +75,14 @@ def dictionary_ids(tokens: DataFrame, start_id: int = 1, reserved: Sequence[str]
 
 def encode_tokens(tokens: DataFrame, vocab: DataFrame, unk_id: int = 0, token_col: str = "token", id_col: str = "token_id") -> DataFrame:
     """Token -> id with ``unk_id`` for misses. The token rows keep their partitioning when the
-    vocabulary is broadcast, so a later group-by on the document id needs no new shuffle; a vocabulary
-    above the broadcast bound is joined by frequency split (hot tokens broadcast, rare ones shuffled)."""
-    lookup = vocab.select(F.col(token_col), F.col("id").alias(id_col), F.col("rank").alias("_rank"))
-    out = frequency_split_lookup(tokens, lookup, token_col, "_rank", "left")
+    vocabulary is broadcast, so a later group-by on the document id needs no new shuffle."""
+    out = lookup_join(tokens, vocab.select(F.col(token_col), F.col("id").alias(id_col)), token_col, "left")
     return out.withColumn(id_col, F.coalesce(F.col(id_col), F.lit(unk_id)).cast("bigint"))
 
 
 def vectors_in_vocab(vectors: DataFrame, vocab: DataFrame, token_col: str = "token") -> DataFrame:
     """D3: keep the word vectors whose token is in the vocabulary (left-semi join)."""
-    return vectors.join(bounded_broadcast(vocab.select(token_col)), token_col, "left_semi")
+    return lookup_join(vectors, vocab.select(token_col), token_col, "left_semi")
 
 
 def oov_tokens(vocab: DataFrame, vectors: DataFrame, token_col: str = "token") -> DataFrame:

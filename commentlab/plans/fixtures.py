@@ -1,9 +1,8 @@
 """Derived views over the supplied tables (FIXTURES.md §2), each as a Spark plan and as the DuckDB SQL the
 oracle runs. Every view is computed from the tables, so its work grows with them.
 
-Deviation from FIXTURES.md: ``word_vectors`` assigns embedding rows to the corpus tokens in md5 order
-(instead of vocabulary rank with a modulo gap), so vectors exist for rare tokens outside the vocabulary
-and the semi/anti joins (D3/D4) have both sides populated.
+``word_vectors`` gives nine embedding rows in ten to the most frequent tokens, with a gap at every tenth rank, and
+every tenth row to a rare token, so the semi/anti joins (D3/D4) have both sides populated.
 """
 
 from __future__ import annotations
@@ -68,12 +67,15 @@ def vocab(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> Data
 
 
 def word_vectors(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
-    """(token, vec): embedding row ``vec_id`` goes to the (vec_id+1)-th distinct token in md5 order."""
+    """(token, vec): by frequency rank, row ``vec_id`` goes to rank vec_id + 1; where vec_id ends in 9, to the
+    rank that is vec_id div 10 from the last."""
     counts = counts if counts is not None else token_counts(spark, sf)
-    distinct = counts.select("token")
-    ranked = order.global_rank(distinct, [F.md5("token"), F.col("token")], rank_col="rk")
+    ranked = order.global_rank(counts.select("token", "freq"), [F.col("freq").desc(), F.col("token")], rank_col="rk", total_col="total")
+    front = F.when(F.col("rk") % 10 != 0, F.col("rk") - 1)
+    back = (F.col("total") - F.col("rk")) * 10 + 9
+    given = ranked.select("token", F.explode(F.array(front, back)).alias("vec_id"))
     emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    return ranked.join(emb, ranked["rk"] - 1 == emb["vec_id"]).select("token", "vec")
+    return given.join(emb, "vec_id").select("token", "vec")
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,8 +162,8 @@ SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "word_vectors": (
         "SELECT t.token, e.embedding AS vec FROM ("
-        "SELECT token, row_number() OVER (ORDER BY md5(token), token) AS rk FROM (SELECT DISTINCT token FROM tokens)) t "
-        "JOIN embeddings e ON e.vec_id = t.rk - 1",
+        "SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS rk, count(*) OVER () AS total FROM tokens GROUP BY token) t "
+        "JOIN embeddings e ON (e.vec_id % 10 <> 9 AND e.vec_id = t.rk - 1) OR (e.vec_id % 10 = 9 AND e.vec_id = (t.total - t.rk) * 10 + 9)",
         ("tokens",),
     ),
     "scored": (

@@ -151,13 +151,21 @@ def test_results_unchanged_under_repartitioning(spark):
     assert a == b
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_frequency_split_lookup_equals_plain_join(spark, how):
-    from commentlab.operators.vocab import frequency_split_lookup
-
-    rows = spark.createDataFrame([(i, f"t{i % 37}") for i in range(500)] + [(999, "none")], "id int, token string")
-    lookup = spark.createDataFrame([(f"t{k}", 100 + k, k + 1) for k in range(30)] + [("<unk>", 0, None)], "token string, tid int, rank int")
-    split = frequency_split_lookup(rows, lookup, "token", "rank", how, max_rows=5)
-    plain = rows.join(lookup.drop("rank"), "token", how)
-    assert split.count() == plain.count()
-    assert split.exceptAll(plain.select(*split.columns)).count() == 0
+def test_lookups_keep_one_schema_and_can_be_written(spark, tmp_path):
+    from commentlab.operators import sequence as S
+    from commentlab.operators import vocab as V
+
+    vocab = spark.createDataFrame([("<unk>", 0, 0, None), ("a", 1, 5, 1)], "token string, id bigint, freq bigint, rank bigint")
+    matrix = spark.createDataFrame([(0, [0.0]), (1, [1.0])], "id bigint, vec array<double>")
+    tokens = spark.createDataFrame([(7, 0, "a"), (7, 1, "zz")], "id bigint, pos int, token string")
+    encoded = V.encode_tokens(tokens, vocab)
+    assert sorted(encoded.columns) == ["id", "pos", "token", "token_id"]
+    S.sequence_vectors(encoded, matrix).write.parquet(str(tmp_path / "v"))
+    assert sorted((r["pos"], r["vec"]) for r in spark.read.parquet(str(tmp_path / "v")).collect()) == [(0, [1.0]), (1, [0.0])]
+
+
+def test_confusion_refuses_cells_outside_the_grid(spark):
+    for bad in (5, -1, None):
+        cells = spark.createDataFrame([(0, 0), (1, 1), (bad, 0)], "target int, pred int")
+        with pytest.raises(Exception, match="confusion cell outside"):
+            M.confusion_accuracy(M.confusion_matrix(cells, 2)).collect()
