@@ -65,6 +65,12 @@ def array_sum(a: Column | str) -> Column:
     return F.aggregate(_c(a).cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def place_sum(col: Column | str) -> Column:
+    """Sum of entry times 1-based place: tells a vector from its permutations."""
+    c = F.col(col) if isinstance(col, str) else col
+    return array_sum(F.transform(c, lambda x, i: x.cast("double") * (i + 1)))
+
+
 def l2_norm(a: Column | str) -> Column:
     arr = _c(a).cast("array<double>")
     return F.sqrt(F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x * x))

@@ -2,7 +2,8 @@
 
 One binary model per label on a persisted feature table ``(id, features VectorUDT, <labels>)``. For a
 linear model on fixed features the joint multi-label soft-margin loss is the mean of the per-label
-logistic losses, so one logistic regression per label reaches the same optimum as joint training.
+logistic losses, so one logistic regression per label has the same optimum as joint training. A logistic
+fit runs until its tolerance is met; one that does not get there is an error. The SVM takes a fixed number of steps.
 Every fit is a distributed Spark ML job (gradient sums by tree aggregation); only coefficients — bounded
 by the feature dimension — live on the driver.
 
@@ -19,14 +20,18 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from commentlab.operators import metrics as M
+from commentlab.session import cut_lineage
+
+MAX_ITERATIONS = 400  # a fit that needs more is an error, not a result
+TOLERANCE = 1e-4  # of the objective, against its first value
+SVM_ITERATIONS = 50  # the hinge loss is not smooth and creeps on; a fixed number of steps is the parameter here
 
 MODELS: dict[str, Callable[[], object]] = {
-    "logistic": lambda: LogisticRegression(regParam=0.0, maxIter=50, standardization=True),
-    "logistic_l2": lambda: LogisticRegression(regParam=0.01, maxIter=50, standardization=True),
-    "linear_svm": lambda: LinearSVC(regParam=0.01, maxIter=50),
+    "logistic": lambda: LogisticRegression(regParam=0.0, maxIter=MAX_ITERATIONS, tol=TOLERANCE, standardization=True),
+    "logistic_l2": lambda: LogisticRegression(regParam=0.01, maxIter=MAX_ITERATIONS, tol=TOLERANCE, standardization=True),
+    "linear_svm": lambda: LinearSVC(regParam=0.01, maxIter=SVM_ITERATIONS),
 }
 
 
@@ -38,11 +43,11 @@ def make_model(name: str):
 
 
 def feature_frame(doc_vectors: DataFrame, labels: DataFrame, label_cols: Sequence[str]) -> DataFrame:
-    """F8: (id, features, labels...) with features as an ML vector, persisted for repeated fits."""
+    """F8: (id, features, labels...) with features as an ML vector, written once for repeated fits."""
     df = doc_vectors.join(labels.select("id", *label_cols), "id").select(
         "id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"), *[F.col(c).cast("double").alias(c) for c in label_cols]
     )
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return cut_lineage(df, "features")
 
 
 def fit_per_label(train: DataFrame, label_cols: Sequence[str], model: str = "logistic") -> dict[str, object]:
@@ -51,6 +56,10 @@ def fit_per_label(train: DataFrame, label_cols: Sequence[str], model: str = "log
     for label in label_cols:
         est = make_model(model).setFeaturesCol("features").setLabelCol(label)
         fitted[label] = est.fit(train)
+        summary = fitted[label].summary  # a property of one model kind, a method of the other
+        summary = summary() if callable(summary) else summary
+        if model != "linear_svm" and summary.totalIterations >= MAX_ITERATIONS:
+            raise RuntimeError(f"{model} for {label} has not converged in {MAX_ITERATIONS} iterations")
     return fitted
 
 

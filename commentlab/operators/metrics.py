@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commentlab.functions.math import argmax, logsumexp, sigmoid, soft_margin_term
-from commentlab.operators.order import batches, segmented_scan
+from commentlab.operators.order import segmented_scan
 
 
 def label_matrix(df: DataFrame, labels: Sequence[str], id_col: str = "id") -> DataFrame:
@@ -195,6 +195,6 @@ def mask_consistency(df: DataFrame, a: str, b: str, unscored: int = -1) -> DataF
     return df.agg(F.count(F.lit(1)).alias("checked"), F.sum(bad.cast("bigint")).alias("violations"))
 
 
-def assign_batches(df: DataFrame, order: Sequence[Column | str], batch_size: int = 64) -> DataFrame:
-    """W6 for evaluation batches."""
-    return batches(df, order, batch_size)
+def mask_violations(df: DataFrame, a: str, b: str, unscored: int = -1) -> DataFrame:
+    """The rows themselves."""
+    return df.where((F.col(a) != unscored) != (F.col(b) != unscored))

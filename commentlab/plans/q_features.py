@@ -2,7 +2,7 @@
 
 The token vectors are the word vectors of the supplied embeddings (D6); the weights are fixed embedding
 rows (``fixtures.head / kernels / attention``). Vectors are reported by their sum and L2 norm (and per
-kernel for F4), rounded to 6 places, so the check compares numbers rather than float arrays.
+kernel for F4), rounded to 6 places, and by the sum of entry times place, which a permutation of the entries would change.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ _DOC_MEAN = (
     "el AS (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM seq_vectors), "
     "dm AS (SELECT id, d, avg(x) AS m FROM el GROUP BY id, d), "
 )
-_SUM_NORM = "round(sum(m), 6) AS vec_sum, round(sqrt(sum(m * m)), 6) AS vec_norm"
+_SUM_NORM = "round(sum(m), 6) AS vec_sum, round(sqrt(sum(m * m)), 6) AS vec_norm, round(sum(m * d), 6) AS vec_places"
 
 
 def _summary(df: DataFrame) -> list:
-    return [r6(X.array_sum("vec")).alias("vec_sum"), r6(X.l2_norm("vec")).alias("vec_norm")]
+    return [r6(X.array_sum("vec")).alias("vec_sum"), r6(X.l2_norm("vec")).alias("vec_norm"), r6(X.place_sum("vec")).alias("vec_places")]
 
 
 def _head(spark: SparkSession, sf: str) -> list[tuple[str, list[float], float]]:
@@ -66,7 +66,8 @@ def doc_vector_mean(spark: SparkSession, sf: str) -> DataFrame:
     "doc_vector_last",
     vsql(
         "WITH l AS (SELECT id, arg_max(vec, pos) AS vec FROM seq_vectors GROUP BY id) "
-        "SELECT id, round(list_sum(vec), 6) AS vec_sum, round(sqrt(list_sum(list_transform(vec, lambda v: v * v))), 6) AS vec_norm FROM l",
+        "SELECT id, round(list_sum(vec), 6) AS vec_sum, round(sqrt(list_sum(list_transform(vec, lambda v: v * v))), 6) AS vec_norm, "
+        "round(list_sum(list_transform(vec, lambda v, i: v * i)), 6) AS vec_places FROM l",
         "seq_vectors",
     ),
 )
@@ -136,18 +137,18 @@ def linear_scores(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "feature_table",
     vsql(
-        "WITH " + _DOC_MEAN + "f AS (SELECT id, round(sum(m), 6) AS vec_sum FROM dm GROUP BY id) "
-        "SELECT f.id, f.vec_sum, c.toxic, c.quality FROM f JOIN scored_comments c ON f.id = c.id",
+        "WITH " + _DOC_MEAN + "f AS (SELECT id, round(sum(m), 6) AS vec_sum, round(sum(m * d), 6) AS vec_places FROM dm GROUP BY id) "
+        "SELECT f.id, f.vec_sum, f.vec_places, c.toxic, c.quality FROM f JOIN scored_comments c ON f.id = c.id",
         "seq_vectors",
         "scored_comments",
     ),
 )
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     """F8: (id, features, labels) for the scored comments, written as Parquet and read back."""
-    dv = Fe.doc_vector_mean(Corpus(spark, sf).seq_vectors())
     labels = fx.scored_comments(spark, sf).select("id", *fx.LABELS)
+    dv = Fe.doc_vector_mean(Corpus(spark, sf).seq_vectors(labels.select("id")))
     table = dv.join(labels, "id").select("id", F.col("vec").alias("features"), *fx.LABELS)
     path = scratch_path(spark, "feature_table")
     table.write.mode("overwrite").parquet(path)
     back = spark.read.parquet(path)
-    return back.select("id", r6(X.array_sum("features")).alias("vec_sum"), *fx.LABELS)
+    return back.select("id", r6(X.array_sum("features")).alias("vec_sum"), r6(X.place_sum("features")).alias("vec_places"), *fx.LABELS)

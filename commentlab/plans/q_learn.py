@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 
 from commentlab.operators import features as Fe
 from commentlab.operators import learn as Ln
+from commentlab.operators import metrics as M
 from commentlab.operators import monitor as W
 from commentlab.operators import order as O
 from commentlab.plans import fixtures as fx
+from commentlab.plans.fixtures import with_views
 from commentlab.plans.q_order import SEED, VAL_FRACTION
 from commentlab.plans.q_vocab import Corpus
 from commentlab.plans.registry import register
+from commentlab.session import scratch_path
 
 MIXED_TRAIN_ROWS = 10_000  # the reference fits its second-stage classifier on the first 10,000 feature rows
 
 
 def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Mean-pooled document vectors of the scored comments, split train / val (seeded, exact sizes)."""
-    dv = Fe.doc_vector_mean(Corpus(spark, sf).seq_vectors())
     labels = fx.scored_comments(spark, sf).select("id", *fx.LABELS)
+    dv = Fe.doc_vector_mean(Corpus(spark, sf).seq_vectors(labels.select("id")))
     feats = Ln.feature_frame(dv, labels, list(fx.LABELS))
     split = O.shuffled_split(feats.select("id"), "id", SEED, VAL_FRACTION)
     feats = feats.join(split, "id")
@@ -75,6 +78,26 @@ def model_selection(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("model", F.round("value", 6).alias("macro_accuracy"), "improved", "is_best")
 
 
+@register(
+    "batch_scoring",
+    with_views("SELECT toxic AS target, CAST(count(*) AS BIGINT) AS n, TRUE AS trace_is_accuracy FROM scored_comments GROUP BY toxic", "scored_comments"),
+)
+def batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """a fitted model scores the whole table, the predictions go to a file (A9) and are read back into a
+    confusion matrix, whose trace gives the accuracy: rows per class, and whether both accuracies agree."""
+    train, val = _features(spark, sf)
+    whole = train.unionByName(val)
+    scored = Ln.score_per_label(Ln.fit_per_label(train, ["toxic"], "logistic"), whole)
+    path = scratch_path(spark, "predictions")
+    scored.select("id", "target", "pred").write.option("header", True).csv(path)
+    back = spark.read.schema("id bigint, target int, pred int").option("header", True).csv(path)
+    cells = M.confusion_matrix(back, 2)
+    from_trace = M.confusion_accuracy(cells).first()["accuracy_pct"] / 100
+    from_rows = scored.agg(F.avg("match")).first()[0]
+    per_class = cells.groupBy("target").agg(F.sum("n").cast("bigint").alias("n")).where(F.col("n") > 0)
+    return per_class.select("target", "n", F.lit(abs(from_trace - from_rows) < 1e-9).alias("trace_is_accuracy"))
+
+
 @register("loss_history")
 def loss_history(spark: SparkSession, sf: str) -> DataFrame:
     """training loss per iteration and label, as a metric series (W1 form)."""

@@ -312,17 +312,6 @@ def exact_match(spark: SparkSession, sf: str) -> DataFrame:
     return M.exact_match(_pred(spark, sf)).select(r6("exact_match").alias("exact_match"))
 
 
-@register(
-    "batch_scoring",
-    with_views(_CM_SQL + _CM_ACC_SQL, "class_scores"),
-)
-def batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    """score a table (argmax of the class scores), confusion meter, accuracy."""
-    preds = M.class_predictions(fx.class_scores(spark, sf))
-    out = M.confusion_accuracy(M.confusion_matrix(preds, fx.N_CLASSES))
-    return out.select(F.col("total").cast("bigint"), F.col("correct").cast("bigint"), r6("accuracy_pct").alias("accuracy_pct"))
-
-
 # ---- metric series
 
 

@@ -77,14 +77,15 @@ def typed_load(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "read_vectors",
-    vsql("SELECT token, CAST(len(vec) AS BIGINT) AS dim, round(list_sum(CAST(vec AS DOUBLE[])), 6) AS vec_sum FROM word_vectors", "word_vectors"),
+    vsql("SELECT token, CAST(len(vec) AS BIGINT) AS dim, round(list_sum(CAST(vec AS DOUBLE[])), 6) AS vec_sum, "
+        "round(list_sum(list_transform(CAST(vec AS DOUBLE[]), lambda v, i: v * i)), 6) AS vec_places FROM word_vectors", "word_vectors"),
 )
 def read_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """A4: word-vector text with a ``count dim`` header line, parsed back."""
     path = scratch_path(spark, "vectors_txt")
     io.write_vectors_text(Corpus(spark, sf).vectors, path, fx.DIM)
     back = io.read_vectors_text(spark, path)
-    return back.select("token", F.col("dim").cast("bigint").alias("dim"), r6(X.array_sum("vec")).alias("vec_sum"))
+    return back.select("token", F.col("dim").cast("bigint").alias("dim"), r6(X.array_sum("vec")).alias("vec_sum"), r6(X.place_sum("vec")).alias("vec_places"))
 
 
 @register(

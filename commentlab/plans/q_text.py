@@ -197,3 +197,16 @@ def table_shape(spark: SparkSession, sf: str) -> DataFrame:
 )
 def mask_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return M.mask_consistency(fx.comments(spark, sf), "toxic", "quality")
+
+
+_MASKED = "SELECT id, CASE WHEN id % 10 = 3 THEN -1 ELSE toxic END AS toxic, quality FROM comments"
+
+
+@register(
+    "mask_violations",
+    with_views(f"SELECT id, toxic, quality FROM ({_MASKED}) WHERE (toxic <> -1) <> (quality <> -1)", "comments"),
+)
+def mask_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows whose two label columns disagree on being scored, on a view where one mask has holes."""
+    c = fx.comments(spark, sf).select("id", F.when(F.col("id") % 10 == 3, -1).otherwise(F.col("toxic")).alias("toxic"), "quality")
+    return M.mask_violations(c, "toxic", "quality")

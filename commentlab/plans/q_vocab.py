@@ -90,14 +90,16 @@ class Corpus:
             self._matrix = V.embedding_matrix(self.vocab, self.vectors, fx.DIM)
         return self._matrix
 
-    def encoded(self) -> DataFrame:
-        return V.encode_tokens(self.tokens, self.vocab, UNK_ID)
+    def encoded(self, ids: DataFrame | None = None) -> DataFrame:
+        """Encoded tokens, of the documents in ``ids`` only if given (they are picked before the look-up)."""
+        tokens = self.tokens if ids is None else self.tokens.join(ids, "id", "left_semi")
+        return V.encode_tokens(tokens, self.vocab, UNK_ID)
 
     def sequences(self) -> DataFrame:
         return S.to_sequence(self.encoded(), max_len=SEQ_LEN)
 
-    def seq_vectors(self) -> DataFrame:
-        return S.sequence_vectors(self.encoded(), self.matrix)
+    def seq_vectors(self, ids: DataFrame | None = None) -> DataFrame:
+        return S.sequence_vectors(self.encoded(ids), self.matrix)
 
 
 # ---- R1 / E8 / U2 / U3 / E6
@@ -228,12 +230,13 @@ def oov_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "embedding_matrix",
-    vsql(f"SELECT id, token, found, {_vec_sum_sql('vec')} AS vec_sum, {_vec_norm_sql('vec')} AS vec_norm FROM matrix", "matrix"),
+    vsql(f"SELECT id, token, found, {_vec_sum_sql('vec')} AS vec_sum, {_vec_norm_sql('vec')} AS vec_norm, "
+        "round(list_sum(list_transform(vec, lambda v, i: v * i)), 6) AS vec_places FROM matrix", "matrix"),
 )
 def embedding_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Every vocabulary id with its vector, zeros when missing."""
     m = Corpus(spark, sf).matrix
-    return m.select("id", "token", "found", r6(X.array_sum("vec")).alias("vec_sum"), r6(X.l2_norm("vec")).alias("vec_norm"))
+    return m.select("id", "token", "found", r6(X.array_sum("vec")).alias("vec_sum"), r6(X.l2_norm("vec")).alias("vec_norm"), r6(X.place_sum("vec")).alias("vec_places"))
 
 
 @register(
@@ -249,8 +252,8 @@ def vocab_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return V.vocab_coverage(Corpus(spark, sf).matrix)
 
 
-@register("sequence_vectors", vsql(f"SELECT id, pos, token_id, {_vec_sum_sql('vec')} AS vec_sum FROM seq_vectors", "seq_vectors"))
+@register("sequence_vectors", vsql(f"SELECT id, pos, token_id, {_vec_sum_sql('vec')} AS vec_sum, round(list_sum(list_transform(vec, lambda v, i: v * i)), 6) AS vec_places FROM seq_vectors", "seq_vectors"))
 def sequence_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Each token id replaced by its vector."""
     sv = Corpus(spark, sf).seq_vectors()
-    return sv.select("id", "pos", "token_id", r6(X.array_sum("vec")).alias("vec_sum"))
+    return sv.select("id", "pos", "token_id", r6(X.array_sum("vec")).alias("vec_sum"), r6(X.place_sum("vec")).alias("vec_places"))
