@@ -7,8 +7,9 @@ without case and outer punctuation, or equal in seven digits or more) share a po
 occurrence, however far. Loopy belief propagation passes messages over both kinds of edges, so that a word
 without a telling context takes the label of its other mentions in the document.
 
-The weights are fitted by pseudo-likelihood on ``TRAIN_WORDS`` words at most (those with the smallest hashes),
-labelled by the base spans and, for credentials, by fixed patterns; everything else covers all documents.
+The weights are fitted by pseudo-likelihood on a bounded sample: about ``TRAIN_DOCS`` documents, drawn by hash, and
+``TRAIN_WORDS`` of their words at most, labelled by the base spans and, for credentials, by fixed patterns.
+Everything else covers all documents.
 
 Spans are code points, end exclusive. Base spans stay; a word of the field is added where it overlaps none and its
 belief is at least ``MIN_BELIEF``. Cases: a null or empty text has no spans; equal rows get equal spans; texts
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "secret")  # the base kinds as listed, then the field's own
 LABELS = ("O", *KINDS)
 FEATURES = 1 << 12
+TRAIN_DOCS = 40_000
 TRAIN_WORDS = 20_000
 TRAIN_ROUNDS = 60
 MIN_BELIEF = 0.9
@@ -210,10 +212,12 @@ def fit(rows: np.ndarray, rounds: int = TRAIN_ROUNDS, rate: float = 0.5, decay:
     return w
 
 
-def train(docs: DataFrame, max_words: int = TRAIN_WORDS) -> Weights:
-    """Weights from at most ``max_words`` candidate words of all documents, chosen by hash."""
+def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_words: int = TRAIN_WORDS) -> Weights:
+    """Weights from a sample of documents: each is drawn by its hash with the chance ``max_docs`` / their number."""
+    chance = min(1.0, max_docs / max(1, docs.count()))
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    rows = keyed.mapInArrow(_training_rows, "order bigint, key bigint, place int, x array<bigint>")
+    drawn = keyed.where(F.pmod(F.xxhash64("key"), F.lit(1 << 32)) < int(chance * (1 << 32)))
+    rows = drawn.mapInArrow(_training_rows, "order bigint, key bigint, place int, x array<bigint>")
     picked = rows.orderBy("order", "key", "place").limit(max_words).select("x").toPandas()["x"]
     width = 3 + len(LABELS) + N_FEATURES
     return fit(np.array([np.asarray(x) for x in picked], dtype=np.int64).reshape(-1, width))
@@ -277,7 +281,7 @@ def added_spans(text: str, graph: Graph, p: np.ndarray, base: list[tuple[int, in
         b -= len(text[a:b]) - len(text[a:b].rstrip(_TRAIL))
         while at < len(taken) and taken[at][1] <= a:
             at += 1
-        if a >= b or any(s < b and a < e for s, e in taken[at : at + 4]):
+        if a >= b or (at < len(taken) and taken[at][0] < b):
             continue
         if runs and runs[-1][0] == label[node] - 1 and runs[-1][3] == graph.places[node] - 1:
             runs[-1][2:] = [b, graph.places[node]]
