@@ -5,8 +5,8 @@ For a query the contributions of a dimension come in falling order when its list
 are read step by step, all to the same depth. For every candidate the entries seen give a sum, and the rest is
 bounded from above by the last contributions read, from below by the lists' other ends, and on both sides by the
 norms of the unseen parts (an entry carries its vector's norm). When the k-th best lower bound is above what a
-candidate, seen or unseen, can still reach, it is an outsider; when the lists have nothing more to rule out,
-reading goes on for the candidates left until all their entries are met and their scores are exact.
+candidate, seen or unseen, can still reach, it is an outsider; reading then goes on only for the candidates left, until
+all their entries are met and their scores are exact.
 
 Query blocks meet candidate blocks pairwise, a bounded number of rows at a time; each pair sends k rows a query.
 
@@ -33,7 +33,8 @@ SCALE = 256
 BLOCK = 4096
 QUERY_BLOCK = 256
 STEPS = 8
-FIRST_CHECK = 3  # bounds rule out hardly anything before so many steps
+CHECKS = (3, 5)  # bounds are held against each other at 3/8 and 5/8 of the lists
+PAIRS_AT_ONCE = 20_000
 
 
 def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -69,69 +70,63 @@ def _pack_blocks(dims: int, lists: bool):
 
 
 class SortedLists:
-    """The sorted lists of one candidate block."""
+    """The sorted lists of one candidate block, read by all queries of a query block at once.
+
+    A query reads list d from its upper end where its weight is positive, else from its lower end. To a given depth
+    it has met the candidates at that end, so that what all queries have seen, and what bounds the rest, are
+    products of the queries' positive and negative parts with the entries met at either end.
+    """
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, orders: np.ndarray):
-        self.ids, self.values, self.orders = ids, values, orders
-        self.sorted = np.take_along_axis(values.T, orders, axis=1).astype(np.float64)
+        self.ids, self.values = ids, values.astype(np.float32)
+        self.whole = values.astype(np.int64)
+        self.sorted = np.take_along_axis(values.T, orders, axis=1).astype(np.float32)
+        self.place = np.empty(values.shape, dtype=np.int32)
+        np.put_along_axis(self.place, orders.T.astype(np.int64), np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
         self.norms = (values.astype(np.float64) ** 2).sum(axis=1)
 
-    def top(self, query: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and exact scores of candidates that may be among the k best, every one of the k best included."""
+    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds (queries, candidates) after ``depth`` entries of every list."""
+        m = len(self.ids)
+        parts = []
+        for weight, met, last, least in (
+            (np.maximum(queries, 0), self.place >= m - depth, self.sorted[:, m - depth], self.sorted[:, 0]),
+            (np.minimum(queries, 0), self.place < depth, self.sorted[:, depth - 1], self.sorted[:, -1]),
+        ):
+            met, sign = met.astype(np.float32), (weight != 0).astype(np.float32)
+            seen = weight @ (met * self.values).T
+            energy = sign @ (met * self.values**2).T
+            # what the lists can still give at most and at least, and the query's unseen norm
+            most = (weight * last).sum(axis=1)[:, None] - (weight * last) @ met.T
+            fewest = (weight * least).sum(axis=1)[:, None] - (weight * least) @ met.T
+            unseen = (weight**2).sum(axis=1)[:, None] - (weight**2) @ met.T
+            parts.append((seen, energy, most, fewest, unseen))
+        seen, energy, most, fewest, unseen = (x + y for x, y in zip(*parts, strict=True))
+        # single precision here: margins keep the bounds on the safe side
+        size = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))[:, None]
+        margin = 1 + 1e-4 * size * np.sqrt(self.norms.max())
+        rest = np.sqrt(np.maximum(self.norms * 1.0001 + 1 - energy, 0) * np.maximum(unseen + 1 + 1e-4 * size**2, 0))
+        return seen + np.maximum(fewest, -rest) - margin, seen + np.minimum(most, rest) + margin
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, candidate number, exact score) of all pairs that may be among a query's k best."""
         m = len(self.ids)
-        dims = np.flatnonzero(query)
-        q = query[dims].astype(np.float64)
-        # lists are read from the largest value for a positive weight, else from the smallest
-        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        low = q * np.where(q > 0, self.sorted[dims, 0], self.sorted[dims, -1]) if m else q
-        above, below = (self.orders[dims[up], ::-1], self.sorted[dims[up], ::-1], q[up, None], up), (self.orders[dims[down]], self.sorted[dims[down]], q[down, None], down)
-
-        def read(start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-            """Entries at depth ``start`` to ``end`` of every list: candidates, values, weights, list numbers."""
-            for order, value, weight, number in (above, below):
-                yield order[:, start:end], value[:, start:end], weight, number
-
-        weights = np.empty((len(dims), 3))
-        weights[:, 1], weights[:, 2] = low, q * q
-        partial, energy = np.zeros(m), np.zeros(m)
-        seen = np.zeros((m, len(dims)), dtype=np.float32)
-        alive = np.ones(m, dtype=bool)
-        if own is not None:
-            alive &= self.ids != own
-        last = np.zeros(len(dims))
-        step, depth = max(1, -(-m // STEPS)), 0
-        while depth < m and len(dims):
-            end = min(m, depth + step)
-            for at, value, weight, number in read(depth, end):
-                flat = at.ravel()
-                partial += np.bincount(flat, (value * weight).ravel(), minlength=m)
-                energy += np.bincount(flat, (value * value).ravel(), minlength=m)
-                seen.reshape(-1)[(at * len(dims) + number[:, None]).ravel()] = 1
-                last[number] = value[:, -1] * weight[:, 0]
-            depth = end
-            if depth == m:
+        alive = query_ids[:, None] != self.ids[None, :]
+        for step in CHECKS:
+            depth = m * step // STEPS
+            if m <= k + 1 or not depth or alive.sum(axis=1).max(initial=0) <= 2 * k:
                 break
-            if depth < FIRST_CHECK * step:
-                continue
-            weights[:, 0] = last
-            known = seen @ weights.astype(np.float32)
-            # single precision here: a margin keeps the bounds on the safe side
-            rest = np.sqrt(np.maximum(self.norms - energy, 0) * np.maximum(weights[:, 2].sum() - known[:, 2], 0)) * 1.0001 + 1
-            margin = 1 + 1e-5 * np.abs(weights[:, :2]).sum()
-            upper = partial + np.minimum(weights[:, 0].sum() - known[:, 0] + margin, rest)
-            lower = partial + np.maximum(low.sum() - known[:, 1] - margin, -rest)
-            n = int(alive.sum())
-            if n > k:
-                line = np.partition(lower[alive], n - k)[n - k]
-                alive &= upper >= line
-                if alive.sum() <= 2 * k:
-                    break
-        if depth < m and len(dims):  # resolve: read on, for the candidates left
-            for at, value, weight, _ in read(depth, m):
-                left = alive[at]
-                partial += np.bincount(at[left], (value * weight)[left], minlength=m)
-        found = np.flatnonzero(alive)
-        return found, np.rint(partial[found]).astype(np.int64)
+            lower, upper = self.bounds(queries.astype(np.float32), depth)
+            lower[~alive] = -np.inf
+            line = np.partition(lower, m - k, axis=1)[:, m - k]
+            alive &= upper >= line[:, None]
+        # resolve: the rest of the lists is read for the candidates left, until their scores are whole
+        q, c = np.nonzero(alive)
+        score = np.empty(len(q), dtype=np.int64)
+        for at in range(0, len(q), PAIRS_AT_ONCE):
+            part = slice(at, at + PAIRS_AT_ONCE)
+            score[part] = (queries[q[part]].astype(np.int64) * self.whole[c[part]]).sum(axis=1)
+        return q, c, score
 
 
 def _search(dims: int, k: int):
@@ -139,15 +134,15 @@ def _search(dims: int, k: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda c, kind, batch=batch, r=r: np.frombuffer(batch.column(c)[r].as_buffer(), dtype=kind)
-                ids = get("ids", "<i8")
+                ids, query_ids = get("ids", "<i8"), get("query_ids", "<i8")
                 lists = SortedLists(ids, get("values", "<i4").reshape(-1, dims), get("orders", "<i4").reshape(dims, -1))
-                queries, out = get("query_ids", "<i8"), []
-                for query_id, vector in zip(queries, get("query_values", "<i4").reshape(-1, dims), strict=True):
-                    found, score = lists.top(vector, query_id, k)
-                    best = np.lexsort((ids[found], -score))[:k]
-                    out.append((np.full(len(best), query_id), ids[found][best], score[best]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                q, c, score = lists.top(query_ids, get("query_values", "<i4").reshape(-1, dims), k)
+                order = np.lexsort((ids[c], -score, q))
+                q, c, score = q[order], c[order], score[order]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, pa.int64()) for x in (query_ids[q[best]], ids[c[best]], score[best])], names=["query_id", "vec_id", "score"]
+                )
 
     return run
 
@@ -156,7 +151,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK,
     """``(query_id, rank, vec_id, score)``: the k best other rows of every row of ``(id, v)`` that ``is_query`` holds for."""
     vectors = write_table(vectors, "integer-vectors")
     n, queries, dims = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    n_blocks, n_queries = max(1, -(-n // block)), max(1, -(-queries // query_block))
+    dims, n_blocks, n_queries = max(1, dims), max(1, -(-n // block)), max(1, -(-queries // query_block))
 
     def blocks(rows: DataFrame, number: int, lists: bool) -> DataFrame:
         cut = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(number)).cast("int"))
