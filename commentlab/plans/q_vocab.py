@@ -14,6 +14,7 @@ from commentlab.plans import fixtures as fx
 from commentlab.plans.fixtures import duck_lit, with_views
 from commentlab.plans.q_text import sql_clean_tokens, sql_word_punct
 from commentlab.plans.registry import r6, register
+from commentlab.session import cut_lineage
 from commentlab.sources.tables import table
 
 SEQ_LEN = 200  # the reference's max_seq_len
@@ -87,7 +88,7 @@ class Corpus:
     @property
     def matrix(self) -> DataFrame:
         if self._matrix is None:
-            self._matrix = V.embedding_matrix(self.vocab, self.vectors, fx.DIM)
+            self._matrix = cut_lineage(V.embedding_matrix(self.vocab, self.vectors, fx.DIM), "matrix")
         return self._matrix
 
     def encoded(self, ids: DataFrame | None = None) -> DataFrame:
