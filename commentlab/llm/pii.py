@@ -74,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) by kind as listed, then start."""
     out = [(0, a, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             out.append((1, *m.span()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -140,7 +140,7 @@ def build_graph(text: str) -> Graph | None:
         core = words[i].strip(_LEAD + _TRAIL).lower()
         digits = "".join(c for c in core if c in "0123456789")
         for key in {("w", core), ("d", digits if len(digits) >= 7 else core)}:
-            if key in last and last[key] < node - 1:
+            if key in last and places[last[key]] < i - 1:  # neighbours in the text have a chain edge
                 skip.append((last[key], node))
             last[key] = node
     return Graph([matches[i].span() for i in places], places, [word_features(words, i) for i in places], chain, sorted(set(skip)))

@@ -286,6 +286,17 @@ def test_skip_edges_carry_labels():
     assert linked[1].argmax() == 3 and linked[2].argmax() == 3 and linked[3].argmax() == 0
 
 
+def test_skip_edges_do_not_hang_on_candidates_between():
+    plain = " ".join(["plain"] * 500)
+    graph = pii.build_graph(f"4539148803436467 {plain} (4539148803436467), {plain} 1234567 7654321 1234567 1234567")
+    assert graph.places == [0, 501, 1002, 1003, 1004, 1005]
+    assert graph.skip == [(0, 1), (2, 4)] and graph.chain == [(2, 3), (3, 4), (4, 5)]
+
+
+def test_address_parts_with_many_zeros():
+    assert pii.base_spans("0" * 5000 + "1.2.3.000") == [(1, 0, 5009)]
+
+
 def test_beliefs_are_exact_on_a_chain():
     rng = np.random.default_rng(3)
     score, pot = rng.normal(size=(3, 2)), rng.normal(size=(2, 2, 2))
