@@ -76,7 +76,7 @@ class Shingler:
         doc = np.repeat(np.arange(len(n)), n)
         left = np.repeat(np.cumsum(n), n) - np.arange(len(flat))  # words from here to the text's end
         code = _mix(flat)
-        for k in range(1, WORDS):
+        for k in range(1, min(WORDS, len(flat))):
             code = code.copy()
             code[: len(flat) - k] = _mix(code[: len(flat) - k] * _U(3) + flat[k:])
         full = left >= WORDS

@@ -58,6 +58,20 @@ def test_query_equals_brute_force(spark):
     assert got == sorted(jaccard_answer([tuple(r) for r in docs]))
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_few_words_in_all(n):
+    text = " ".join(f"w{i}" for i in range(n))
+    for texts in ([text], ["", text, ""], [text, "a b c d e f g"]):
+        doc, token = J.Shingler().shingles(texts)
+        assert [(doc == i).sum() for i in range(len(texts))] == [max(len(w) - 4, min(1, len(w))) for w in map(str.split, texts)]
+        assert set(J.Shingler().shingles([text])[1].tolist()) == set(token[doc == texts.index(text)].tolist())
+
+
+@pytest.mark.parametrize("text", ["one two", "one two three"])
+def test_one_short_row(spark, text):
+    assert answer(spark, [(1, text, None, 1)]) == sorted(jaccard_answer([(1, text)]), key=repr)
+
+
 def test_empty_table(spark):
     assert answer(spark, []) == []
 
