@@ -44,10 +44,12 @@ HELD_PIECES = 250_000
 PIECES_AT_ONCE = 200
 
 # The pieces that the default tokenizer's pre-tokenizer makes of lower-cased text, and the
-# characters for which they are known to be right: ASCII, Latin letters in composed form, common punctuation.
+# characters for which they are known to be right: ASCII, Latin letters in composed form (without the capitals
+# whose small letter lies beyond these), common punctuation.
 _LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
-_PLAIN = re.compile(r"[\t\n\r -~\u00a1\u00ab\u00bb\u00bf-\u012f\u0131-\u024f\u2010-\u2027]*")
+_EXTENDED = "".join(c for c in map(chr, range(0x131, 0x250)) if c.lower() <= "\u024f")
+_PLAIN = re.compile(rf"[\t\n\r -~\u00a1\u00ab\u00bb\u00bf-\u012f{_EXTENDED}\u2010-\u2027]*")
 _CHUNKS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 _SEPARATOR = "\x01"
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -137,6 +137,14 @@ def test_word_tokenizer_is_exact():
         assert np.frombuffer(ids, tok.dtype).tolist() == tok.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_pieces_are_exact_for_every_character():
+    tok = packing.WordTokenizer(packing.default_tokenizer())
+    chars = [chr(i) for i in range(0x3000) if chr(i) not in packing._CHUNKS.sub("", chr(i))]
+    texts = [t for c in chars for t in (c, f"{c}li", f"a{c}b", f"x{c}", f"{c}{c}'s 1{c}2 {c}.")]
+    for t, ids in zip(texts, tok.encode(texts), strict=True):
+        assert np.frombuffer(ids, tok.dtype).tolist() == tok.tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 # ---- 3
 
 
