@@ -8,8 +8,8 @@ holds such a url passes no block on. Urls that differ only by scheme, host case,
 parameters are one node; an edge may lead to a url that is no page, which is judged by the rules as well.
 
 Cases: a null url, or one without ``://``, has empty host and path, is fitted by no rule and has no alias; null or
-empty html has no edges; repeated urls and pages are judged alike; only tags of up to 1,000 characters are
-read; hosts match by their last 127 labels. Columns beside page_id, url and html do not matter.
+empty html has no edges; repeated urls and pages are judged alike; tags are read whole, whatever their length, and
+one without an end is none; hosts match by their last 127 labels. Columns beside page_id, url and html do not matter.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ RULES = (
     ("block", "com", "/de/"),
 )
 MAX_LABELS = 127
-_TAG = r"(?i)<(?:link|meta)\b[^>]{0,1000}>"
+_TAG = r"(?i)<(?:link|meta)\b[^>]*+>?"  # matches a tag without an end as well, so that its text is read once
 _CANONICAL = r"""(?i)\brel\s*=\s*["']?canonical\b"""
 _HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""
@@ -97,7 +97,7 @@ def _resolve(base: Column, target: Column) -> Column:
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``(a, b)`` nodes: each page and the targets of its canonical links and refresh redirects."""
     tags = F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0)))
-    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", tags.alias("tag"))
+    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", tags.alias("tag")).where(F.endswith("tag", F.lit(">")))
     target = F.when(found.tag.rlike(_CANONICAL), F.regexp_extract("tag", _HREF, 1)).when(
         found.tag.rlike(_REFRESH), F.regexp_extract("tag", _REFRESH_URL, 1)
     )

@@ -84,6 +84,19 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge_urls(pages.limit(0), url_filter.rules_table(spark)).count() == 0
 
 
+def test_long_tags_are_read_whole(spark):
+    long = "q=" + "x" * 2000
+    pages = spark.createDataFrame(
+        [
+            (1, "http://a.net/1", f'<html><link href="http://b.com/de/1?{long}" rel=canonical>'),
+            (2, "http://a.net/2", f'<meta data-x="{long}" http-equiv=refresh content="0; url=http://b.com/de/2"><p>'),
+            (3, "http://a.net/3", "<link " * 200_000 + "rel=canonical href=http://b.com/de/3"),
+        ],
+        "page_id int, url string, html string",
+    )
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, url_filter.rules_table(spark)).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
 # ---- 2
 
 
