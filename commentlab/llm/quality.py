@@ -2,7 +2,8 @@
 
 Two histograms of every whole text are compared with references of its language by Jensen-Shannon distance
 (base 2, 0 to 1): character classes, and common words (one bin a word, one for all other words, one for
-tokens without a letter). The references are counted over all documents of the language; a word is common
+tokens without a letter). The references are counted over all different texts of the language, so that copies
+do not move them; a word is common
 when it makes up at least one in ``COMMON_SHARE`` of the language's words, so a language has a bounded
 number of them. A distance counts only from a minimum length on, because short texts scatter widely. A
 document is rejected when a base rule fails or a counted distance is above its limit.
@@ -34,6 +35,7 @@ MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.32
 MIN_WORDS, MAX_WORD_DISTANCE = 100, 0.53
 WINDOW = 5
 HELD_WORDS = 100_000
+FILTER_BITS = 1 << 24  # of the filter of repeated texts: 2 MB go to the tasks, whatever the corpus
 
 # The symbols of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -142,6 +144,28 @@ class Reference:
         return jensen_shannon(own, self.histogram)
 
 
+def _repeated_texts(texts: DataFrame) -> np.ndarray:
+    """Filter of the hashes ``h`` of texts that more than one row of a language holds; its size does not grow."""
+    repeated = texts.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bit, width = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)), 1 << 15  # of one bitmap of Spark's
+    maps = repeated.groupBy(F.floor(bit / width).cast("int").alias("at")).agg(F.bitmap_construct_agg(bit % width).alias("bits")).collect()
+    bits = np.zeros((FILTER_BITS // width, width // 8), dtype=np.uint8)
+    for r in maps:
+        bits[r["at"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return bits.ravel()
+
+
+def _filtered(bits: np.ndarray, hit: bool):
+    """Batches of the rows whose hash is in the filter, or of those whose hash is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("h").to_numpy() & (FILTER_BITS - 1)
+            yield batch.filter(pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1) == hit))
+
+    return run
+
+
 def _count_references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str | None, Counter] = defaultdict(Counter)
     classes: dict[str | None, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES), dtype=np.int64))
@@ -168,17 +192,18 @@ def _count_references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def build_references(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> dict[str, Reference]:
-    """References of every language with enough words, counted over all documents.
+    """References of every language with enough words, counted over all different texts.
 
-    Tasks send partial counts; words are summed by (language, word). Only what is bounded by definition
+    Texts whose hash is not in the filter of repeated ones stand once and are counted where they are read; of the
+    others one row each (by 128 bits of hash) is counted after a shuffle. Tasks send partial counts; words are summed by (language, word). Only what is bounded by definition
     comes back: the class counts, and at most ``COMMON_SHARE`` words a language.
     """
-    parts = write_table(
-        docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(
-            _count_references, "lang string, word string, cls int, n bigint"
-        ),
-        "language-counts",
-    )
+    texts = docs.select(F.col("lang").cast("string").alias("lang"), "text").where(F.col("lang").isNotNull() & (F.col("text") != ""))
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    bits, counted = _repeated_texts(texts), "lang string, word string, cls int, n bigint"
+    copies = texts.withColumn("g", F.xxhash64(F.lit(1), "text")).mapInArrow(_filtered(bits, True), "lang string, text string, h bigint, g bigint")
+    once = texts.mapInArrow(lambda batches: _count_references(_filtered(bits, False)(batches)), counted)
+    parts = write_table(once.union(copies.dropDuplicates(["lang", "h", "g"]).mapInArrow(_count_references, counted)), "language-counts")
     is_word = F.col("word") != ""
     totals = parts.groupBy("lang").agg(
         F.sum(F.when(is_word, F.col("n")).otherwise(0)).alias("n_words"),

@@ -238,6 +238,22 @@ def test_quality_base_and_verdict(spark):
     assert quality.quality(docs_frame(spark, [])).count() == 0
 
 
+def sentences(seed, n_docs, n_words, rare="w"):
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["the", "of", "and", "to", "in"]) if rng.random() < 0.5 else f"{rare}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"
+    return [" ".join(word() for _ in range(n_words)) for _ in range(n_docs)]
+
+
+def test_copies_do_not_move_the_references(spark):
+    rows = [(i, t, "en", "a") for i, t in enumerate(sentences(7, 60, 150))] + [(60, " ".join(f"copy{i % 390}" for i in range(400)), "en", "a"), (61, None, "en", "a"), (62, "", None, "a")]
+    copies = [(100 + i, rows[60][1], lang, "a") for i in range(300) for lang in ("en", None)]
+    plain, more = (quality.build_references(docs_frame(spark, r)) for r in (rows, rows + rows[:20] + copies))
+    assert list(plain) == list(more) == ["en"]
+    assert plain["en"].words == more["en"].words and (plain["en"].classes == more["en"].classes).all() and plain["en"].n_words == more["en"].n_words
+    kept = [{r["doc_id"] for r in quality.quality(docs_frame(spark, x)).collect() if r["kept"] and r["doc_id"] < 60} for x in (rows, rows + copies)]
+    assert kept[0] == kept[1] == set(range(60))
+
+
 def test_quality_query_equals_brute_force(spark):
     texts = dict(map(tuple, spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()))
     for r in queries.QUERIES["op5_divergence_rules"](spark, SF_SMALL).collect():
