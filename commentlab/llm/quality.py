@@ -5,7 +5,8 @@ Two histograms of every whole text are compared with references of its language
 tokens without a letter). The references are counted over all different texts of the language, so that copies
 do not move them; a word is common
 when it makes up at least one in ``COMMON_SHARE`` of the language's words, so a language has a bounded
-number of them. A distance counts only from a minimum length on, because short texts scatter widely. A
+number of them. A distance counts only from a minimum length on, because short texts scatter widely, and the
+limit of the word distance falls with the length up to ``FULL_WORDS`` words. A
 document is rejected when a base rule fails or a counted distance is above its limit.
 
 Cases: a null or empty text has no words and fails the base rules. A document whose language is null or has
@@ -32,7 +33,8 @@ COMMON_SHARE = 1000  # a common word: at least one in so many words of its langu
 MIN_REFERENCE_WORDS = 2000
 MAX_LANGUAGES = 1000
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.32
-MIN_WORDS, MAX_WORD_DISTANCE = 100, 0.53
+MIN_WORDS, MAX_WORD_DISTANCE = 30, 0.53
+FULL_WORDS, SCATTER = 100, 0.5  # below so many words the limit is higher, as a sample's scatter falls with the root of its length
 WINDOW = 5
 HELD_WORDS = 100_000
 FILTER_BITS = 1 << 24  # of the filter of repeated texts: 2 MB go to the tasks, whatever the corpus
@@ -225,6 +227,11 @@ def build_references(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> dic
     }
 
 
+def word_limit(n: int) -> float:
+    """Limit of the word distance of a text of ``n`` words."""
+    return MAX_WORD_DISTANCE + SCATTER * max(0.0, n**-0.5 - FULL_WORDS**-0.5)
+
+
 def judge_text(text: str, refs: list[Reference], keys: WordKeys) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char and word distance, kept."""
     words = _WORD.findall(text)
@@ -236,7 +243,7 @@ def judge_text(text: str, refs: list[Reference], keys: WordKeys) -> tuple:
     if n >= MIN_WORDS and refs:
         counts = keys.count(words)
         by_word = min(r.word_distance(counts) for r in refs)
-    far = (by_class or 0) > MAX_CHAR_DISTANCE or (by_word or 0) > MAX_WORD_DISTANCE
+    far = (by_class or 0) > MAX_CHAR_DISTANCE or (by_word is not None and by_word > word_limit(n))
     return n, chars, int(classes[1]), duplicate_lines(text), repeats, failed, by_class, by_word, not failed and not far
 
 

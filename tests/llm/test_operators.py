@@ -254,6 +254,14 @@ def test_copies_do_not_move_the_references(spark):
     assert kept[0] == kept[1] == set(range(60))
 
 
+def test_short_junk_is_rejected(spark):
+    assert quality.word_limit(30) > quality.word_limit(50) > quality.word_limit(100) == quality.word_limit(5000) == quality.MAX_WORD_DISTANCE
+    rows = [(i, t, "en", "a") for i, t in enumerate(sentences(8, 60, 150) + sentences(9, 40, 60))]
+    menus = [(1000 + n, " | ".join(f"entry{chr(97 + i % 26)}{i}" for i in range(n // 2 + 1)), "en", "a") for n in (30, 40, 60, 98)]
+    got = {r["doc_id"]: r for r in quality.quality(docs_frame(spark, rows + menus)).collect()}
+    assert all(got[i]["kept"] for i in range(100)) and not any(got[m[0]]["kept"] or got[m[0]]["base_failed"] for m in menus)
+
+
 def test_quality_query_equals_brute_force(spark):
     texts = dict(map(tuple, spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()))
     for r in queries.QUERIES["op5_divergence_rules"](spark, SF_SMALL).collect():
