@@ -9,9 +9,9 @@ number of them. A distance counts only from a minimum length on, because short t
 limit of the word distance falls with the length up to ``FULL_WORDS`` words. A
 document is rejected when a base rule fails or a counted distance is above its limit.
 
-Cases: a null or empty text has no words and fails the base rules. A document whose language is null or has
-too few words for a reference is held against every reference, and the nearest counts; without any reference
-no distance is counted. Equal rows are judged each. Ties of word counts do not matter.
+Cases: a null or empty text has no words and fails the base rules. A document whose language is null is
+held against every reference, and the nearest counts; one that names a language with too few words for a reference,
+or any document where there is none, has no distance counted. Equal rows are judged each. Ties of word counts do not matter.
 """
 
 from __future__ import annotations
@@ -253,14 +253,19 @@ _FIELDS = [
 ]
 
 
+def references_for(lang: str | None, references: dict[str, Reference]) -> list[Reference]:
+    """What a document is held against: its language's reference if there is one, all if it names no language."""
+    return list(references.values()) if lang is None else [references[lang]] if lang in references else []
+
+
 def judge(docs: DataFrame, references: dict[str, Reference], id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``id_cols`` and the measures, distances and verdict of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, keys = list(references.values()), WordKeys()
+        keys = WordKeys()
         for batch in batches:
             rows = [
-                judge_text(text or "", [references[lang]] if lang in references else every, keys)
+                judge_text(text or "", references_for(lang, references), keys)
                 for lang, text in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist(), strict=True)
             ]
             cols = list(zip(*rows, strict=True)) or [[]] * len(_FIELDS)
@@ -288,10 +293,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
     references = build_references(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, keys = list(references.values()), WordKeys()
+        keys = WordKeys()
         for batch in batches:
             good = [
-                judge_text(text or "", [references[lang]] if lang in references else every, keys)[-1]
+                judge_text(text or "", references_for(lang, references), keys)[-1]
                 for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)
             ]
             yield batch.filter(pa.array(good, pa.bool_()))

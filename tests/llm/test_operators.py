@@ -262,6 +262,15 @@ def test_short_junk_is_rejected(spark):
     assert all(got[i]["kept"] for i in range(100)) and not any(got[m[0]]["kept"] or got[m[0]]["base_failed"] for m in menus)
 
 
+def test_language_without_a_reference_has_no_distance(spark):
+    rare = " ".join("\u0441\u043b\u043e\u0432\u043e" + chr(0x430 + i % 32) + chr(0x430 + i // 32) for i in range(120))
+    rows = [(i, t, "en", "a") for i, t in enumerate(sentences(10, 60, 150))] + [(100, rare, "ru", "a"), (101, rare, None, "a")]
+    docs = docs_frame(spark, rows)
+    got = {r["doc_id"]: (r["char_distance"], r["word_distance"], r["kept"]) for r in quality.quality(docs).collect()}
+    assert got[100] == (None, None, True) and got[101][0] > quality.MAX_CHAR_DISTANCE and not got[101][2]
+    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == set(range(60)) | {100}
+
+
 def test_quality_query_equals_brute_force(spark):
     texts = dict(map(tuple, spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()))
     for r in queries.QUERIES["op5_divergence_rules"](spark, SF_SMALL).collect():
