@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from commentlab.llm import fixity, line_dedup, mixing, ngram_join, packing, pii, quality, sharding, topk, url_filter
+from commentlab.llm import fixity, line_dedup, mixing, ngram_join, packing, pii, quality, sharding, token_counts, topk, url_filter
 from commentlab.sources.tables import table
 
 QUERIES = {}
@@ -244,6 +244,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_docs(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
 
 
+@query("op13_heap_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_docs(spark, sf_dir))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
