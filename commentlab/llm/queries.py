@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from commentlab.llm import fixity, line_dedup, mixing, ngram_join, packing, pii, quality, sharding, token_counts, topk, url_filter
+from commentlab.llm import alignment, fixity, hard_negatives, line_dedup, mixing, ngram_join, packing, pii, quality, sharding, token_counts, topk, url_filter
 from commentlab.sources.tables import table
 
 QUERIES = {}
@@ -244,6 +244,38 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_docs(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
 
 
+@query("op11_end_index_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_docs(spark, sf_dir))
+
+
+NEGATIVES_SQL = """
+WITH usable AS (
+  SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256.0::DOUBLE * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.rn, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM usable a JOIN usable c ON a.vec_id % 100 = 0 AND c.rn <> a.rn),
+positives AS (
+  SELECT rn, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS place
+  FROM pairs WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.rn = p.rn AND NOT n.same AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+WINDOW best AS (PARTITION BY p.rn, p.place ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER best <= 5
+"""
+
+
+@query("op12_cover_tree_negatives", NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.integer_rows(table(spark, sf_dir, "embeddings", spread_by=False), moved)
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 @query("op13_heap_token_counts")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_docs(spark, sf_dir))
