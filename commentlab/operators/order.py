@@ -170,6 +170,17 @@ def shuffled_split(
     return ordered_split(df, [shuffle_key(id_col, seed), F.col(id_col)], val_fraction, split_col)
 
 
+def three_way_split(
+    df: DataFrame, id_col: str, seed: int = 666, val_fraction: float = 0.2, test_fraction: float = 0.2, split_col: str = "split"
+) -> DataFrame:
+    """S4 with a third part: in the seeded order first 'val', then 'test', the rest 'train', all of exact sizes."""
+    ranked = global_rank(df, [shuffle_key(id_col, seed), F.col(id_col)], rank_col="_pos", total_col="_n")
+    val = F.floor(F.col("_n") * F.lit(val_fraction))
+    test = val + F.floor(F.col("_n") * F.lit(test_fraction))
+    part = F.when(F.col("_pos") <= val, "val").when(F.col("_pos") <= test, "test").otherwise("train")
+    return ranked.withColumn(split_col, part).drop("_pos", "_n")
+
+
 def shuffled_order(df: DataFrame, id_col: str, seed: int = 666, order_col: str = "ord") -> DataFrame:
     """1-based shuffled position of every row."""
     return global_rank(df, [shuffle_key(id_col, seed), F.col(id_col)], rank_col=order_col)

@@ -58,6 +58,20 @@ def split_shuffled(spark: SparkSession, sf: str) -> DataFrame:
     return O.shuffled_split(fx.scored_comments(spark, sf).select("id"), "id", SEED, VAL_FRACTION)
 
 
+TEST_FRACTION = 0.2
+THREE_WAY_SQL = (
+    f"SELECT id, CASE WHEN rk <= floor({VAL_FRACTION} * n) THEN 'val' WHEN rk <= floor({VAL_FRACTION} * n) + floor({TEST_FRACTION} * n) "
+    "THEN 'test' ELSE 'train' END AS split FROM "
+    f"(SELECT id, row_number() OVER (ORDER BY {SHUFFLE_SQL}) AS rk, count(*) OVER () AS n FROM scored_comments)"
+)
+
+
+@register("split_three_way", with_views(THREE_WAY_SQL, "scored_comments"))
+def split_three_way(spark: SparkSession, sf: str) -> DataFrame:
+    """S4 with a test part: models are chosen on val and reported on test."""
+    return O.three_way_split(fx.scored_comments(spark, sf).select("id"), "id", SEED, VAL_FRACTION, TEST_FRACTION)
+
+
 @register(
     "shuffled_order",
     with_views(f"SELECT id, row_number() OVER (ORDER BY {SHUFFLE_SQL}) AS ord FROM comments", "comments"),
