@@ -25,6 +25,8 @@ from commentlab.plans.registry import r6, register
 from commentlab.session import scratch_path, shared_dir
 from commentlab.sources import files as io
 from commentlab.sources import logs as L
+from commentlab.sources import positions as P
+from commentlab.sources.tables import table, table_path
 
 LOG_YEAR = 2024
 
@@ -98,7 +100,7 @@ def tsv_tokens(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "tokens_tsv")
     io.write_tsv(c, path)
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("tokens", T.StringType())])
-    return io.read_csv(spark, path, schema, header=False, sep="\t").na.fill("", ["tokens"])
+    return io.read_csv(spark, path, schema, header=False, sep="\t", multi_line=False).na.fill("", ["tokens"])
 
 
 @register("vocab_dump", vsql("SELECT token, id FROM vocab", "vocab"))
@@ -107,7 +109,7 @@ def vocab_dump(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "vocab_tsv")
     io.write_tsv(Corpus(spark, sf).vocab.select("token", "id").orderBy("token"), path)
     schema = T.StructType([T.StructField("token", T.StringType()), T.StructField("id", T.LongType())])
-    return io.read_csv(spark, path, schema, header=False, sep="\t")
+    return io.read_csv(spark, path, schema, header=False, sep="\t", multi_line=False)
 
 
 @register("oov_sink", vsql("SELECT token FROM vocab WHERE token NOT IN (SELECT token FROM word_vectors)", "vocab", "word_vectors"))
@@ -129,16 +131,72 @@ def predictions_sink(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "predictions_csv")
     io.write_csv(preds, path)
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType())])
-    return io.read_csv(spark, path, schema)
+    return io.read_csv(spark, path, schema, multi_line=False)
 
 
 @register("materialised", with_views(f"SELECT id, {sql_normalise('comment_text')} AS comment_text FROM comments", "comments"))
 def materialised(spark: SparkSession, sf: str) -> DataFrame:
-    """A10: prepare the normalised comments once (Parquet), reuse them on later calls."""
-    key = hashlib.md5(os.path.abspath(sf).encode()).hexdigest()[:12]
-    path = os.path.join(shared_dir(spark), "prepared", f"normalised-{key}")
-    c = fx.comments(spark, sf).select("id", Tx.normalise_comment("comment_text").alias("comment_text"))
-    return io.materialise(c, path)
+    """A10: prepare the normalised comments once for each state of the input files, reuse them on later calls."""
+    inputs = [table_path(sf, t) for t in ("documents", "labels")]
+    root = os.path.join(shared_dir(spark), "prepared", "normalised-" + hashlib.md5(sf.encode()).hexdigest()[:12])
+    return io.materialise(
+        spark, root, inputs, lambda: fx.comments(spark, sf).select("id", Tx.normalise_comment("comment_text").alias("comment_text"))
+    )
+
+
+# ---- D1 / D7 in file order
+
+
+@register(
+    "file_order_alignment",
+    "SELECT CAST(count(*) AS BIGINT) AS positions, CAST(count(*) FILTER (WHERE a.doc_id = b.doc_id) AS BIGINT) AS same, "
+    "CAST(count(*) FILTER (WHERE a.doc_id <> b.doc_id) AS BIGINT) AS different, "
+    "CAST(count(*) FILTER (WHERE b.doc_id IS NULL) AS BIGINT) AS left_only, CAST(count(*) FILTER (WHERE a.doc_id IS NULL) AS BIGINT) AS right_only "
+    "FROM (SELECT doc_id, row_number() OVER () AS p FROM documents) a FULL OUTER JOIN (SELECT doc_id, row_number() OVER () AS p FROM labels) b ON a.p = b.p",
+)
+def file_order_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Do the files of documents and labels name the same ids row by row?"""
+    a, b = (P.parquet_positions(spark, table_path(sf, t), columns=["doc_id"]) for t in ("documents", "labels"))
+    return P.alignment(a, b, "doc_id", "doc_id")
+
+
+_BY_POSITION = (
+    "a AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id DESC) - 1 AS position FROM documents), "
+    f"b AS (SELECT id AS label_id, toxic, row_number() OVER (ORDER BY {SHUFFLE_SQL}) - 1 AS position FROM scored_comments) "
+)
+
+
+def _two_folders(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A CSV folder of documents, in falling order of the ids, and a Parquet folder of label rows in shuffled order."""
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars").orderBy(F.desc("doc_id"))
+    path, other = scratch_path(spark, "documents_csv"), scratch_path(spark, "label_rows")
+    io.write_csv(docs, path)
+    fx.scored_comments(spark, sf).select(F.col("id").alias("label_id"), "toxic").orderBy(O.shuffle_key("label_id", SEED), "label_id").write.parquet(other)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType())])
+    return P.text_positions(spark, path, schema, header=True), P.parquet_positions(spark, other)
+
+
+@register(
+    "attach_by_position",
+    with_views(f"WITH {_BY_POSITION} SELECT CAST(position AS BIGINT) AS position, doc_id, CAST(n_chars AS BIGINT) AS n_chars, label_id, toxic FROM a JOIN b USING (position)", "scored_comments"),
+)
+def attach_by_position(spark: SparkSession, sf: str) -> DataFrame:
+    """D1 by row position: label rows beside the documents at the same place of another folder, whatever their ids."""
+    return P.attach_by_position(*_two_folders(spark, sf))
+
+
+@register(
+    "shuffled_alignment",
+    with_views(
+        f"WITH {_BY_POSITION} SELECT CAST(count(*) AS BIGINT) AS positions, CAST(count(*) FILTER (WHERE doc_id = label_id) AS BIGINT) AS same, "
+        "CAST(count(*) FILTER (WHERE doc_id <> label_id) AS BIGINT) AS different, CAST(count(*) FILTER (WHERE label_id IS NULL) AS BIGINT) AS left_only, "
+        "CAST(count(*) FILTER (WHERE doc_id IS NULL) AS BIGINT) AS right_only FROM a FULL OUTER JOIN b USING (position)",
+        "scored_comments",
+    ),
+)
+def shuffled_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """D7 on two folders that hold ids in different orders."""
+    return P.alignment(*_two_folders(spark, sf), "doc_id", "label_id")
 
 
 _FIXED6 = "round(round(sum(value) * 10000) * 100 / count(value)) / 1000000"

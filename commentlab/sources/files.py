@@ -7,10 +7,14 @@ folder in the shared location; Spark's commit protocol makes each write all-or-n
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from commentlab.sources.published import input_fingerprint, publish, read_version, write_version
+
 COMMENT_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -46,13 +50,14 @@ def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", mod
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, sep: str = ",") -> DataFrame:
-    """A1: ``multiLine`` and ``escape='"'`` are both needed for text with newlines and quotes."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """A1: ``escape='"'`` is needed for text with quotes, ``multi_line`` for text with newlines. A file of the multi-line kind
+    is read by one task; without newlines in the values pass False, and large files are split."""
     return (
         spark.read.schema(schema)
         .option("header", header)
         .option("sep", sep)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "FAILFAST")
@@ -126,11 +131,15 @@ def read_token_lines(spark: SparkSession, path: str, token_col: str = "token") -
 # --- A10: prepare once, reuse afterwards
 
 
-def materialise(df: DataFrame, path: str) -> DataFrame:
-    """A10: write ``df`` as Parquet at ``path`` unless it is already there, then read it back."""
-    spark = df.sparkSession
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 — Hadoop FS existence check
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
-    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):  # noqa: SLF001
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def materialise(spark: SparkSession, root: str, inputs: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A10: what ``build`` makes of the files ``inputs``, prepared once for each state of these files.
+
+    The key is a fingerprint of the files' paths, sizes and modification times. With the inputs unchanged the prepared
+    table is read and ``build`` is not called; a changed input is prepared anew, published when it is complete."""
+    key = input_fingerprint(spark, *inputs)
+    ready = read_version(spark, root, key)
+    if ready is not None:
+        return ready
+    df = build()
+    publish(df, root, write_version(df, root), key)
+    return read_version(spark, root, key)

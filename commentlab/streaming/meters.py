@@ -1,19 +1,28 @@
 """Structured Streaming versions of the cleaning step and of the meters (ST1–ST3).
 
-Sources are file streams over a folder of Parquet files (one table picked by ``pathGlobFilter``); sinks
-are Parquet folders in the shared location, each with its own checkpoint folder, so a restarted query
-resumes where it stopped. Aggregating meters keep one state row per key (series x epoch, or
+Sources are file streams over a folder of Parquet files (one table picked by ``pathGlobFilter``). Sink and checkpoint
+folder belong to the caller: a run with the folders of an earlier run goes on where that one stopped, reads the files
+that have come since, and every row counts once. Aggregating meters keep one state row per key (series x epoch, or
 target x prediction): the state is bounded by the key domain, so no watermark is needed.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from commentlab.functions import math as X
 from commentlab.functions import text as T
-from commentlab.session import scratch_path
+from commentlab.sources.published import publish, read_version, write_version
+
+METER = "meter"
+
+
+def folder_stream(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """A file stream of the Parquet files that arrive in ``folder``."""
+    return spark.readStream.schema(schema).parquet(folder)
 
 
 def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -22,46 +31,34 @@ def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stateless stream to completion (``availableNow``) into a Parquet sink; return the sink."""
-    spark = stream.sparkSession
-    out, ckpt = scratch_path(spark, f"{name}_out"), scratch_path(spark, f"{name}_ckpt")
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(out)
-
+def run_append(stream: DataFrame, sink: str, checkpoint: str) -> DataFrame:
+    """Run a stateless stream over what has arrived (``availableNow``) into the Parquet folder ``sink``; return its rows
+    (none before the first batch).
 
-def run_append_per_batch(stream: DataFrame, name: str, transform, spread_by: str | None = None) -> DataFrame:
-    """Like ``run_append``, but each micro-batch is transformed as a batch DataFrame: a micro-batch with
-    fewer partitions than task slots (a few large files) is first hash-partitioned by ``spread_by``.
-    Each batch overwrites its own ``batch=<id>`` folder, so a replayed batch replaces its output
-    (exactly-once result with the checkpointed offsets)."""
+    The file sink's own log names the files of finished batches, so that a batch that is run again counts once."""
+    q = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
     spark = stream.sparkSession
-    out, ckpt = scratch_path(spark, f"{name}_out"), scratch_path(spark, f"{name}_ckpt")
-    slots = spark.sparkContext.defaultParallelism
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        if spread_by and batch.rdd.getNumPartitions() < slots:
-            batch = batch.repartition(slots, spread_by)
-        transform(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    try:
+        return spark.read.schema(stream.schema).parquet(sink)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], stream.schema)
+        raise
 
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(out).drop("batch")
 
+def run_complete(stream: DataFrame, sink: str, checkpoint: str) -> DataFrame | None:
+    """Run an aggregating stream over what has arrived; return the whole result table (None before the first batch).
 
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Run an aggregating stream to completion; every micro-batch replaces the sink with the full
-    result table (complete mode through ``foreachBatch``); return the final table."""
-    spark = stream.sparkSession
-    out, ckpt = scratch_path(spark, f"{name}_out"), scratch_path(spark, f"{name}_ckpt")
+    Every batch writes the result to a folder of its own and publishes it when it is complete (``sources.published``):
+    a run that is lost in between leaves the version before it, and its batch is run again by the next run."""
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        publish(batch, sink, write_version(batch, sink), METER, batch_id)
 
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).outputMode("complete").trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return read_version(stream.sparkSession, sink, METER)
 
 
 def clean_stream(docs: DataFrame) -> DataFrame:
