@@ -69,10 +69,10 @@ def normalise_steps(cr_to_bang: bool = True) -> list[tuple[str, str]]:
     return [s for s in _NORMALISE_STEPS if cr_to_bang or s[0] != r"\r"]
 
 
-def normalise_comment(col: Column | str, cr_to_bang: bool = True, null_as: str | None = "nan") -> Column:
+def normalise_comment(col: Column | str, cr_to_bang: bool = True, null_as: str | None = None) -> Column:
     """Punctuation to space, optional CR -> '!', collapse runs of ! , ? and spaces.
 
-    ``null_as='nan'`` reproduces ``str(None-like)`` of the reference; ``None`` keeps nulls.
+    Nulls stay null; ``null_as='nan'`` turns them into the text that the reference makes of them.
     """
     out = _c(col)
     if null_as is not None:

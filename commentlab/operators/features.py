@@ -35,23 +35,25 @@ def _vec(col: str = "vec") -> Column:
     return array_to_vector(F.col(col).cast("array<double>"))
 
 
-def doc_vector_mean(seq_vectors: DataFrame, include_padding: bool = False, max_len: int | None = None, id_col: str = "id") -> DataFrame:
-    """mean of the token vectors per document. With ``include_padding`` the document is cut to
-    ``max_len`` positions and the sum divided by ``max_len`` (padding = zero vectors)."""
-    rows = seq_vectors if max_len is None else seq_vectors.where(F.col("pos") < max_len)
-    if include_padding:
-        if max_len is None:
-            raise ValueError("include_padding needs max_len")
-        agg = rows.groupBy(id_col).agg(Summarizer.sum(_vec()).alias("_s"), F.count(F.lit(1)).alias("n_tokens"))
-        return agg.select(id_col, "n_tokens", F.transform(vector_to_array("_s"), lambda x: x / F.lit(float(max_len))).alias("vec"))
-    agg = rows.groupBy(id_col).agg(Summarizer.mean(_vec()).alias("_m"), F.count(F.lit(1)).alias("n_tokens"))
+def doc_vector_mean(seq_vectors: DataFrame, count_col: str | None = None, id_col: str = "id") -> DataFrame:
+    """mean of the token vectors per document, over the rows ``(id, vec)`` or, with ``count_col``, over rows that stand for
+    that many places each.
+
+    Over real tokens only, a document without tokens has no mean and no row. Over a fixed length, padding
+    included, ``vocab.padded_bag`` gives one row for all the padding of a document, so padding is never spread out."""
+    if count_col is None:
+        agg = seq_vectors.groupBy(id_col).agg(Summarizer.mean(_vec()).alias("_m"), F.count(F.lit(1)).alias("n_tokens"))
+    else:
+        weight = F.col(count_col).cast("double")
+        agg = seq_vectors.groupBy(id_col).agg(Summarizer.mean(_vec(), weight).alias("_m"), F.sum(count_col).alias("n_tokens"))
     return agg.select(id_col, "n_tokens", vector_to_array("_m").alias("vec"))
 
 
-def doc_vector_last(seq_vectors: DataFrame, max_len: int | None = None, id_col: str = "id") -> DataFrame:
-    """vector of the last (real) position."""
-    rows = seq_vectors if max_len is None else seq_vectors.where(F.col("pos") < max_len)
-    return rows.groupBy(id_col).agg(F.max_by("vec", "pos").cast("array<double>").alias("vec"))
+def doc_vector_last(encoded: DataFrame, matrix: DataFrame, token_id_col: str = "token_id", id_col: str = "id") -> DataFrame:
+    """vector of the last (real) position: the last token id of each document first, then one look-up per document."""
+    last = encoded.groupBy(id_col).agg(F.max_by(token_id_col, "pos").alias(token_id_col)).where(F.col(token_id_col).isNotNull())
+    lookup = matrix.select(F.col("id").alias(token_id_col), F.col("vec").cast("array<double>").alias("vec"))
+    return lookup_join(last, lookup, token_id_col, "inner").select(id_col, "vec")
 
 
 def _weight_lit(rows: list[list[float]]) -> Column:
@@ -74,15 +76,19 @@ def score_attention(matrix: DataFrame, layer1: list[list[float]], out: list[floa
     return matrix.withColumn("_h", hidden).withColumn("score", dot(F.col("_h"), F.array(*[F.lit(float(x)) for x in out])) + F.lit(b2)).drop("_h")
 
 
-def doc_vector_attention(encoded: DataFrame, scored_matrix: DataFrame, token_id_col: str = "token_id", id_col: str = "id") -> DataFrame:
-    """F3 step 2: softmax of the scores over a document's positions, weighted sum of the vectors.
+def doc_vector_attention(
+    encoded: DataFrame, scored_matrix: DataFrame, token_id_col: str = "token_id", id_col: str = "id", count_col: str | None = None
+) -> DataFrame:
+    """F3 step 2: softmax of the scores over a document's positions, weighted sum of the vectors. With ``count_col`` a row
+    stands for that many positions, so that one row (``vocab.padded_bag``) carries the whole softmax mass of the padding.
 
     softmax-weighted mean = Summarizer.mean(vec, weight = n * exp(score - c)), with n the token's count in
     the document and c the document's own largest score, so that no weight underflows. Tokens are counted per
     document first, and the scored matrix is written once and read by both look-ups."""
     lookup = scored_matrix.select(F.col("id").alias(token_id_col), F.col("vec").cast("array<double>").alias("vec"), "score")
     lookup = cut_lineage(lookup, "scored-matrix")
-    counts = encoded.groupBy(id_col, token_id_col).agg(F.count(F.lit(1)).alias("_n"))
+    places = F.lit(1) if count_col is None else F.col(count_col)
+    counts = encoded.groupBy(id_col, token_id_col).agg(F.sum(places).alias("_n"))
     scored = cut_lineage(lookup_join(counts, lookup.drop("vec"), token_id_col, "inner"), "scored-tokens")
     top = scored.groupBy(id_col).agg(F.max("score").alias("_c"))
     rows = lookup_join(scored.join(top, id_col), lookup.drop("score"), token_id_col, "inner")
@@ -101,10 +107,14 @@ def project_kernels(matrix: DataFrame, kernels: list[list[list[float]]]) -> Data
     return out
 
 
-def doc_vector_conv_max(token_proj: DataFrame, width: int, id_col: str = "id") -> DataFrame:
-    """F4 step 2: window value(start) = sum_o proj_o(start + o), ReLU, max over the windows, per kernel.
+def doc_vector_conv_max(token_proj: DataFrame, width: int, id_col: str = "id", bias: list[float] | None = None) -> DataFrame:
+    """F4 step 2: window value(start) = sum_o proj_o(start + o) + bias, ReLU, max over the windows, per kernel.
     Documents shorter than ``width`` give no row. Input ``(id, pos, _p0 .. _p{width-1})``.
 
+    Over a fixed length, padding included, every window is one of tokens, one that straddles the end, or one of padding only,
+    and these are all alike: ``vocab.first_tokens(pad=width)`` puts at most ``width`` padding tokens behind the text,
+    which make one of each kind, and no document is too short.
+
     ``lead`` over the positions of each document brings the next tokens' projections onto the window's
     first row; the max over windows is ``Summarizer.max``. Tokens are clustered by document already
     (narrow explode + broadcast lookups), so the window sorts within partitions and the aggregate
@@ -116,6 +126,8 @@ def doc_vector_conv_max(token_proj: DataFrame, width: int, id_col: str = "id") -
     acc = F.col("_n0")
     for o in range(1, width):
         acc = F.zip_with(acc, F.col(f"_n{o}"), lambda a, b: a + b)
+    if bias is not None:
+        acc = F.zip_with(acc, F.array(*[F.lit(float(b)) for b in bias]), lambda a, b: a + b)
     value = F.transform(acc, lambda x: relu(x))
     pooled = rows.select(id_col, array_to_vector(value).alias("_v")).groupBy(id_col).agg(Summarizer.max(F.col("_v")).alias("_m"))
     return pooled.select(id_col, vector_to_array("_m").alias("vec"))

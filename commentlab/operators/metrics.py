@@ -17,15 +17,10 @@ from commentlab.operators.order import segmented_scan
 
 
 def label_matrix(df: DataFrame, labels: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Long form (id, label, target) of the label columns."""
+    """Long form (id, label, target) of the label columns; ``sequence.sparse_vectors`` turns it into ML vectors."""
     return df.unpivot([id_col], list(labels), "label", "target")
 
 
-def label_vector(labels: Sequence[str]) -> Column:
-    """Label columns as one ``array<double>``."""
-    return F.array(*[F.col(c) for c in labels]).cast("array<double>")
-
-
 def threshold(logit: Column | str, t: float = 0.5, scale: str = "prob") -> Column:
     """Positive iff score > t. ``scale='logit'`` compares the raw logit (reference parity);
     ``scale='prob'`` compares the sigmoid."""

@@ -100,41 +100,38 @@ def segmented_scan(
     """
     sort = [F.col(c) for c in partition_by] + _cols(order)
     ranged = _ranged(df, sort, num_ranges)
-    seg = Window.partitionBy(_PID, *partition_by).orderBy(*_cols(order))
-    local = ranged
+    here = ranged
     totals_aggs = []
-    for name, (fn, col, inclusive) in scans.items():
-        c = F.col(col) if isinstance(col, str) else col
-        frame = seg.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        local = local.withColumn(f"_here_{name}", _AGG[fn](c).over(frame))
-        totals_aggs.append(_AGG[fn](c).alias(f"_tot_{name}"))
-    if row_number_col:
-        local = local.withColumn("_here_rn", F.row_number().over(seg))
-        totals_aggs.append(F.count(F.lit(1)).alias("_tot_rn"))
-    totals = ranged.groupBy(_PID, *partition_by).agg(*totals_aggs)
+    if scans:
+        seg = Window.partitionBy(_PID, *partition_by).orderBy(*_cols(order))
+        for name, (fn, col, inclusive) in scans.items():
+            c = F.col(col) if isinstance(col, str) else col
+            frame = seg.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+            here = here.withColumn(f"_here_{name}", _AGG[fn](c).over(frame))
+            totals_aggs.append(_AGG[fn](c).alias(f"_tot_{name}"))
+    # a row's number in its group needs no window: its place in the range, less the group's first place there
+    totals = ranged.groupBy(_PID, *partition_by).agg(*totals_aggs, F.count(F.lit(1)).alias("_tot_rn"), F.min(_PLACE).alias("_first"))
     earlier = Window.partitionBy(*partition_by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    names = list(scans) + (["rn"] if row_number_col else [])
-    fns = {name: scans[name][0] for name in scans}
-    fns["rn"] = "count"
+    fns = {name: scans[name][0] for name in scans} | {"rn": "count"}
     # totals of earlier ranges: counts and sums add up, max/min combine as themselves
     merge = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
+    # at most one row per (range, group), written so that the planner knows its size
     offsets = totals.select(
-        _PID, *partition_by, *[merge[fns[n]](f"_tot_{n}").over(earlier).alias(f"_before_{n}") for n in names]
-    )
-    # at most one row per (range, group): no larger than the group table plus the range count
-    offsets = offsets.select(
-        *[F.col(c).alias(f"_key_{c}") for c in [_PID, *partition_by]], *[f"_before_{n}" for n in names]
+        *[F.col(f"`{c}`").alias(f"_key_{c}") for c in [_PID, *partition_by]],
+        "_first",
+        *[merge[fn](f"_tot_{n}").over(earlier).alias(f"_before_{n}") for n, fn in fns.items()],
     )
+    offsets = cut_lineage(offsets, "range-totals")
     same = F.col(_PID) == F.col(f"_key_{_PID}")
     for c in partition_by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
-    out = local.join(offsets, same)
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"`_key_{c}`"))
+    out = here.join(offsets, same)
     for name in scans:
         out = out.withColumn(name, _COMBINE[fns[name]](F.col(f"_before_{name}"), F.col(f"_here_{name}")))
     if row_number_col:
-        out = out.withColumn(row_number_col, _COMBINE["count"](F.col("_before_rn"), F.col("_here_rn")))
-    drop = [_PID, _PLACE] + [f"_key_{c}" for c in [_PID, *partition_by]] + [f"_here_{n}" for n in names] + [f"_before_{n}" for n in names]
-    return out.drop(*drop)
+        out = out.withColumn(row_number_col, F.coalesce("_before_rn", F.lit(0)) + F.col(_PLACE) - F.col("_first") + 1)
+    drop = [_PID, _PLACE, "_first", "_before_rn", *[f"_key_{c}" for c in [_PID, *partition_by]]]
+    return out.drop(*drop, *[f"_here_{n}" for n in scans], *[f"_before_{n}" for n in scans])
 
 
 def shuffle_key(id_col: Column | str, seed: int | str) -> Column:
@@ -144,14 +141,14 @@ def shuffle_key(id_col: Column | str, seed: int | str) -> Column:
 
 
 def head_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
-    """First ``n`` rows in ``order`` (unique): the rows whose distributed rank is at most ``n``."""
-    return global_rank(df, order, rank_col="_head_pos").where(F.col("_head_pos") <= n).drop("_head_pos")
+    """First ``n`` rows in ``order`` (unique). Every task keeps its own first ``n``, one task merges them, so
+    nothing is shuffled or sorted beyond ``n`` rows a task; ``n`` is a parameter of a size that one task holds."""
+    return df.orderBy(*_cols(order)).limit(n)
 
 
 def tail_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
-    """Last ``n`` rows in ``order`` (unique), by the same distributed rank."""
-    ranked = global_rank(df, order, rank_col="_pos", total_col="_n")
-    return ranked.where(F.col("_pos") > F.col("_n") - n).drop("_pos", "_n")
+    """Last ``n`` rows in ``order`` (unique), nulls first as in a rising sort, in the same way."""
+    return df.orderBy(*[c.desc_nulls_last() for c in _cols(order)]).limit(n)
 
 
 def ordered_split(

@@ -8,18 +8,21 @@ one row per document, not one per token.
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from commentlab.functions.math import pad_left, pad_right, position_ids
 from commentlab.operators.vocab import lookup_join
+from commentlab.session import cut_lineage, scratch_path
 
 
-def to_sequence(encoded: DataFrame, id_col: str = "id", pos_col: str = "pos", value_col: str = "token_id", seq_col: str = "seq", max_len: int | None = None) -> DataFrame:
-    """Gather a document's values back into an array ordered by position; ``max_len`` truncates first
-    (before the gather, so long documents do not build long arrays only to cut them)."""
-    rows = encoded if max_len is None else encoded.where(F.col(pos_col) < max_len)
-    gathered = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(F.col(pos_col), F.col(value_col)))).alias("_pv"))
+def to_sequence(encoded: DataFrame, id_col: str = "id", pos_col: str = "pos", value_col: str = "token_id", seq_col: str = "seq") -> DataFrame:
+    """Gather a document's values back into an array ordered by position; a document whose one row has no position
+    (``vocab.first_tokens``) has an empty array."""
+    item = F.when(F.col(pos_col).isNotNull(), F.struct(F.col(pos_col), F.col(value_col)))
+    gathered = encoded.groupBy(id_col).agg(F.sort_array(F.collect_list(item)).alias("_pv"))
     return gathered.select(id_col, F.transform("_pv", lambda s: s[value_col]).alias(seq_col))
 
 
@@ -39,26 +42,46 @@ def one_hot_bag(encoded: DataFrame, id_col: str = "id", token_id_col: str = "tok
     return encoded.select(id_col, token_id_col).distinct().withColumn("value", F.lit(1))
 
 
-def one_hot_vectors(encoded: DataFrame, vocab_size: int, id_col: str = "id", token_id_col: str = "token_id") -> DataFrame:
-    """R5 in ML form: one sparse binary vector of size ``vocab_size`` per document."""
-    from pyspark.ml.feature import CountVectorizerModel
-
-    docs = encoded.groupBy(id_col).agg(F.collect_set(F.col(token_id_col).cast("string")).alias("_ids"))
-    model = CountVectorizerModel.from_vocabulary([str(i) for i in range(vocab_size)], inputCol="_ids", outputCol="one_hot", binary=True)
-    return model.transform(docs).drop("_ids")
+def sparse_vectors(entries: DataFrame, size: int, id_col: str = "id", index_col: str = "token_id", value_col: str | None = None, out_col: str = "vector") -> DataFrame:
+    """R5 / B4 in ML form: one sparse vector of ``size`` entries per id from rows (id, index[, value]); rows of the same index
+    count once (their largest value; 1 without ``value_col``), zeros and null indices are left out, and an id without entries has an
+    empty vector. Indices are grouped by id in Spark, so that no list of the vocabulary exists anywhere; the vectors
+    are written as the columns that an ML vector consists of and read back as vectors.
+
+    An index outside 0..size-1 is an error."""
+    index = F.col(index_col).cast("int")
+    value = F.lit(1.0) if value_col is None else F.col(value_col).cast("double")
+    wrong = F.raise_error(F.concat_ws(" ", F.lit(f"index outside 0..{size - 1}:"), F.col(index_col).cast("string")))
+    checked = F.when(F.col(index_col).isNull() | ((F.col(index_col) >= 0) & (F.col(index_col) < size)), index).otherwise(wrong.cast("int"))
+    per_entry = entries.groupBy(F.col(id_col), checked.alias("_i")).agg(F.max(value).alias("_v"))
+    pair = F.when(F.col("_i").isNotNull() & (F.col("_v") != 0), F.struct("_i", "_v"))
+    rows = per_entry.groupBy(id_col).agg(F.sort_array(F.collect_list(pair)).alias("_p"))
+    parts = F.struct(
+        F.lit(0).cast("byte").alias("type"),  # fixed value: 0 marks a sparse vector
+        F.lit(size).alias("size"),
+        F.transform("_p", lambda p: p["_i"]).alias("indices"),
+        F.transform("_p", lambda p: p["_v"]).alias("values"),
+    )
+    path = scratch_path(entries.sparkSession, "sparse-vectors")
+    rows.select(F.col(id_col), parts.alias(out_col)).write.parquet(path)
+    schema = StructType([entries.schema[id_col], StructField(out_col, VectorUDT())])
+    return entries.sparkSession.read.schema(schema).parquet(path)
 
 
 def sequence_vectors(encoded: DataFrame, matrix: DataFrame, token_id_col: str = "token_id", extra: tuple[str, ...] = ()) -> DataFrame:
-    """Each token id replaced by its row of the embedding matrix ``(id, vec, *extra)``."""
+    """Each token id replaced by its row of the embedding matrix ``(id, vec, *extra)``; a null id has no vector and goes."""
     m = matrix.select(F.col("id").alias(token_id_col), F.col("vec").cast("array<double>").alias("vec"), *extra)
     return lookup_join(encoded, m, token_id_col, "inner")
 
 
 def softmax_long(df: DataFrame, group_col: str, score_col: str, out_col: str = "p") -> DataFrame:
-    """M4 long form: exp(s - max) / sum(exp(s - max)) within each group.
-
-    Max and sum are group aggregates joined back on the group key (no window over a large group)."""
-    stats = df.groupBy(group_col).agg(F.max(score_col).alias("_m"))
-    e = df.join(stats, group_col).withColumn("_e", F.exp(F.col(score_col) - F.col("_m")))
-    tot = e.groupBy(group_col).agg(F.sum("_e").alias("_z"))
-    return e.join(tot, group_col).withColumn(out_col, F.col("_e") / F.col("_z")).drop("_m", "_e", "_z")
+    """M4 long form: exp(s - max) / sum(exp(s - max)) within each group (no window over a large group).
+
+    The input is counted once by (group, score), combined map-side; maximum and sum come from these counts, and the input
+    is joined once, with one row per group."""
+    counted = cut_lineage(df.groupBy(F.col(group_col).alias("_g"), F.col(score_col).alias("_s")).agg(F.count(F.lit(1)).alias("_n")), "score-counts")
+    top = counted.groupBy(F.col("_g").alias("_t")).agg(F.max("_s").alias("_m"))
+    around = counted.join(top, F.col("_g").eqNullSafe(F.col("_t")))
+    stats = around.groupBy("_g").agg(F.max("_m").alias("_m"), F.sum(F.col("_n") * F.exp(F.col("_s") - F.col("_m"))).alias("_z"))
+    out = df.join(stats, F.col(group_col).eqNullSafe(F.col("_g")))
+    return out.withColumn(out_col, F.exp(F.col(score_col) - F.col("_m")) / F.col("_z")).drop("_g", "_m", "_z")

@@ -34,6 +34,26 @@ def explode_tokens(df: DataFrame, id_col: str, tokens: Column, pos_col: str = "p
     return df.select(F.col(id_col), F.posexplode(tokens).alias(pos_col, token_col))
 
 
+def first_tokens(df: DataFrame, id_col: str, tokens: Column, max_len: int, pad: int = 0, pos_col: str = "pos", token_col: str = "token") -> DataFrame:
+    """The first ``max_len`` tokens of every row, cut inside the row, before they are rows of their own. A text without
+    tokens (or a null one) is a row with a null position and token. Behind the tokens come up to ``pad`` padding tokens, as
+    far as ``max_len`` leaves room."""
+    cut = F.slice(F.coalesce(tokens, F.array().cast("array<string>")), 1, max_len)
+    if pad:
+        cut = F.concat(cut, F.array_repeat(F.lit(PAD), F.least(F.lit(pad), F.lit(max_len) - F.size(cut))))
+    return df.select(F.col(id_col), F.posexplode_outer(cut).alias(pos_col, token_col))
+
+
+def padded_bag(df: DataFrame, id_col: str, tokens: Column, max_len: int, token_col: str = "token", count_col: str = "n") -> DataFrame:
+    """The first ``max_len`` tokens of every row, once each with count 1, and one row for all its padding: the padding
+    token with the number of places that are left. So the counts of every row, empty ones too, add up to ``max_len``."""
+    cut = F.slice(F.coalesce(tokens, F.array().cast("array<string>")), 1, max_len)
+    entry = lambda token, n: F.struct(token.alias(token_col), n.cast("bigint").alias(count_col))
+    left = F.lit(max_len) - F.size(cut)
+    padding = F.when(left > 0, F.array(entry(F.lit(PAD), left))).otherwise(F.array().cast(f"array<struct<{token_col}:string,{count_col}:bigint>>"))
+    return df.select(F.col(id_col), F.inline(F.concat(F.transform(cut, lambda t: entry(t, F.lit(1))), padding)))
+
+
 def token_frequencies(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     """Total count of each token (partial counts are combined map-side before the shuffle)."""
     return tokens.groupBy(token_col).agg(F.count(F.lit(1)).alias("freq"))
@@ -45,6 +65,13 @@ def build_vocab(tokens: DataFrame, min_freq: int = 10, specials: Sequence[str] =
     return vocab_from_counts(token_frequencies(tokens, token_col), min_freq, specials, token_col)
 
 
+def split_frequencies(tokens: DataFrame, splits: DataFrame, fit_on: Sequence[str] = ("train",), id_col: str = "id", token_col: str = "token") -> DataFrame:
+    """Token counts over the documents whose row ``(id, split)`` names one of the splits in ``fit_on``. The documents
+    are picked before their tokens are counted."""
+    chosen = splits.where(F.col("split").isin(*fit_on)).select(id_col)
+    return token_frequencies(tokens.join(chosen, id_col, "left_semi"), token_col)
+
+
 def vocab_from_counts(counts: DataFrame, min_freq: int = 10, specials: Sequence[str] = (UNK, PAD), token_col: str = "token") -> DataFrame:
     """``build_vocab`` from an existing (token, freq) table, so one token count serves several uses."""
     spark = counts.sparkSession
@@ -74,10 +101,11 @@ def dictionary_ids(tokens: DataFrame, start_id: int = 1, reserved: Sequence[str]
 
 
 def encode_tokens(tokens: DataFrame, vocab: DataFrame, unk_id: int = 0, token_col: str = "token", id_col: str = "token_id") -> DataFrame:
-    """Token -> id with ``unk_id`` for misses. The token rows keep their partitioning when the
+    """Token -> id with ``unk_id`` for misses; the null token of a text without tokens stays null. The token rows keep their partitioning when the
     vocabulary is broadcast, so a later group-by on the document id needs no new shuffle."""
     out = lookup_join(tokens, vocab.select(F.col(token_col), F.col("id").alias(id_col)), token_col, "left")
-    return out.withColumn(id_col, F.coalesce(F.col(id_col), F.lit(unk_id)).cast("bigint"))
+    known = F.coalesce(F.col(id_col), F.lit(unk_id)).cast("bigint")
+    return out.withColumn(id_col, F.when(F.col(token_col).isNotNull(), known))
 
 
 def vectors_in_vocab(vectors: DataFrame, vocab: DataFrame, token_col: str = "token") -> DataFrame:

@@ -34,7 +34,7 @@ _SQL = with_views(
 @register("scored_length_report", _SQL)
 def scored_length_report(spark: SparkSession, sf: str) -> DataFrame:
     scored = fx.scored_comments(spark, sf)
-    lens = scored.select("id", *fx.LABELS, T.token_count(T.normalise_comment("comment_text")).alias("n"))
+    lens = scored.select("id", *fx.LABELS, T.token_count(T.normalise_comment("comment_text", null_as="nan")).alias("n"))
     # long form (id, n, label, target): every statistic becomes a per-label aggregate, no join needed
     long = lens.unpivot(["id", "n"], list(fx.LABELS), "label", "target")
     out = long.groupBy("label").agg(

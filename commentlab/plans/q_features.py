@@ -73,7 +73,8 @@ def doc_vector_mean(spark: SparkSession, sf: str) -> DataFrame:
 )
 def doc_vector_last(spark: SparkSession, sf: str) -> DataFrame:
     """vector of the last position."""
-    dv = Fe.doc_vector_last(Corpus(spark, sf).seq_vectors())
+    c = Corpus(spark, sf)
+    dv = Fe.doc_vector_last(c.encoded(), c.matrix)
     return dv.select("id", *_summary(dv))
 
 
@@ -120,6 +121,47 @@ def doc_vector_conv_max(spark: SparkSession, sf: str) -> DataFrame:
     return dv.select("id", F.posexplode("vec").alias("kernel", "value")).select("id", "kernel", r6("value").alias("value"))
 
 
+# ---- F1 / F3 / F4 over the fixed length, padding and empty documents included
+
+
+@register(
+    "doc_vector_mean_padded",
+    vsql(f"WITH {_DOC_MEAN.replace('seq_vectors', 'padded_vectors').rstrip(', ')} SELECT id, {_SUM_NORM} FROM dm GROUP BY id", "padded_vectors"),
+)
+def doc_vector_mean_padded(spark: SparkSession, sf: str) -> DataFrame:
+    """F1 as the reference pools: the mean over all 200 positions of every document, padding included."""
+    c = Corpus(spark, sf)
+    dv = Fe.doc_vector_mean(S.sequence_vectors(c.padded_bag(), c.matrix), count_col="n")
+    return dv.select("id", *_summary(dv))
+
+
+@register("doc_vector_attention_padded", vsql(_ATT_SQL.replace("seq_vectors", "padded_vectors"), "padded_vectors"))
+def doc_vector_attention_padded(spark: SparkSession, sf: str) -> DataFrame:
+    """F3 as the reference pools: the softmax runs over all 200 positions of every document."""
+    layer1, out = _attention(spark, sf)
+    c = Corpus(spark, sf)
+    scored_matrix = Fe.score_attention(c.matrix, layer1, out).select("id", "vec", "score")
+    dv = Fe.doc_vector_attention(c.padded_bag(), scored_matrix, count_col="n")
+    return dv.select("id", *_summary(dv))
+
+
+CONV_BIAS = [round(0.05 * (k - 3), 2) for k in range(fx.N_KERNELS)]  # biases of both signs
+_CONV_PADDED_SQL = (
+    _CONV_SQL.replace("seq_vectors", "padded_vectors").replace("max(greatest(c, 0))", "max(greatest(c + 0.05 * (kernel - 3), 0))")
+)
+
+
+@register("doc_vector_conv_padded", vsql(_CONV_PADDED_SQL, "padded_vectors"))
+def doc_vector_conv_padded(spark: SparkSession, sf: str) -> DataFrame:
+    """F4 as the reference pools: trigram filters with biases over all 200 positions, windows of padding included."""
+    c = Corpus(spark, sf)
+    proj = Fe.project_kernels(c.matrix, _kernels(spark, sf))
+    parts = tuple(f"_p{o}" for o in range(_K))
+    tok = S.sequence_vectors(c.first_encoded(pad=_K), proj.select("id", "vec", *parts), extra=parts)
+    dv = Fe.doc_vector_conv_max(tok, _K, bias=CONV_BIAS)
+    return dv.select("id", F.posexplode("vec").alias("kernel", "value")).select("id", "kernel", r6("value").alias("value"))
+
+
 _HEAD_SQL = (
     "WITH " + _DOC_MEAN + "hd AS (SELECT CASE vec_id " + " ".join(f"WHEN {v} THEN '{k}'" for k, v in fx.HEAD_ROWS.items()) + " END AS label, "
     f"CAST(embedding AS DOUBLE[]) AS w FROM embeddings WHERE vec_id IN ({', '.join(str(v) for v in fx.HEAD_ROWS.values())})) "

@@ -10,11 +10,13 @@ from commentlab.functions import text as T
 from commentlab.operators import metrics as M
 from commentlab.operators import monitor as W
 from commentlab.operators import order as O
+from commentlab.operators import quantiles as Q
 from commentlab.operators.sequence import softmax_long
 from commentlab.plans import fixtures as fx
 from commentlab.plans.fixtures import with_views
 from commentlab.plans.q_text import sql_ws_tokens
 from commentlab.plans.registry import r6, register
+from commentlab.sources.tables import table
 
 BATCH = 64
 CLAMP = 1.0
@@ -368,3 +370,34 @@ def lr_schedule(spark: SparkSession, sf: str) -> DataFrame:
     """W4 with the epoch mean as the loss."""
     out = W.lr_schedule(W.epoch_values(fx.metrics(spark, sf)), LR0, DECAY)
     return out.select("series", "epoch", r6("lr").alias("lr"))
+
+
+# ---- E3 / E4 of a continuous column
+
+_PROBS = (0.0, 0.01, 0.25, 0.5, 0.8, 0.999, 1.0)
+_NET_SQL = "(SELECT CAST(l_extendedprice AS DOUBLE) * (1 - CAST(l_discount AS DOUBLE)) AS x FROM lineitem)"
+
+
+def _net_price(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "lineitem").select("l_extendedprice", "l_discount")
+    return d.select((F.col("l_extendedprice").cast("double") * (1 - F.col("l_discount").cast("double"))).alias("x"))
+
+
+@register(
+    "quantiles_continuous",
+    " UNION ALL ".join(f"SELECT CAST({p} AS DOUBLE) AS prob, round(quantile_cont(x, {p}), 4) AS value FROM {_NET_SQL}" for p in _PROBS),
+)
+def quantiles_continuous(spark: SparkSession, sf: str) -> DataFrame:
+    """E4 by rank selection: exact quantiles of a column with as many values as rows."""
+    return Q.exact_quantiles(_net_price(spark, sf), "x", _PROBS).select("prob", F.round("value", 4).alias("value"))
+
+
+@register(
+    "describe_continuous",
+    "SELECT CAST(count(x) AS BIGINT) AS count, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, round(min(x), 4) AS min, round(quantile_cont(x, 0.25), 4) AS q25, "
+    f"round(quantile_cont(x, 0.5), 4) AS q50, round(quantile_cont(x, 0.75), 4) AS q75, round(max(x), 4) AS max FROM {_NET_SQL}",
+)
+def describe_continuous(spark: SparkSession, sf: str) -> DataFrame:
+    """E3 of a continuous column, quartiles by rank selection."""
+    d = Q.describe_continuous(_net_price(spark, sf), "x")
+    return d.select("count", *[F.round(c, 4).alias(c) for c in d.columns[1:]])

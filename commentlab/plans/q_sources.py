@@ -140,7 +140,7 @@ def materialised(spark: SparkSession, sf: str) -> DataFrame:
     inputs = [table_path(sf, t) for t in ("documents", "labels")]
     root = os.path.join(shared_dir(spark), "prepared", "normalised-" + hashlib.md5(sf.encode()).hexdigest()[:12])
     return io.materialise(
-        spark, root, inputs, lambda: fx.comments(spark, sf).select("id", Tx.normalise_comment("comment_text").alias("comment_text"))
+        spark, root, inputs, lambda: fx.comments(spark, sf).select("id", Tx.normalise_comment("comment_text", null_as="nan").alias("comment_text"))
     )
 
 

@@ -47,12 +47,12 @@ def sql_word_punct(x: str) -> str:
 
 @register("normalise_comment", with_views(f"SELECT id, {sql_normalise('comment_text')} AS text FROM comments", "comments"))
 def normalise_comment(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.comments(spark, sf).select("id", T.normalise_comment("comment_text").alias("text"))
+    return fx.comments(spark, sf).select("id", T.normalise_comment("comment_text", null_as="nan").alias("text"))
 
 
 @register("normalise_keep_cr", with_views(f"SELECT id, {sql_normalise('comment_text', False)} AS text FROM comments", "comments"))
 def normalise_keep_cr(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.comments(spark, sf).select("id", T.normalise_comment("comment_text", cr_to_bang=False).alias("text"))
+    return fx.comments(spark, sf).select("id", T.normalise_comment("comment_text", cr_to_bang=False, null_as="nan").alias("text"))
 
 
 @register("newline_to_space", "SELECT doc_id AS id, replace(text, chr(10), ' ') AS text FROM documents")
@@ -82,7 +82,7 @@ def lower_text(spark: SparkSession, sf: str) -> DataFrame:
 def truncate_chars(spark: SparkSession, sf: str) -> DataFrame:
     """The reference cuts the normalised comment to max_seq_len characters before tokenising."""
     c = fx.comments(spark, sf)
-    return c.select("id", T.truncate_chars(T.normalise_comment("comment_text"), TRUNC_CHARS).alias("text"))
+    return c.select("id", T.truncate_chars(T.normalise_comment("comment_text", null_as="nan"), TRUNC_CHARS).alias("text"))
 
 
 # ---- T5 / T8 / T9
@@ -121,7 +121,7 @@ def token_count(spark: SparkSession, sf: str) -> DataFrame:
 def tokenise_words_punct(spark: SparkSession, sf: str) -> DataFrame:
     """Normalise (without the CR step), then words and punctuation marks as tokens; whole text."""
     c = fx.comments(spark, sf)
-    t = T.word_punct_tokens(T.normalise_comment("comment_text", cr_to_bang=False))
+    t = T.word_punct_tokens(T.normalise_comment("comment_text", cr_to_bang=False, null_as="nan"))
     return c.select("id", t.alias("t")).select("id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("bigint").alias("n_tokens"))
 
 

@@ -3,15 +3,19 @@ U2, U3)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentlab.functions import math as X
 from commentlab.functions import text as T
+from commentlab.operators import metrics as M
+from commentlab.operators import order as O
 from commentlab.operators import sequence as S
 from commentlab.operators import vocab as V
 from commentlab.plans import fixtures as fx
 from commentlab.plans.fixtures import duck_lit, with_views
+from commentlab.plans.q_order import SEED, TEST_FRACTION, THREE_WAY_SQL, VAL_FRACTION
 from commentlab.plans.q_text import sql_clean_tokens, sql_word_punct
 from commentlab.plans.registry import r6, register
 from commentlab.session import cut_lineage
@@ -25,7 +29,17 @@ VOCAB_VIEWS = {
         f"SELECT t.id, t.pos, CAST(coalesce(v.id, {UNK_ID}) AS BIGINT) AS token_id FROM tokens t LEFT JOIN vocab v ON t.token = v.token",
         ("tokens", "vocab"),
     ),
-    "seqs": (f"SELECT id, list(token_id ORDER BY pos) AS l FROM encoded WHERE pos < {SEQ_LEN} GROUP BY id", ("encoded",)),
+    "seqs": (
+        f"SELECT d.doc_id AS id, coalesce(list(e.token_id ORDER BY e.pos) FILTER (WHERE e.pos < {SEQ_LEN}), CAST([] AS BIGINT[])) AS l "
+        "FROM documents d LEFT JOIN encoded e ON d.doc_id = e.id GROUP BY d.doc_id",
+        ("encoded",),
+    ),
+    "padded": (
+        f"SELECT d.doc_id AS id, p.pos, coalesce(e.token_id, {PAD_ID}) AS token_id FROM documents d CROSS JOIN range({SEQ_LEN}) p(pos) "
+        "LEFT JOIN encoded e ON e.id = d.doc_id AND e.pos = p.pos",
+        ("encoded",),
+    ),
+    "padded_vectors": ("SELECT e.id, e.pos, e.token_id, m.vec FROM padded e JOIN matrix m ON e.token_id = m.id", ("padded", "matrix")),
     "matrix": (
         "SELECT v.id, v.token, w.token IS NOT NULL AS found, "
         f"coalesce(CAST(w.vec AS DOUBLE[]), list_resize(CAST([] AS DOUBLE[]), {fx.DIM}, 0.0)) AS vec "
@@ -96,8 +110,22 @@ class Corpus:
         tokens = self.tokens if ids is None else self.tokens.join(ids, "id", "left_semi")
         return V.encode_tokens(tokens, self.vocab, UNK_ID)
 
+    def _documents(self) -> tuple[DataFrame, Column]:
+        docs = table(self.spark, self.sf, "documents").select(F.col("doc_id").alias("id"), "text")
+        return docs, T.word_punct_tokens("text")
+
+    def first_encoded(self, max_len: int = SEQ_LEN, pad: int = 0) -> DataFrame:
+        """The first ``max_len`` tokens of every document, encoded; documents without tokens stay."""
+        docs, tokens = self._documents()
+        return V.encode_tokens(V.first_tokens(docs, "id", tokens, max_len, pad), self.vocab, UNK_ID)
+
+    def padded_bag(self, max_len: int = SEQ_LEN) -> DataFrame:
+        """(id, token_id, n): the first ``max_len`` places of every document, its padding in one row."""
+        docs, tokens = self._documents()
+        return V.encode_tokens(V.padded_bag(docs, "id", tokens, max_len), self.vocab, UNK_ID)
+
     def sequences(self) -> DataFrame:
-        return S.to_sequence(self.encoded(), max_len=SEQ_LEN)
+        return S.to_sequence(self.first_encoded())
 
     def seq_vectors(self, ids: DataFrame | None = None) -> DataFrame:
         return S.sequence_vectors(self.encoded(ids), self.matrix)
@@ -209,6 +237,74 @@ def one_hot_bag(spark: SparkSession, sf: str) -> DataFrame:
     return S.one_hot_bag(Corpus(spark, sf).encoded())
 
 
+_SPARSE_SQL = (
+    "CAST(count(v) AS BIGINT) AS entries, CAST(coalesce(sum(v * (i + 1)), 0) AS DOUBLE) AS places, CAST(coalesce(max(i), -1) AS BIGINT) AS last_place"
+)
+
+
+def _sparse_summary(vectors: DataFrame, size: int) -> DataFrame:
+    """What a vector holds, from its dense form: number of entries, place-weighted sum, last place, and its length."""
+    dense = vectors.select("id", vector_to_array("vector").alias("v"))
+    hot = F.filter(F.transform("v", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+    return dense.select(
+        "id",
+        F.size(hot).cast("bigint").alias("entries"),
+        X.place_sum("v").alias("places"),
+        F.coalesce(F.array_max(hot), F.lit(-1)).cast("bigint").alias("last_place"),
+        (F.size("v") == size).alias("has_size"),
+    )
+
+
+@register(
+    "one_hot_vectors",
+    vsql(
+        "WITH o AS (SELECT DISTINCT id, token_id AS i, 1 AS v FROM encoded) "
+        f"SELECT d.doc_id AS id, {_SPARSE_SQL}, TRUE AS has_size FROM documents d LEFT JOIN o ON o.id = d.doc_id GROUP BY d.doc_id",
+        "encoded",
+    ),
+)
+def one_hot_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """R5 in ML form: a sparse vector over the vocabulary per document, empty for a document without tokens."""
+    c = Corpus(spark, sf)
+    size = c.vocab.count()
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    every = V.encode_tokens(docs.select("id", F.explode_outer(T.word_punct_tokens("text")).alias("token")), c.vocab, UNK_ID)
+    return _sparse_summary(S.sparse_vectors(every, size), size)
+
+
+@register(
+    "label_vectors",
+    with_views(
+        "WITH o AS (" + " UNION ALL ".join(f"SELECT id, {k} AS i, CASE WHEN {c} <> 0 THEN {c} END AS v FROM scored_comments" for k, c in enumerate(fx.LABELS)) + ") "
+        f"SELECT id, {_SPARSE_SQL.replace('max(i)', 'max(CASE WHEN v IS NOT NULL THEN i END)')}, TRUE AS has_size FROM o GROUP BY id",
+        "scored_comments",
+    ),
+)
+def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """B4 in ML form: the label columns of a comment as one vector."""
+    long = M.label_matrix(fx.scored_comments(spark, sf).select("id", *fx.LABELS), fx.LABELS)
+    place = F.create_map(*[x for k, c in enumerate(fx.LABELS) for x in (F.lit(c), F.lit(k))])
+    entries = long.select("id", place[F.col("label")].alias("place"), "target")
+    return _sparse_summary(S.sparse_vectors(entries, len(fx.LABELS), index_col="place", value_col="target"), len(fx.LABELS))
+
+
+@register(
+    "vocab_fit_train",
+    with_views(
+        f"WITH sp AS ({THREE_WAY_SQL}), f AS (SELECT token, count(*) AS freq FROM tokens WHERE id IN (SELECT id FROM sp WHERE split = 'train') "
+        f"GROUP BY token HAVING count(*) >= {fx.MIN_FREQ}) SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, token) + 1 AS BIGINT) AS id, freq FROM f "
+        "UNION ALL SELECT '<unk>', 0, 0 UNION ALL SELECT '<pad>', 1, 0",
+        "tokens",
+        "scored_comments",
+    ),
+)
+def vocab_fit_train(spark: SparkSession, sf: str) -> DataFrame:
+    """E7 fitted on the training split only, so that the vocabulary knows nothing of val and test."""
+    splits = O.three_way_split(fx.scored_comments(spark, sf).select("id"), "id", SEED, VAL_FRACTION, TEST_FRACTION)
+    counts = V.split_frequencies(fx.tokens(spark, sf), cut_lineage(splits, "splits"), ("train",))
+    return V.vocab_from_counts(counts, fx.MIN_FREQ).select("token", "id", "freq")
+
+
 # ---- D3 / D4 / D5 / D6 / E9
 
 

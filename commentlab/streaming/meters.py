@@ -65,7 +65,7 @@ def clean_stream(docs: DataFrame) -> DataFrame:
     """ST1: T1 and T5 applied to each arriving comment (stateless)."""
     return docs.select(
         F.col("doc_id").alias("id"),
-        T.normalise_comment("text").alias("text"),
+        T.normalise_comment("text", null_as="nan").alias("text"),
         F.array_join(T.clean_tokens("text"), " ").alias("tokens"),
     )
 
