@@ -144,7 +144,7 @@ def fit_candidates(train: DataFrame, label_cols: Sequence[str], families: dict[s
             names.append(f"{family}({text})")
             for label in label_cols:
                 jobs.append((name, label, estimator.copy(setting).setFeaturesCol("features").setLabelCol(label)))
-    fit = inheritable_thread_target(lambda job: (job[0], job[1], job[2].fit(train)))
+    fit = inheritable_thread_target(train.sparkSession)(lambda job: (job[0], job[1], job[2].fit(train)))
     with ThreadPool(max(1, min(threads, len(jobs)))) as pool:
         fitted = pool.map(fit, jobs, chunksize=1)
     return [(n, {label: m for i, label, m in fitted if i == k}) for k, n in enumerate(names)]

@@ -24,7 +24,7 @@ def test_normalise_golden(spark):
     assert _one(spark, "x,,,y???z  w", T.normalise_comment) == "x,y?z w"
     s = "Second reading\nDoes it hold? Nobody minded, it's late."
     assert _one(spark, s, T.normalise_comment) == "Second reading Does it hold? Nobody minded, it's late."
-    assert _one(spark, None, T.normalise_comment) == "nan"
+    assert _one(spark, None, T.normalise_comment) is None and _one(spark, None, lambda c: T.normalise_comment(c, null_as="nan")) == "nan"
 
 
 def test_clean_tokens_golden(spark):
