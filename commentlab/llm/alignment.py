@@ -6,7 +6,8 @@ lists into groups, and within a group every token of one list is linked with eve
 
 1. Texts are cut before spaces and line breaks that follow other text. Tokens of both vocabularies end there, so groups
    never reach over a cut, and every different cut (a word with what leads and trails it) is encoded and aligned once
-   while a task remembers it. A text's digest and counts are put together from its cuts.
+   while a task remembers it. New cuts are strung together, so that one pair of dictionaries serves many of them. A text's
+   digest and counts are put together from its cuts.
 2. A task's texts form blocks of bounded size. Per block, one row holds its cuts' links and in how many texts each
    linked pair of ids occurs; the texts are rows of numbers of cuts. So pairs are counted once a block before any shuffle.
 3. The counts of all blocks are added up by pair, each pair is held against the highest count of its first id, and the
@@ -23,14 +24,17 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import zlib
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,9 +46,11 @@ from tokenizers import Tokenizer
 from commentlab.llm.common import write_table
 from commentlab.llm.token_counts import SPACE, check_cuts, plain_pieces, units
 
-ROWS_AT_ONCE = 256
-HELD_CUTS = 150_000
+ROWS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 20
+HELD_CUTS = 200_000
 LONG_CUT = 200  # characters; longer cuts hardly come again and are not kept
+STRUNG = 1 << 17  # characters of new cuts that are encoded as one text
+BIG_GROUP = 1 << 12  # links; a larger group's are counted by pairs of ids, not one by one
 # a block of texts ends when it holds so many different cuts, texts, or pairs (counted once a text)
 BLOCK_CUTS, BLOCK_TEXTS, BLOCK_PAIRS = 1 << 16, 1 << 13, 1 << 22
 BLOCK_BITS = 24
@@ -62,14 +68,18 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteVocabulary:
-    """Byte-level vocabulary: the bytes of every id, and ids of cuts."""
+    """Byte-level vocabulary: the bytes of every id, and ids of cuts.
+
+    Where the merges follow each other in the order of the ids they make, ids are the ranks that the faster of the two
+    libraries for such vocabularies takes, with the same pattern for splitting; other vocabularies go to the first one."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
         with open(path, encoding="utf-8") as f:
-            kind = json.load(f)["pre_tokenizer"]
-        if not kind or kind["type"] != "ByteLevel" or kind["add_prefix_space"]:
+            data = json.load(f)
+        split = data["pre_tokenizer"]
+        if not split or split["type"] != "ByteLevel" or split["add_prefix_space"] or data["normalizer"]:
             raise ValueError("not a byte-level vocabulary that takes texts as they are")
         alphabet = byte_alphabet()
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
@@ -77,9 +87,20 @@ class ByteVocabulary:
         self.bytes = [b""] * self.size
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = token.encode("utf-8") if token in special else bytes(alphabet[c] for c in token)
-
-    def encode(self, cuts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(cuts, add_special_tokens=False)]
+        vocab = data["model"]["vocab"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
+        made = [vocab[a + b] for a, b in pairs]
+        plain = {token: i for token, i in vocab.items() if token not in special}
+        self.ranked = None
+        if split.get("use_regex", True) and made == sorted(made) and len(set(made)) == len(plain) - len(alphabet):
+            ranks = {self.bytes[i]: i for i in plain.values()}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of one or more cuts in a string."""
+        if self.ranked is not None:
+            return self.ranked.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 class PieceVocabulary:
@@ -96,76 +117,123 @@ class PieceVocabulary:
         piece = self.model.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.model.is_byte(i) else piece.replace(SPACE, " ").encode("utf-8")
 
-    def encode(self, cuts: list[str]) -> list[list[int]]:
-        """The library puts a space in front: it stands for a cut's own leading space, else its token is dropped."""
-        led = [c[0] == " " for c in cuts]
-        ids = self.model.encode([c[1:] if own else c for c, own in zip(cuts, led, strict=True)], num_threads=1)
-        return [([self.space] if len(c) == 1 else x) if own else x[1:] for c, own, x in zip(cuts, led, ids, strict=True)]
+    def encode(self, text: str) -> list[int]:
+        """Ids of one or more cuts in a string. The library puts a space in front: it stands for the string's own leading
+        space, else its token is dropped."""
+        if text[0] != " ":
+            return self.model.encode(text)[1:]
+        return self.model.encode(text[1:]) if len(text) > 1 else [self.space]
 
 
-def group_slices(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int, int, int]]:
-    """``(from, to, from, to)`` of every group in both lists, given the tokens' byte sizes."""
+def index_by_end(sizes: Iterable[int]) -> dict[int, int]:
+    """Cumulative byte end of each token -> number of tokens up to it."""
+    return {end: i for i, end in enumerate(accumulate(sizes), 1)}
 
-    def index_by_end(sizes: list[int]) -> dict[int, int]:
-        ends, at = {}, 0
-        for i, n in enumerate(sizes):
-            at += n
-            ends[at] = i + 1  # of empty tokens at one end the last counts
-        return ends
 
+def group_slices(a_sizes: Iterable[int], b_sizes: Iterable[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, a, b): groups end at the bytes ``ends``, after the first ``a`` and ``b`` tokens of the lists."""
     a, b = index_by_end(a_sizes), index_by_end(b_sizes)
-    out, i, j = [], 0, 0
-    for end in sorted(a.keys() & b.keys()):
-        out.append((i, a[end], j, b[end]))
-        i, j = a[end], b[end]
-    return out
+    ends = sorted(a.keys() & b.keys())
+    return tuple(np.fromiter(x, dtype=np.int64, count=len(ends)) for x in (ends, map(a.__getitem__, ends), map(b.__getitem__, ends)))
+
+
+class Cut(NamedTuple):
+    """Alignment of one cut. A link's code is first id * number of second ids + second id; ``codes`` holds one for every link,
+    or, with ``times``, one for every linked pair of ids."""
+
+    digest: str
+    counts: tuple[int, int, int, int]  # tokens, tokens, groups, links
+    codes: bytes
+    times: bytes | None = None
 
 
 class Aligner:
-    """Alignments of cuts: ``(digest, n_a, n_b, n_groups, n_links, codes, times)``, or None where a vocabulary does not
-    give the cut back; a code is first id * number of second ids + second id, and occurs ``times`` in the cut's links."""
+    """Alignments of cuts; None where a vocabulary does not give the cut back byte by byte."""
 
     def __init__(self, paths: tuple[str, str]):
         self.a, self.b = ByteVocabulary(paths[0]), PieceVocabulary(paths[1])
         self.a_size, self.b_size = [len(x) for x in self.a.bytes], [len(x) for x in self.b.bytes]
-        self.young: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
+        self.a_name, self.b_name = [str(i) for i in range(self.a.size)], [str(i) for i in range(self.b.size)]
+        self.young: dict[str, Cut | None] = {}
+        self.old: dict[str, Cut | None] = {}
+
+    def _groups(self, text: str) -> tuple | None:
+        a, b, raw = self.a.encode(text), self.b.encode(text), text.encode("utf-8")
+        if b"".join(map(self.a.bytes.__getitem__, a)) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
+            return None
+        ends, i, j = group_slices(map(self.a_size.__getitem__, a), map(self.b_size.__getitem__, b))
+        first_a, first_b = np.concatenate([[0], i[:-1]]), np.concatenate([[0], j[:-1]])
+        a_name, b_name = [self.a_name[x] for x in a], [self.b_name[x] for x in b]
+        names = [
+            f"{a_name[p]}|{b_name[r]}" if q - p == 1 == s - r else ",".join(a_name[p:q]) + "|" + ",".join(b_name[r:s])
+            for p, q, r, s in zip(first_a.tolist(), i.tolist(), first_b.tolist(), j.tolist(), strict=True)
+        ]
+        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), ends, first_a, i, first_b, j, names
+
+    def _strung(self, cuts: list[str]) -> list[Cut | None]:
+        """Alignments of cuts that end in other characters than white space, encoded as one string."""
+        found = self._groups("".join(cuts))
+        if found is None:
+            return [self._single(c) for c in cuts]
+        a, b, ends, first_a, last_a, first_b, last_b, names = found
+        links = (last_a - first_a) * (last_b - first_b)
+        upto = np.searchsorted(ends, np.cumsum([len(c.encode("utf-8")) for c in cuts])) + 1  # groups up to each cut's end
+        big = np.flatnonzero(links > BIG_GROUP)
+        spelled = np.where(links > BIG_GROUP, 0, links)
+        group = np.repeat(np.arange(len(links)), spelled)
+        place = np.arange(len(group)) - np.repeat(np.cumsum(spelled) - spelled, spelled)
+        width = (last_b - first_b)[group]
+        codes = (a[first_a[group] + place // width] * self.b.size + b[first_b[group] + place % width]).tobytes()
+        single = set(np.searchsorted(upto, big, side="right").tolist())  # cuts with a group that is not spelled out
+        n_a, n_b, n_l = (np.concatenate([[0], x]).take(upto).tolist() for x in (last_a, last_b, np.cumsum(spelled)))
+        out: list[Cut | None] = []
+        g = p = q = k = 0
+        for n, (c, g2, p2, q2, k2) in enumerate(zip(cuts, upto.tolist(), n_a, n_b, n_l, strict=True)):
+            out.append(self._single(c) if n in single else Cut(";".join(names[g:g2]), (p2 - p, q2 - q, g2 - g, k2 - k), codes[8 * k : 8 * k2]))
+            g, p, q, k = g2, p2, q2, k2
+        return out
 
-    def _align(self, cut: str, a: list[int], b: list[int]) -> tuple | None:
-        raw = cut.encode("utf-8")
-        if b"".join([self.a.bytes[i] for i in a]) != raw or b"".join([self.b.bytes[i] for i in b]) != raw:
+    def _single(self, cut: str) -> Cut | None:
+        """Alignment of one cut by itself, its links counted by pairs of ids."""
+        found = self._groups(cut)
+        if found is None:
             return None
+        a, b, _, first_a, last_a, first_b, last_b, names = found
         links: Counter[int] = Counter()
-        groups, n_links, width = [], 0, self.b.size
-        for i, j, k, m in group_slices([self.a_size[x] for x in a], [self.b_size[x] for x in b]):
-            groups.append(",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:m])))
-            n_links += (j - i) * (m - k)
-            if j - i == 1 and m - k == 1:
-                links[a[i] * width + b[k]] += 1
-            else:
-                second = Counter(b[k:m]).items()
-                for x, n in Counter(a[i:j]).items():
-                    for y, t in second:
-                        links[x * width + y] += n * t
-        codes = np.fromiter(links.keys(), dtype=np.int64, count=len(links))
-        times = np.fromiter(links.values(), dtype=np.int64, count=len(links))
-        return ";".join(groups), len(a), len(b), len(groups), n_links, codes, times
-
-    def of(self, cuts: set[str]) -> dict[str, tuple | None]:
+        for i, j, k, m in zip(first_a.tolist(), last_a.tolist(), first_b.tolist(), last_b.tolist(), strict=True):
+            second = Counter(b[k:m].tolist()).items()
+            for x, n in Counter(a[i:j].tolist()).items():
+                for y, t in second:
+                    links[x * self.b.size + y] += n * t
+        codes, times = (np.fromiter(x, dtype=np.int64, count=len(links)).tobytes() for x in (links.keys(), links.values()))
+        return Cut(";".join(names), (len(a), len(b), len(names), sum(links.values())), codes, times)
+
+    def of(self, cuts: set[str]) -> dict[str, Cut | None]:
         """Alignments of ``cuts``."""
         if len(self.young) > HELD_CUTS:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        out = {c: young[c] if c in young else old[c] for c in cuts if c in young or c in old}
-        absent = list(cuts.difference(out))
-        for c, a, b in zip(absent, self.a.encode(absent), self.b.encode(absent), strict=True):
-            out[c] = self._align(c, a, b)
-        young.update((c, x) for c, x in out.items() if len(c) <= LONG_CUT)
+        out = {c: young[c] for c in cuts if c in young}
+        rest = cuts.difference(out)
+        out |= {c: old[c] for c in rest if c in old}
+        group, size, groups = [], 0, []
+        for c in rest.difference(out):
+            if SPACE in c or c[-1].isspace():  # does not come back, or is no neighbour of another cut
+                out[c] = self._single(c)
+                continue
+            group.append(c)
+            size += len(c)
+            if size > STRUNG:
+                groups.append(group)
+                group, size = [], 0
+        for g in [*groups, group] if group else groups:
+            out.update(zip(g, self._strung(g), strict=True))
+        young.update((c, out[c]) for c in rest if len(c) <= LONG_CUT)
         return out
 
 
-ROWS = "block bigint, cuts binary, repeats binary, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
-TABLES = "codes array<bigint>, docs array<bigint>, starts binary, pairs binary, times binary"
+ROWS = "block bigint, cuts binary, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
+TABLES = "codes array<bigint>, docs array<bigint>, sizes binary, pairs binary, times binary"
 
 
 class Block:
@@ -174,65 +242,90 @@ class Block:
     def __init__(self, number: int):
         self.number = number
         self.places: dict[str, int] = {}
-        self.met: list[tuple] = []
+        self.met: list[Cut] = []
+        self.digests: list[str] = []
+        self.counts = np.zeros((0, 4), dtype=np.int64)
         self.rows: list[tuple] = []
         self.seen: list[np.ndarray] = []
         self.n_seen = 0
 
     def full(self) -> bool:
-        return len(self.places) >= BLOCK_CUTS or len(self.rows) >= BLOCK_TEXTS or self.n_seen >= BLOCK_PAIRS
-
-    def add(self, doc_id: object, cuts: list[str], known: dict[str, tuple | None]) -> None:
-        found = [known[c] for c in cuts]
-        if not cuts or None in found:
-            self.rows.append((doc_id, b"", b"", 0, 0, 0, 0, ""))
-            return
-        for c in cuts:
-            if c not in self.places:
-                self.places[c] = len(self.met)
-                self.met.append(known[c])
-        own, repeats = np.unique(np.fromiter((self.places[c] for c in cuts), dtype=np.int32, count=len(cuts)), return_counts=True)
-        digests, *numbers, _, _ = zip(*found, strict=True)
-        digest = hashlib.sha256(";".join(digests).encode()).hexdigest()
-        codes = np.unique(np.concatenate([self.met[i][5] for i in own.tolist()]))
-        self.seen.append(codes)
-        self.n_seen += len(codes)
-        self.rows.append((doc_id, own.astype("<i4").tobytes(), repeats.astype("<i4").tobytes(), *map(sum, numbers), digest))
+        return len(self.met) >= BLOCK_CUTS or len(self.rows) >= BLOCK_TEXTS or self.n_seen >= BLOCK_PAIRS
+
+    def add(self, doc_ids: list, texts: list[list[str]], known: dict[str, Cut | None]) -> None:
+        """Take texts, each a list of cuts."""
+        lost = {c for c, x in known.items() if x is None}
+        new = [c for c, x in known.items() if x is not None and c not in self.places]
+        self.places.update(zip(new, range(len(self.met), len(self.met) + len(new)), strict=True))
+        self.met += [known[c] for c in new]
+        self.digests += [known[c].digest for c in new]
+        if new:
+            self.counts = np.concatenate([self.counts, np.array([known[c].counts for c in new], dtype=np.int64)])
+        for doc_id, cuts in zip(doc_ids, texts, strict=True):
+            if not cuts or (lost and not lost.isdisjoint(cuts)):
+                self.rows.append((doc_id, b"", 0, 0, 0, 0, ""))
+                continue
+            places = list(map(self.places.__getitem__, cuts))
+            digest = hashlib.sha256(";".join(map(self.digests.__getitem__, places)).encode()).hexdigest()
+            own, repeats = np.unique(np.array(places), return_counts=True)
+            codes = np.unique(np.frombuffer(b"".join([self.met[i].codes for i in own.tolist()]), dtype=np.int64))
+            self.seen.append(codes)
+            self.n_seen += len(codes)
+            packed = zlib.compress(np.concatenate([np.diff(own, prepend=0), repeats]).astype("<u4").tobytes(), 1)
+            self.rows.append((doc_id, packed, *(repeats @ self.counts[own]).tolist(), digest))
 
     def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        ids, cuts, repeats, n_a, n_b, n_groups, n_links, digests = zip(*self.rows, strict=True)
+        ids, cuts, n_a, n_b, n_groups, n_links, digests = zip(*self.rows, strict=True)
         n = len(self.rows)
-        cols = [pa.array(ids, schema.field("doc_id").type), pa.array([self.number] * n, pa.int64()), pa.array(cuts, pa.binary()), pa.array(repeats, pa.binary())]
+        cols = [pa.array(ids, schema.field("doc_id").type), pa.array([self.number] * n, pa.int64()), pa.array(cuts, pa.binary())]
         cols += [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_links)]
         cols += [pa.array(digests, pa.string()), *[pa.nulls(n, f.type) for f in list(schema)[len(cols) + 1 :]]]
         yield pa.RecordBatch.from_arrays(cols, schema=schema)
-        if not self.met:
+        if not self.seen:
             return
         codes, docs = np.unique(np.concatenate(self.seen), return_counts=True)
-        starts = np.concatenate([[0], np.cumsum([len(x[5]) for x in self.met])[:-1]])
-        pairs = np.searchsorted(codes, np.concatenate([x[5] for x in self.met]))
+        links = np.frombuffer(b"".join([x.codes for x in self.met]), dtype=np.int64)
+        sizes = np.array([len(x.codes) // 8 for x in self.met])
+        times = np.ones(len(links), dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        for i, x in enumerate(self.met):
+            if x.times is not None:
+                times[starts[i] : starts[i] + sizes[i]] = np.frombuffer(x.times, dtype=np.int64)
+        used = np.searchsorted(codes, links)
+        # a cut that only came with texts that have no tokens may hold pairs that no text of the block counts
+        times[codes[np.minimum(used, len(codes) - 1)] != links] = 0
         row = {
-            "block": self.number, "codes": codes, "docs": docs, "starts": starts.astype("<i8").tobytes(),
-            "pairs": pairs.astype("<i4").tobytes(), "times": np.concatenate([x[6] for x in self.met]).astype("<i8").tobytes(),
+            "block": self.number, "codes": codes, "docs": docs, "sizes": zlib.compress(sizes.astype("<u4").tobytes(), 1),
+            "pairs": zlib.compress(np.minimum(used, len(codes) - 1).astype("<u4").tobytes(), 1), "times": zlib.compress(times.astype("<i8").tobytes(), 1),
         }
         yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in schema], schema=schema)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str | None]]]:
+    """Ids and texts of some rows at a time: few enough, and not too many characters unless it is one row."""
+    ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+    first = chars = 0
+    for i, t in enumerate(texts):
+        if i > first and (i - first == ROWS_AT_ONCE or chars + len(t or "") > CHARS_AT_ONCE):
+            yield ids[first:i], texts[first:i]
+            first, chars = i, 0
+        chars += len(t or "")
+    if first < len(ids):
+        yield ids[first:], texts[first:]
+
+
 def _align_texts(paths: tuple[str, str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         aligner, first = Aligner(paths), TaskContext.get().partitionId() << BLOCK_BITS
         block = Block(first)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                cut = [units(" " + t) if t else [] for t in part.column("text").to_pylist()]
-                known = aligner.of(set(chain.from_iterable(cut)))
-                for doc_id, cuts in zip(part.column("doc_id").to_pylist(), cut, strict=True):
-                    block.add(doc_id, cuts, known)
-                    if block.full():
-                        yield from block.batches(schema)
-                        block = Block(block.number + 1)
+            for ids, texts in _parts(batch):
+                cut = [units(" " + t) if t else [] for t in texts]
+                block.add(ids, cut, aligner.of(set(chain.from_iterable(cut))))
+                if block.full():
+                    yield from block.batches(schema)
+                    block = Block(block.number + 1)
         if block.rows:
             yield from block.batches(schema)
 
@@ -241,19 +334,22 @@ def _align_texts(paths: tuple[str, str], schema: pa.Schema):
 
 def _sum_block(schema: pa.Schema):
     def run(block: pa.Table, pairs: pa.Table) -> pa.Table:
-        is_text = block.column("starts").is_null()
+        is_text = block.column("sizes").is_null()
         rows, tables = block.filter(is_text), block.filter(pc.invert(is_text))
         n_best, count_sum = np.zeros(rows.num_rows, dtype=np.int64), np.zeros(rows.num_rows, dtype=np.int64)
         if tables.num_rows:
             order = np.argsort(pairs.column("pos").to_numpy())
             counts = pairs.column("n").to_numpy()[order]
             best = pairs.column("best").to_numpy()[order]
-            get = lambda name, kind: np.frombuffer(tables.column(name)[0].as_py(), dtype=kind)
-            starts, at, times = get("starts", "<i8"), get("pairs", "<i4"), get("times", "<i8")
+            get = lambda name, kind: np.frombuffer(zlib.decompress(tables.column(name)[0].as_py()), dtype=kind).astype(np.int64)
+            sizes, at, times = get("sizes", "<u4"), get("pairs", "<u4"), get("times", "<i8")
+            starts = np.cumsum(sizes) - sizes
             cut_sum, cut_best = np.add.reduceat(counts[at] * times, starts), np.add.reduceat(best[at] * times, starts)
-            for i, (cuts, repeats) in enumerate(zip(rows.column("cuts").to_pylist(), rows.column("repeats").to_pylist(), strict=True)):
-                own, often = np.frombuffer(cuts, dtype="<i4"), np.frombuffer(repeats, dtype="<i4").astype(np.int64)
-                n_best[i], count_sum[i] = cut_best[own] @ often, cut_sum[own] @ often
+            for i, cuts in enumerate(rows.column("cuts").to_pylist()):
+                if cuts:
+                    own, often = np.frombuffer(zlib.decompress(cuts), dtype="<u4").astype(np.int64).reshape(2, -1)
+                    own = np.cumsum(own)
+                    n_best[i], count_sum[i] = cut_best[own] @ often, cut_sum[own] @ often
         data = {"n_best": pa.array(n_best), "count_sum": pa.array(count_sum)}
         return pa.Table.from_arrays([data[f.name] if f.name in data else rows.column(f.name) for f in schema], schema=schema)
 
@@ -268,7 +364,7 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, id_col: str = "
     names = f"doc_id {kind}, {ROWS}, {TABLES}"
     aligned = write_table(rows.mapInArrow(_align_texts(paths, to_arrow_schema(StructType.fromDDL(names))), names), "aligned")
 
-    in_blocks = aligned.where("starts is not null").select("block", F.posexplode(F.arrays_zip("codes", "docs")).alias("pos", "pair"))
+    in_blocks = aligned.where("sizes is not null").select("block", F.posexplode(F.arrays_zip("codes", "docs")).alias("pos", "pair"))
     in_blocks = in_blocks.select("block", "pos", F.col("pair.codes").alias("code"), F.col("pair.docs").alias("docs"))
     counts = write_table(in_blocks.groupBy("code").agg(F.sum("docs").alias("n")), "pair-counts")
     width = PieceVocabulary(paths[1]).size

@@ -92,13 +92,32 @@ def aligner():
 def test_cuts_give_the_groups_of_whole_texts(plain, aligner, text):
     cuts = alignment.units(" " + text) if text else []
     found = aligner.of(set(cuts))
-    digest = "" if any(found[c] is None for c in cuts) else ";".join(found[c][0] for c in cuts)
+    digest = "" if any(found[c] is None for c in cuts) else ";".join(found[c].digest for c in cuts)
     assert digest == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in plain.groups(text))
 
 
 def test_slices():
-    assert alignment.group_slices([2, 2, 3], [1, 3, 1, 2]) == [(0, 2, 0, 2), (2, 3, 2, 4)]
-    assert alignment.group_slices([], []) == []
+    assert [x.tolist() for x in alignment.group_slices([2, 2, 3], [1, 3, 1, 2])] == [[4, 7], [2, 3], [2, 4]]
+    assert [x.tolist() for x in alignment.group_slices([], [])] == [[], [], []]
+
+
+def test_big_groups_are_counted_by_pairs(plain, monkeypatch):
+    texts = ["日本 the it's naïve 😀😀 x", "tokenization of unbelievable words", "the the"]
+    for bound in (0, 3, 1 << 12):
+        monkeypatch.setattr(alignment, "BIG_GROUP", bound)
+        aligner = alignment.Aligner(alignment.default_paths())
+        for t in texts:
+            cuts = alignment.units(" " + t)
+            found = aligner.of(set(cuts))
+            links = Counter()
+            for c in cuts:
+                x = found[c]
+                codes = alignment.np.frombuffer(x.codes, dtype="i8").tolist()
+                times = alignment.np.frombuffer(x.times, dtype="i8").tolist() if x.times else [1] * len(codes)
+                for code, n in zip(codes, times, strict=True):
+                    links[divmod(code, aligner.b.size)] += n
+                assert sum(times) == x.counts[3]
+            assert links == Counter((x, y) for a, b in plain.groups(t) for x in a for y in b)
 
 
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(40000))
@@ -119,7 +138,7 @@ def test_awkward_rows(spark, plain, small_blocks, monkeypatch):
             inner = run(*args)
 
             def task(batches):
-                alignment.BLOCK_TEXTS = 4
+                alignment.BLOCK_TEXTS, alignment.ROWS_AT_ONCE, alignment.STRUNG, alignment.HELD_CUTS = 4, 2, 5, 10
                 yield from inner(batches)
 
             return task
