@@ -67,7 +67,9 @@ def tsv_fill(spark: SparkSession, sf: str) -> DataFrame:
 def typed_load(spark: SparkSession, sf: str) -> DataFrame:
     """A3: train / val / test written as three CSV folders, read with byte labels, id dropped."""
     c = fx.comments(spark, sf)
-    split = O.shuffled_split(c.where(F.col("toxic") != -1), "id", SEED, VAL_FRACTION)
+    labelled = c.where(F.col("toxic") != -1)
+    # only the ids are ranked; the texts are joined back
+    split = labelled.join(O.shuffled_split(labelled.select("id"), "id", SEED, VAL_FRACTION), "id")
     paths = {}
     for name in ("train", "val"):
         paths[name] = scratch_path(spark, f"split_{name}")
