@@ -1,169 +1,233 @@
 """Exact top-k inner products by no-random-access aggregation (Fagin, Lotem and Naor, 2001).
 
-Candidates are cut into blocks; each block keeps, for every dimension, the list of its entries sorted by value.
-For a query the contributions of a dimension come in falling order when its list is read from one end. The lists
-are read step by step, all to the same depth. For every candidate the entries seen give a sum, and the rest is
-bounded from above by the last contributions read, from below by the lists' other ends, and on both sides by the
-norms of the unseen parts (an entry carries its vector's norm). When the k-th best lower bound is above what a
-candidate, seen or unseen, can still reach, it is an outsider; reading then goes on only for the candidates left, until
-all their entries are met and their scores are exact.
-
-Query blocks meet candidate blocks pairwise, a bounded number of rows at a time; each pair sends k rows a query.
-
-Scores are sums of integers. Ties go to the smaller id. Cases: vectors that are null or hold null or non-finite
-components, and null ids, take no part; a shorter vector counts as filled up with zeros; rows that repeat
-an id count once, with the smallest of their vectors; with fewer than k other rows all are returned; an empty
-table gives an empty result. Integers beyond 2**24 are refused, so that sums stay exact.
+Candidates are cut into blocks; a block is nothing but one list per dimension, of its (value, candidate) entries in order of
+the values. There is no table of whole rows. A query reads list d from its upper end where its weight is positive, else
+from its lower end, so that the contributions of a list fall; lists of weight 0 are not read.
+
+All lists are read in steps, to the same depth. What a candidate has shown so far is a sum; for each list in which it
+has not been met, the contribution read last bounds it from above and the far end of the list from below. The k-th best lower
+bound, or the k-th best score found in blocks before, is the line. A candidate whose upper bound stays below the line
+is an outsider, and its further entries are not looked at. Reading stops when all are outsiders; otherwise it goes on
+until the candidates left have been met in every list, and so resolves their scores.
+
+A task holds a few blocks and a group of queries of bounded size; a query takes its line from one block to the next.
+
+Scores are sums of whole numbers and exact: floats while all sums stay below 2^53; beyond, the bounds get a margin
+and scores are summed up as Python integers. A score that does not fit a long is an error. Ties go to the smaller id.
+Cases: vectors that are null or hold null or non-finite components, and null ids, take no part; a shorter vector counts
+as filled up with zeros; rows that repeat an id are rows of their own (a query leaves out only itself); with fewer than k other
+rows all are returned; an empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from commentlab.llm.common import write_table
-from commentlab.llm.ngram_join import _by_block, _groups
 
 K = 5
 SCALE = 256
-BLOCK = 4096
-QUERY_BLOCK = 256
-STEPS = 8
-CHECKS = (3, 5)  # bounds are held against each other at 3/8 and 5/8 of the lists
-PAIRS_AT_ONCE = 20_000
+BLOCK = 4096  # candidates of a block
+BLOCKS = 8  # blocks that one task holds, about
+QUERIES_AT_ONCE = 16_384  # queries that one task holds
+DEPTHS = (0.25, 0.5, 0.625, 0.75, 0.875, 1.0)  # of the lists, to which they are read before bounds are held against the line
+EXACT = 1 << 53
 
 
 def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """``(id, v)`` with v the components floor(scale * x), x as double; one row per id."""
+    """``(id, v)`` with v the components floor(scale * x), x as double, as whole numbers in doubles."""
     v = F.col(vector_col)
     usable = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint"))
-    kept = rows.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), whole.alias("v"))
-    return kept.groupBy("id").agg(F.min("v").alias("v"))
+    # floor() of a double is a long in Spark; from 2^53 on doubles are whole numbers themselves
+    scaled = F.transform(v, lambda x: F.lit(float(scale)) * x.cast("double"))
+    small = lambda y: F.abs(y) < float(EXACT)
+    whole = F.transform(scaled, lambda y: F.when(small(y), F.floor(F.when(small(y), y)).cast("double")).otherwise(y))
+    return rows.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), whole.alias("v"))
 
 
-def _matrix(vectors: list[np.ndarray], dims: int) -> np.ndarray:
-    out = np.zeros((len(vectors), dims), dtype=np.int64)
-    for i, x in enumerate(vectors):
+class Query:
+    """A query with the best (score, id) it has found; ``line`` is what another candidate must reach."""
+
+    def __init__(self, weights: np.ndarray, row: int, k: int):
+        self.weights, self.row, self.k = weights, row, k
+        self.found: list[tuple[int, int]] = []  # (-score, id)
+        self.line = -math.inf
+        self.entries_read = self.entries_looked_at = 0
+
+    def take(self, scores: list[int], ids: list[int]) -> None:
+        new = ((-s, i) for s, i in zip(scores, ids, strict=True) if s >= self.line)
+        self.found = heapq.nsmallest(self.k, chain(self.found, new))
+        if len(self.found) == self.k:
+            self.line = -self.found[-1][0]
+
+
+class SortedLists:
+    """The lists of a block: ``values[d]`` rises, ``entries[d]`` names the candidate of each value."""
+
+    PARTS = {"rows": "<i8", "ids": "<i8", "values": "<f8", "entries": "<i4"}
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, values: np.ndarray, entries: np.ndarray):
+        self.rows, self.ids, self.values, self.entries = rows, ids, values, entries
+        self.biggest = max(abs(float(values[:, 0].min())), abs(float(values[:, -1].max())))
+
+    @classmethod
+    def sort(cls, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> SortedLists:
+        entries = np.argsort(vectors, axis=0, kind="stable").T
+        return cls(rows, ids, np.take_along_axis(vectors.T, entries, axis=1), entries)
+
+    def to_row(self) -> dict:
+        return {name: np.ascontiguousarray(getattr(self, name), dtype=kind).tobytes() for name, kind in self.PARTS.items()}
+
+    @classmethod
+    def from_row(cls, row: dict) -> SortedLists:
+        parts = {name: np.frombuffer(row[name], dtype=kind) for name, kind in cls.PARTS.items()}
+        n = len(parts["ids"])
+        return cls(parts["rows"], parts["ids"], parts["values"].reshape(-1, n), parts["entries"].reshape(-1, n))
+
+    def _read(self, up: np.ndarray, down: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(candidates, values, list numbers) at depths ``first`` to ``last``: of ``up`` from the upper end, of ``down`` from the lower."""
+        m = len(self.ids)
+        top, bottom = slice(m - last, m - first), slice(first, last)
+        who = np.concatenate([self.entries[up, top], self.entries[down, bottom]])
+        return who.ravel(), np.concatenate([self.values[up, top], self.values[down, bottom]]).ravel(), np.repeat(np.arange(len(who)), last - first)
+
+    def search(self, query: Query) -> None:
+        """Take what the block's candidates add to ``query``."""
+        m, w = len(self.ids), query.weights
+        up, down = np.flatnonzero(w > 0), np.flatnonzero(w < 0)
+        weights = np.concatenate([w[up], w[down]])
+        reach = float(np.abs(weights).max(initial=0.0)) * self.biggest * max(1, len(weights))
+        exact = reach < EXACT
+        margin = 1e-6 * reach  # ``met`` and its products are in single precision
+        worst = weights * np.concatenate([self.values[up, 0], self.values[down, -1]])
+        left = np.arange(m)  # candidates that may still qualify, and some outsiders
+        number = None  # place in ``left`` of every candidate, once some have gone
+        shown, met = np.zeros(m), np.zeros(m * len(weights), dtype=np.float32)
+        depth = 0
+        for share in DEPTHS:
+            last = math.ceil(m * share)
+            if not len(left) or last == depth:
+                continue
+            who, values, lists = self._read(up, down, depth, last)
+            query.entries_read += len(who)
+            if number is not None:
+                who = number[who]
+                mine = np.flatnonzero(who >= 0)
+                who, lists, values = who[mine], lists[mine], values[mine]
+            query.entries_looked_at += len(who)
+            shown += np.bincount(who, values * weights[lists], minlength=len(left))
+            met[who * len(weights) + lists] = 1.0
+            depth = last
+            latest = weights * np.concatenate([self.values[up, m - depth], self.values[down, depth - 1]])
+            behind = met.reshape(len(left), -1) @ np.stack([latest, worst], axis=1).astype(np.float32)
+            upper = shown + ((latest.sum() + margin) - behind[:, 0])
+            lower = shown + ((worst.sum() - margin) - behind[:, 1])
+            own = self.rows[left] == query.row
+            upper[own] = lower[own] = -math.inf
+            line = query.line
+            if len(left) >= query.k:
+                line = max(line, float(np.partition(lower, len(left) - query.k)[-query.k]))
+            stay = np.flatnonzero((upper >= line) & ~own)
+            if 2 * len(stay) <= len(left):
+                left, shown, met = left[stay], shown[stay], met.reshape(len(left), -1)[stay].ravel()
+                number = np.full(m, -1, dtype=np.int32)
+                number[left] = np.arange(len(left), dtype=np.int32)
+        keep = np.flatnonzero(self.rows[left] != query.row)
+        left, shown = left[keep], shown[keep]
+        if len(left):
+            scores = shown.astype(np.int64).tolist() if exact else self._resolve_large(query, up, down, weights, left)
+            query.take(scores, self.ids[left].tolist())
+
+    def _resolve_large(self, query: Query, up: np.ndarray, down: np.ndarray, weights: np.ndarray, left: np.ndarray) -> list[int]:
+        """Scores of the candidates ``left`` as Python integers, from their entries in a second reading of the lists."""
+        number = {c: i for i, c in enumerate(left.tolist())}
+        whole = [int(x) for x in weights]
+        sums = [0] * len(left)
+        who, values, lists = self._read(up, down, 0, len(self.ids))
+        query.entries_read += len(who)
+        mine = np.flatnonzero(np.isin(who, left))
+        query.entries_looked_at += len(mine)
+        for c, v, d in zip(who[mine].tolist(), values[mine].tolist(), lists[mine].tolist(), strict=True):
+            sums[number[c]] += whole[d] * int(v)
+        return sums
+
+
+def _vectors(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    out = np.zeros((len(column), dims))
+    for i, x in enumerate(column.to_pylist()):
         out[i, : len(x)] = x
-    if out.size and np.abs(out).max() > 1 << 24:
-        raise ValueError("integer components beyond 2**24")
     return out
 
 
-def _pack_blocks(dims: int, lists: bool):
+_LISTS = "slot int, " + ", ".join(f"{name} binary" for name in SortedLists.PARTS)
+
+
+def _cut_blocks(dims: int, slots: int, block: int):
+    schema = pa.schema([("slot", pa.int32()), *[(name, pa.binary()) for name in SortedLists.PARTS]])
+
+    def lists(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        made = SortedLists.sort(table.column("row").to_numpy(), table.column("id").to_numpy(), _vectors(table.column("v"), dims))
+        return pa.RecordBatch.from_pylist([{"slot": TaskContext.get().partitionId() % slots} | made.to_row()], schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["block"]):
-            ids = group.column("id").to_numpy()
-            values = _matrix([x.values.to_numpy() for x in group.column("v").combine_chunks()], dims).astype("<i4")
-            orders = np.argsort(values, axis=0, kind="stable").T.astype("<i4") if lists else np.zeros(0, "<i4")
-            yield pa.RecordBatch.from_pydict(
-                {"block": [int(group.column("block")[0].as_py())], "ids": [ids.astype("<i8").tobytes()], "values": [values.tobytes()], "orders": [orders.tobytes()]},
-                schema=pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("values", pa.binary()), ("orders", pa.binary())]),
-            )
+        held, n = [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                held.append(batch.slice(at, block - n))
+                at, n = at + held[-1].num_rows, n + held[-1].num_rows
+                if n == block:
+                    yield lists(held)
+                    held, n = [], 0
+        if n:
+            yield lists(held)
 
     return run
 
 
-class SortedLists:
-    """The sorted lists of one candidate block, read by all queries of a query block at once.
-
-    A query reads list d from its upper end where its weight is positive, else from its lower end. To a given depth
-    it has met the candidates at that end, so that what all queries have seen, and what bounds the rest, are
-    products of the queries' positive and negative parts with the entries met at either end.
-    """
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray, orders: np.ndarray):
-        self.ids, self.values = ids, values.astype(np.float32)
-        self.whole = values.astype(np.int64)
-        self.sorted = np.take_along_axis(values.T, orders, axis=1).astype(np.float32)
-        self.place = np.empty(values.shape, dtype=np.int32)
-        np.put_along_axis(self.place, orders.T.astype(np.int64), np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
-        self.norms = (values.astype(np.float64) ** 2).sum(axis=1)
-
-    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds (queries, candidates) after ``depth`` entries of every list."""
-        m = len(self.ids)
-        parts = []
-        for weight, met, last, least in (
-            (np.maximum(queries, 0), self.place >= m - depth, self.sorted[:, m - depth], self.sorted[:, 0]),
-            (np.minimum(queries, 0), self.place < depth, self.sorted[:, depth - 1], self.sorted[:, -1]),
-        ):
-            met, sign = met.astype(np.float32), (weight != 0).astype(np.float32)
-            seen = weight @ (met * self.values).T
-            energy = sign @ (met * self.values**2).T
-            # what the lists can still give at most and at least, and the query's unseen norm
-            most = (weight * last).sum(axis=1)[:, None] - (weight * last) @ met.T
-            fewest = (weight * least).sum(axis=1)[:, None] - (weight * least) @ met.T
-            unseen = (weight**2).sum(axis=1)[:, None] - (weight**2) @ met.T
-            parts.append((seen, energy, most, fewest, unseen))
-        seen, energy, most, fewest, unseen = (x + y for x, y in zip(*parts, strict=True))
-        # single precision here: margins keep the bounds on the safe side
-        size = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))[:, None]
-        margin = 1 + 1e-4 * size * np.sqrt(self.norms.max())
-        rest = np.sqrt(np.maximum(self.norms * 1.0001 + 1 - energy, 0) * np.maximum(unseen + 1 + 1e-4 * size**2, 0))
-        return seen + np.maximum(fewest, -rest) - margin, seen + np.minimum(most, rest) + margin
-
-    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query number, candidate number, exact score) of all pairs that may be among a query's k best."""
-        m = len(self.ids)
-        alive = query_ids[:, None] != self.ids[None, :]
-        for step in CHECKS:
-            depth = m * step // STEPS
-            if m <= k + 1 or not depth or alive.sum(axis=1).max(initial=0) <= 2 * k:
-                break
-            lower, upper = self.bounds(queries.astype(np.float32), depth)
-            lower[~alive] = -np.inf
-            line = np.partition(lower, m - k, axis=1)[:, m - k]
-            alive &= upper >= line[:, None]
-        # resolve: the rest of the lists is read for the candidates left, until their scores are whole
-        q, c = np.nonzero(alive)
-        score = np.empty(len(q), dtype=np.int64)
-        for at in range(0, len(q), PAIRS_AT_ONCE):
-            part = slice(at, at + PAIRS_AT_ONCE)
-            score[part] = (queries[q[part]].astype(np.int64) * self.whole[c[part]]).sum(axis=1)
-        return q, c, score
+_FOUND = pa.schema([(name, pa.int64()) for name in ("row", "query_id", "vec_id", "score")])
 
 
 def _search(dims: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                get = lambda c, kind, batch=batch, r=r: np.frombuffer(batch.column(c)[r].as_buffer(), dtype=kind)
-                ids, query_ids = get("ids", "<i8"), get("query_ids", "<i8")
-                lists = SortedLists(ids, get("values", "<i4").reshape(-1, dims), get("orders", "<i4").reshape(dims, -1))
-                q, c, score = lists.top(query_ids, get("query_values", "<i4").reshape(-1, dims), k)
-                order = np.lexsort((ids[c], -score, q))
-                q, c, score = q[order], c[order], score[order]
-                best = np.arange(len(q)) - np.searchsorted(q, q) < k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in (query_ids[q[best]], ids[c[best]], score[best])], names=["query_id", "vec_id", "score"]
-                )
+    def run(blocks: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        lists = [SortedLists.from_row(b) for b in blocks.to_pylist()] if queries.num_rows else []
+        for q in chain.from_iterable(b.to_pylist() for b in queries.to_batches(max_chunksize=1024)):
+            weights = np.zeros(dims)
+            weights[: len(q["v"])] = q["v"]
+            query = Query(weights, q["row"], k)
+            for block in lists:
+                block.search(query)
+            out += [(q["row"], q["id"], found, -minus) for minus, found in query.found]
+        columns = zip(*out, strict=True) if out else [[]] * len(_FOUND)
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_FOUND)
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK, queries_at_once: int = QUERIES_AT_ONCE) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best other rows of every row of ``(id, v)`` that ``is_query`` holds for."""
-    vectors = write_table(vectors, "integer-vectors")
-    n, queries, dims = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    dims, n_blocks, n_queries = max(1, dims), max(1, -(-n // block)), max(1, -(-queries // query_block))
-
-    def blocks(rows: DataFrame, number: int, lists: bool) -> DataFrame:
-        cut = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(number)).cast("int"))
-        return _by_block(cut, ["block"]).mapInArrow(_pack_blocks(dims, lists), "block int, ids binary, values binary, orders binary")
-
-    candidates = write_table(blocks(vectors, n_blocks, True), "sorted-lists")
-    asked = write_table(blocks(vectors.where(is_query), n_queries, False), "query-blocks")
-    asked = asked.select(F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("values").alias("query_values"))
-    left = candidates.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = left.join(right, ["block", "query_block"]).select("ids", "values", "orders", "query_ids", "query_values")
-    found = pairs.repartition(n_blocks * n_queries).mapInArrow(_search(dims, k), "query_id bigint, vec_id bigint, score bigint")
-    found = write_table(found, "block-winners")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    numbered = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("bigint").alias("id"), "v")
+    vectors = write_table(numbered, "integer-vectors")
+    n, asked, dims = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    dims, groups, slots = max(1, dims), max(1, -(-asked // queries_at_once)), max(1, -(-n // (block * BLOCKS)))
+
+    dealt = vectors.repartition(max(1, -(-n // block)), F.xxhash64("row"))
+    blocks = write_table(dealt.mapInArrow(_cut_blocks(dims, slots, block), _LISTS), "sorted-lists")
+    blocks = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    queries = vectors.where(is_query).withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
+    queries = queries.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    found = blocks.groupBy("slot", "group").cogroup(queries.groupBy("slot", "group"))
+    found = write_table(found.applyInArrow(_search(dims, k), "row bigint, query_id bigint, vec_id bigint, score bigint"), "winners-by-slot")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
