@@ -39,7 +39,7 @@ WITH RECURSIVE rules(verdict, rh, rp) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
          ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]{0,1000}>')) AS tag FROM pages),
+  SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM pages),
 targets AS (
   SELECT url, replace(CASE
     WHEN regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
