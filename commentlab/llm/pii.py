@@ -3,12 +3,17 @@
 The base patterns find e-mail addresses, IP addresses, payment cards and phone numbers. The field adds what
 they miss. Its nodes are the words of a text that hold a digit or an @ (all other words are observed as
 outside); neighbouring words share a transition potential, and words that are the same or similar (equal
-without case and outer punctuation, or equal in seven digits or more) share a potential with their next
-occurrence, however far. Loopy belief propagation passes messages over both kinds of edges, so that a word
-without a telling context takes the label of its other mentions in the document.
+without case and outer punctuation, equal in what follows a = or :, or equal in seven digits or more) share a potential
+with their next occurrence, however far. Loopy belief propagation passes messages over both kinds of edges, for a fixed
+number of rounds, so that a word without a telling context takes the label of its other mentions in the document, and
+no document depends on those it shares a batch with.
 
 The weights are fitted by pseudo-likelihood on a bounded sample: about ``TRAIN_DOCS`` documents, drawn by hash, and
-``TRAIN_WORDS`` of their words at most, labelled by the base spans and, for credentials, by fixed patterns.
+``TRAIN_WORDS`` of their words at most, labelled by the base spans and, for credentials, by fixed patterns. A word that
+matches a pattern shows its label by itself. So that the field learns what a word is worth where the pattern is hidden, every
+labelled word, and some of the others, is mentioned once more in training: its bare value, between the words of another
+place of the text, joined to the first mention by a skip edge. From these hidden mentions come the weights of
+values without a prefix and the potential that carries a label from mention to mention.
 Everything else covers all documents.
 
 Spans are code points, end exclusive. Base spans stay; a word of the field is added where it overlaps none and its
@@ -36,6 +41,8 @@ TRAIN_WORDS = 20_000
 TRAIN_ROUNDS = 60
 MIN_BELIEF = 0.9
 BP_ROUNDS = 30
+MIN_VALUE = 6  # characters from which the same value behind a = or : is the same thing
+HIDDEN_OTHERS = 4  # one in so many unlabelled words has a hidden mention
 SEED = 7
 
 # The base patterns; a digit run is only entered at its start, which changes no match.
@@ -116,6 +123,12 @@ def word_features(words: list[str], i: int) -> list[int]:
 N_FEATURES = 16
 
 
+def value_of(word: str) -> str:
+    """What a word gives a value to: the part behind its last = or :, without outer punctuation; else the word's core."""
+    core = word.strip(_LEAD + _TRAIL)
+    return re.split(r"[=:]", core)[-1].strip(_LEAD + _TRAIL) or core
+
+
 @dataclass
 class Graph:
     """Candidate words of a text, with their edges; places are word numbers."""
@@ -139,7 +152,8 @@ def build_graph(text: str) -> Graph | None:
             chain.append((node - 1, node))
         core = words[i].strip(_LEAD + _TRAIL).lower()
         digits = "".join(c for c in core if c in "0123456789")
-        for key in {("w", core), ("d", digits if len(digits) >= 7 else core)}:
+        value = value_of(words[i]).lower()
+        for key in {("w", core), ("w", value if len(value) >= MIN_VALUE else core), ("d", digits if len(digits) >= 7 else core)}:
             if key in last and places[last[key]] < i - 1:  # neighbours in the text have a chain edge
                 skip.append((last[key], node))
             last[key] = node
@@ -157,6 +171,24 @@ def train_labels(text: str, graph: Graph) -> list[int]:
     return labels
 
 
+def hide(graph: Graph, words: list[str], labels: list[int], key: int) -> tuple[Graph, list[int]]:
+    """The graph with a hidden mention of every labelled word and some of the others: the bare value between the
+    neighbours of a place drawn by hash, joined to the word by a skip edge; half of them without features of their own."""
+    features, skip, out = list(graph.features), list(graph.skip), list(labels)
+    for node, i in enumerate(graph.places):
+        draw = zlib.crc32(f"{SEED}:{key}:{node}:hidden".encode())
+        if not labels[node] and draw % HIDDEN_OTHERS:
+            continue
+        at = (draw >> 8) % len(words)
+        around = [*words[max(0, at - 2) : at], value_of(words[i]), *words[at : at + 1]]
+        skip.append((node, len(features)))
+        # every other one shows nothing of itself either: only the edge can tell its label
+        blank = [zlib.crc32(b"hidden") % FEATURES] * N_FEATURES
+        features.append(blank if draw >> 31 else word_features(around, min(2, at)))
+        out.append(labels[node])
+    return Graph(graph.spans, graph.places, features, graph.chain, skip), out
+
+
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -164,7 +196,7 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             graph = build_graph(text or "")
             if graph is None:
                 continue
-            labels = train_labels(text, graph)
+            graph, labels = hide(graph, _WORD.findall(text), train_labels(text, graph), key)
             left, right = [0] * len(labels), [0] * len(labels)
             around = np.zeros((len(labels), len(LABELS)), dtype=np.int64)
             for a, b in graph.chain:
@@ -243,12 +275,8 @@ def beliefs(score: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds
         out = (total[source] - messages[back])[:, :, None] + forth
         top = out.max(axis=1, keepdims=True)
         new = norm((top + np.log(np.exp(out - top).sum(axis=1, keepdims=True)))[:, 0, :])
-        new = 0.5 * new + 0.5 * messages
-        change = np.abs(new - messages).max()
-        messages = new
+        messages = 0.5 * new + 0.5 * messages
         total = score + np.stack([np.bincount(target, messages[:, c], minlength=len(score)) for c in range(score.shape[1])], axis=1)
-        if change < 1e-4:
-            break
     return np.exp(norm(total))
 
 

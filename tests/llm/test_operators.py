@@ -161,39 +161,61 @@ def test_pieces_are_exact_for_every_character():
 # ---- 3
 
 
+def plain_top_k(vectors, is_query, k=5):
+    """``vectors``: (id, integer list); every query row against every other row."""
+    out = []
+    for i, (q, w) in enumerate(vectors):
+        if is_query(q):
+            best = sorted((-sum(a * b for a, b in zip(w, v)), c) for j, (c, v) in enumerate(vectors) if j != i)[:k]
+            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    return sorted(out)
+
+
 def test_top_k_with_ties_and_bad_vectors(spark):
     rng = random.Random(4)
     rows = [(i, [rng.choice([-0.5, 0.0, 0.25, 0.3]) for _ in range(6)]) for i in range(300)]
-    rows += [(300 + i, [0.25] * 6) for i in range(120)] + [(50, rows[50][1])]
+    rows += [(300 + i, [0.25] * 6) for i in range(120)] + [(50, rows[50][1]), (51, [9.0] * 6)]
     rows += [(1000, None), (1050, [0.1, None]), (1100, [float("nan")]), (1150, [float("inf")]), (None, [0.5] * 6), (1200, []), (1250, [0.3, 0.3])]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<float>, id string")
-    got = [tuple(r) for r in topk.top_k(topk.integer_vectors(df), F.col("id") % 50 == 0, block=64, query_block=3).collect()]
-    vectors = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            full = [int(np.floor(256 * float(np.float32(x)))) for x in v]
-            vectors[i] = np.array(full + [0] * (6 - len(full)))
-    want = []
-    for q in [i for i in vectors if i % 50 == 0]:
-        best = sorted((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q)[:5]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    assert sorted(got) == sorted(want)
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "vec_id bigint, embedding array<float>, id string, row int, slot int")
+    got = [tuple(r) for r in topk.top_k(topk.integer_vectors(df), F.col("id") % 50 == 0, block=32, queries_at_once=3).collect()]
+    usable = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    vectors = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in usable]
+    assert sorted(got) == plain_top_k(vectors, lambda i: i % 50 == 0)  # 50 is there twice and asks twice
     few = df.where("vec_id in (0, 1)")
     assert len(topk.top_k(topk.integer_vectors(few), F.col("id") % 50 == 0).collect()) == 1
     assert topk.top_k(topk.integer_vectors(df.limit(0)), F.col("id") % 50 == 0).count() == 0
 
 
-def test_lists_rule_out_most_candidates():
+def test_top_k_of_large_components(spark):
+    rows = [(i, [70000.0 + i % 7, float(-3 * i), 1.0]) for i in range(150)] + [(200 + i, [2.0**22 + i, -1.0, 0.5]) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(topk.integer_vectors(df), F.col("id") % 50 == 0).collect()]
+    assert sorted(got) == plain_top_k([(i, [int(256 * x) for x in v]) for i, v in rows], lambda i: i % 50 == 0)
+
+
+@pytest.mark.parametrize("scale", [40, 2.0**40])
+def test_lists_are_read_step_by_step_and_reading_stops(scale):
     rng = np.random.default_rng(1)
-    x = np.floor(rng.normal(size=(2000, 32)) * 40).astype(np.int32)
-    lists = topk.SortedLists(np.arange(2000), x, np.argsort(x, axis=0, kind="stable").T.astype(np.int32))
-    asked = np.arange(0, 2000, 100)
-    q, c, score = lists.top(asked, x[asked], 5)
-    for i, own in enumerate(asked):
-        exact = x.astype(np.int64) @ x[own].astype(np.int64)
-        assert (exact[c[q == i]] == score[q == i]).all() and own not in c[q == i]
-        exact[own] = -(10**9)
-        assert set(np.argsort(-exact)[:4]) <= set(c[q == i]) and (q == i).sum() < 200
+    m, dims = 2000, 16
+    x = np.floor(rng.normal(size=(m, dims)) * rng.exponential(size=(m, 1)) ** 3 * scale)  # few long vectors, as lists with a clear top have
+    lists = topk.SortedLists.from_row(topk.SortedLists.sort(np.arange(m), np.arange(m) * 3, x).to_row())
+    assert set(vars(lists)) == {"rows", "ids", "values", "entries", "biggest"} and (np.diff(lists.values, axis=1) >= 0).all()  # no rows to look up
+    whole = [[int(v) for v in r] for r in x.tolist()]
+    read, looked_at, later = 0, 0, 0
+    for own in range(0, m, 100):
+        query = topk.Query(x[own], own, 5)
+        lists.search(query)
+        best = sorted((-sum(a * b for a, b in zip(whole[own], r)), 3 * i) for i, r in enumerate(whole) if i != own)[:5]
+        assert query.found == best and query.line == -best[-1][0]
+        read, looked_at = read + query.entries_read, looked_at + query.entries_looked_at
+        query = topk.Query(x[own], own, 5)
+        query.line = -best[0][0] + 1  # a block before held better ones
+        lists.search(query)
+        assert query.found == []
+        later += query.entries_read
+    entries = 20 * m * dims
+    if scale == 40:
+        assert looked_at < 0.95 * read < 0.95 * entries and later < read
 
 
 # ---- 4
@@ -360,14 +382,21 @@ def test_beliefs_are_exact_on_a_chain():
     assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=1e-3)
 
 
-def test_held_out_accuracy():
+@pytest.fixture(scope="module")
+def fitted_field():
+    """The field fitted on half of a table, and the other half of its texts."""
     import pyarrow as pa
     import pyarrow.parquet as pq
 
     texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
-    batch = pa.RecordBatch.from_pydict({"key": list(range(len(texts) // 2)), "text": texts[: len(texts) // 2]})
-    w = pii.fit(np.array([x for r in pii._training_rows([batch]) for x in r.column("x").to_pylist()]))
-    held = [(t, g) for t in texts[len(texts) // 2 :] if (g := pii.build_graph(t))]
+    half = len(texts) // 2
+    batch = pa.RecordBatch.from_pydict({"key": list(range(half)), "text": texts[:half]})
+    return pii.fit(np.array([x for r in pii._training_rows([batch]) for x in r.column("x").to_pylist()])), texts[half:]
+
+
+def test_held_out_accuracy(fitted_field):
+    w, texts = fitted_field
+    held = [(t, g) for t in texts if (g := pii.build_graph(t))]
     right = total = 0
     for (t, g), p in zip(held, pii.label_graphs([g for _, g in held], w), strict=True):
         labels = np.array(pii.train_labels(t, g))
@@ -375,6 +404,46 @@ def test_held_out_accuracy():
     assert total > 300 and right / total > 0.97
 
 
+def test_skip_edges_find_mentions_whose_pattern_is_hidden(fitted_field):
+    w, texts = fitted_field
+
+    def added(texts, skip):
+        graphs = [pii.build_graph(t) for t in texts]
+        if not skip:
+            graphs = [pii.Graph(g.spans, g.places, g.features, g.chain, []) for g in graphs]
+        return [pii.added_spans(t, g, p, pii.base_spans(t)) for t, g, p in zip(texts, graphs, pii.label_graphs(graphs, w), strict=True)]
+
+    told, hidden = [], []
+    for t in texts:
+        if m := pii._SECRET.search(t or ""):
+            told.append(t + " and so we went on to use " + pii.value_of(m[0].split()[-1]) + " for the rest of the day")
+            hidden.append((4, len(t) + 26, len(told[-1]) - 24))
+    found = {skip: sum(h in spans for h, spans in zip(hidden, added(told, skip), strict=True)) for skip in (True, False)}
+    assert len(told) > 50 and found[True] > 0.95 * len(told) and found[False] < 0.75 * len(told)
+    # precision: what is added lies in a credential or is a mention of one
+    wrong = 0
+    for t, h, spans in zip(told, hidden, added(told, True), strict=True):
+        known = [m.span() for m in pii._SECRET.finditer(t)] + [h[1:]]
+        wrong += sum(not any(a < e and s < b for s, e in known) for _, a, b in spans)
+    assert wrong <= 0.02 * len(told)
+    # numbers that are only numbers stay so, however often they come
+    plain = [t for t in texts if t and not pii.build_graph(t)][:100]
+    assert not any(added([f"{t} see item {i * 37 + 1000}-B and again item {i * 37 + 1000}-B, {i * 37 + 1000}-B" for i, t in enumerate(plain)], True))
+
+
+def test_a_document_does_not_depend_on_its_batch(fitted_field):
+    w, texts = fitted_field
+    graphs = [g for t in texts if (g := pii.build_graph(t))][:60]
+    for g, p in zip(graphs, pii.label_graphs(graphs, w), strict=True):
+        assert np.allclose(pii.label_graphs([g], w)[0], p, rtol=0, atol=1e-12)
+
+
+def test_values_behind_a_name_are_the_same_thing():
+    assert pii.value_of("password='ab12cd34ef',") == "ab12cd34ef" and pii.value_of("(x9)") == "x9" and pii.value_of("a=") == "a="
+    graph = pii.build_graph("token=ab12cd34ef and then some words (AB12cd34ef) k=1 1")
+    assert graph.skip == [(0, 1)]
+
+
 # ---- 9
 
 
