@@ -29,7 +29,8 @@ def test_stages(spark):
     assert not [r for r in rows[1] if brute.base_quality(r["text"])[5]]
 
     pairs = sorted((r["doc_id"], r["text"]) for r in rows[1])
-    assert {r["doc_id"]: r["text"] for r in rows[2]} == dict(zip([i for i, _ in pairs], brute.dedup(pairs), strict=True))
+    cut = dict(zip([i for i, _ in pairs], brute.dedup(pairs), strict=True))
+    assert {r["doc_id"]: r["text"] for r in rows[2]} == {i: t for i, t in cut.items() if brute.WORD.search(t)} and len(rows[2]) < len(rows[1])
 
     pairs = [(r["doc_id"], r["text"]) for r in rows[2]]
     keep = {component if n else doc for doc, n, component in brute.jaccard_answer(pairs)}
@@ -56,6 +57,56 @@ def test_run_equals_its_stages(spark):
     assert got.count() > 0 and {"doc_id", "ids", "sequence_id", "offset"} <= set(got.columns)
 
 
+HELPERS = """row beside gone ranges n_lines n_removed copies rows copy size target taken source_size text_id root keep cid rid n key
+    part first block shingles component_id kept n_words _size _copy _copies _rows _gone _text_id _part _key _before ids sequence_id offset""".split()
+
+
+def awkward(spark):
+    """Nulls in every column, ties, repeated rows, near copies, lines that come again, and columns named like every helper."""
+    body = [f"line {i} of a text that has quite a few words in it and says {i * 7 % 13} things" for i in range(12)]
+    texts = [
+        "\n".join(body), "\n".join(body), "\n".join(body[:11]), "\n".join(body[3:9]), "", None, " \n ", "a few words", "\n".join(f"{x} indeed" for x in body),
+        "\n".join([*body[:5], "its own last line with words that no other document holds at all, however long one looks for them"]),
+    ]
+    rows = [(i, t, "en" if i % 3 else None, ["a", "b", None][i % 3], i) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[8], (None, texts[0], "en", None, 0), (None, None, None, None, None), (8, texts[3], "de", "a", 5)]
+    extra = [tuple(f"{name} {k}" for name in HELPERS) for k in range(len(rows))]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in HELPERS)
+    return spark.createDataFrame([r + e for r, e in zip(rows, extra, strict=True)], schema).repartition(3)
+
+
+def test_stages_on_awkward_rows(spark):
+    docs = awkward(spark)
+    whole = {tuple(r)[5:]: (r["doc_id"], r["text"], r["source"]) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF_SMALL)
+        if name == "pack":
+            assert {r["doc_id"] for r in out.collect()} == {i for i, _, _ in whole.values()}
+            continue
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows
+        for r in rows:  # what belongs to a row stays with it
+            i, text, source = whole[tuple(r)[5:]]
+            assert (r["doc_id"], r["source"]) == (i, source) and (name == "line_dedup" or r["text"] == text)
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF_SMALL).collect()]
+    assert kept.count(0) == 2 and 1 not in kept and 2 not in kept and {4, 5, 6}.issubset(kept)  # rows equal in id and text; words to compare
+    lines = {(r["doc_id"], r["n_chars"]): r["text"] for r in corpus_pipeline.line_dedup_stage(spark, docs, SF_SMALL).collect()}
+    assert not {(1, 1), (2, 2), (3, 3)} & set(lines) and lines[(9, 9)].startswith("its own") and lines[(5, 5)] is None and lines[(6, 6)] == " \n "
+
+
+def test_no_copy_and_no_blank_reaches_pack(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    copies = docs.selectExpr("doc_id + 100000 AS doc_id", "concat(text, ' one more word') AS text", "lang", "source", "n_chars")
+    docs = cut_lineage(docs.unionByName(copies.where("length(text) > 400")), "with-copies")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, SF_SMALL), name)
+        if name == "near_duplicates":
+            rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+            assert len({c for _, _, c in brute.jaccard_answer(rows)}) == len(rows)
+    assert docs.where("text is null or not text rlike '[^ \\t-\\r]'").count() == 0
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
