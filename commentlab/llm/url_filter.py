@@ -129,7 +129,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     blocked = cut_lineage(blocked_aliases(edges, rules), "blocked-aliases")
     host, path = host_and_path(F.col("url"))
     places = pages.select("page_id", node_of(F.col("url")).alias("node"), host.alias("host"), path.alias("path"))
+    # urls without a host fit no rule and are no node: they would be one hot key of the joins
+    bare = places.where(F.col("host") == "").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    places = places.where(F.col("host") != "")
     fitted = cut_lineage(fit_rules(places, rules), "fitted-rules")
     both = places.join(fitted, ["host", "path"], "left").join(blocked.withColumn("alias", F.lit(True)), "node", "left")
     verdict = F.coalesce("verdict", F.when(F.col("alias"), F.lit("block")), F.lit("allow"))
-    return both.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return both.select("page_id", "host", "path", "rule", verdict.alias("verdict")).unionByName(bare)
