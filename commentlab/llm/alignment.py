@@ -6,7 +6,7 @@ lists into groups, and within a group every token of one list is linked with eve
 
 1. Texts are cut before spaces and line breaks that follow other text. Tokens of both vocabularies end there, so groups
    never reach over a cut, and every different cut (a word with what leads and trails it) is encoded and aligned once
-   while a task remembers it. New cuts are strung together, so that one pair of dictionaries serves many of them. A text's
+   while a worker remembers it. New cuts are strung together, so that one pair of dictionaries serves many of them. A text's
    digest and counts are put together from its cuts.
 2. A task's texts form blocks of bounded size. Per block, one row holds its cuts' links and in how many texts each
    linked pair of ids occurs; the texts are rows of numbers of cuts. So pairs are counted once a block before any shuffle.
@@ -50,6 +50,7 @@ ROWS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 20
 HELD_CUTS = 200_000
 LONG_CUT = 200  # characters; longer cuts hardly come again and are not kept
 STRUNG = 1 << 17  # characters of new cuts that are encoded as one text
+LONG_PIECE = 2000  # characters; the faster library's time grows with the square of a piece's length
 BIG_GROUP = 1 << 12  # links; a larger group's are counted by pairs of ids, not one by one
 # a block of texts ends when it holds so many different cuts, texts, or pairs (counted once a text)
 BLOCK_CUTS, BLOCK_TEXTS, BLOCK_PAIRS = 1 << 16, 1 << 13, 1 << 22
@@ -96,9 +97,9 @@ class ByteVocabulary:
             ranks = {self.bytes[i]: i for i in plain.values()}
             self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of one or more cuts in a string."""
-        if self.ranked is not None:
+    def encode(self, text: str, long: bool) -> list[int]:
+        """Ids of one or more cuts in a string; ``long`` says that one of them may be longer than ``LONG_PIECE``."""
+        if self.ranked is not None and not long:
             return self.ranked.encode_ordinary(text)
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -157,8 +158,8 @@ class Aligner:
         self.young: dict[str, Cut | None] = {}
         self.old: dict[str, Cut | None] = {}
 
-    def _groups(self, text: str) -> tuple | None:
-        a, b, raw = self.a.encode(text), self.b.encode(text), text.encode("utf-8")
+    def _groups(self, text: str, long: bool = False) -> tuple | None:
+        a, b, raw = self.a.encode(text, long), self.b.encode(text), text.encode("utf-8")
         if b"".join(map(self.a.bytes.__getitem__, a)) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
             return None
         ends, i, j = group_slices(map(self.a_size.__getitem__, a), map(self.b_size.__getitem__, b))
@@ -195,7 +196,7 @@ class Aligner:
 
     def _single(self, cut: str) -> Cut | None:
         """Alignment of one cut by itself, its links counted by pairs of ids."""
-        found = self._groups(cut)
+        found = self._groups(cut, len(cut) > LONG_PIECE)
         if found is None:
             return None
         a, b, _, first_a, last_a, first_b, last_b, names = found
@@ -218,7 +219,8 @@ class Aligner:
         out |= {c: old[c] for c in rest if c in old}
         group, size, groups = [], 0, []
         for c in rest.difference(out):
-            if SPACE in c or c[-1].isspace():  # does not come back, or is no neighbour of another cut
+            # one that does not come back, that is no neighbour of another cut, or that takes the other library
+            if SPACE in c or c[-1].isspace() or len(c) > LONG_PIECE:
                 out[c] = self._single(c)
                 continue
             group.append(c)
@@ -232,6 +234,16 @@ class Aligner:
         return out
 
 
+_ALIGNERS: dict[tuple[str, str], Aligner] = {}  # one a worker process: its tasks share what is remembered
+
+
+def aligner_of(paths: tuple[str, str]) -> Aligner:
+    if paths not in _ALIGNERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _ALIGNERS[paths] = Aligner(paths)
+    return _ALIGNERS[paths]
+
+
 ROWS = "block bigint, cuts binary, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
 TABLES = "codes array<bigint>, docs array<bigint>, sizes binary, pairs binary, times binary"
 
@@ -316,8 +328,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str | None]]]:
 
 def _align_texts(paths: tuple[str, str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        aligner, first = Aligner(paths), TaskContext.get().partitionId() << BLOCK_BITS
+        aligner, first = aligner_of(paths), TaskContext.get().partitionId() << BLOCK_BITS
         block = Block(first)
         for batch in batches:
             for ids, texts in _parts(batch):

@@ -7,8 +7,8 @@ whose symbols have changed since are passed over. Every merge takes one token aw
 initial symbols less the merges. A character that the vocabulary lacks stands for its UTF-8 bytes (byte fallback).
 
 No piece of the vocabulary reaches over the start of a space or line break that follows other text (checked when the
-vocabulary is loaded), so merges never cross these places: texts are cut there and every different cut is merged once a
-task. Cuts seen lately are kept in two generations of bounded size.
+vocabulary is loaded), so merges never cross these places: texts are cut there and every different cut is merged once
+while a worker remembers it. Cuts seen lately are kept in two generations of bounded size.
 
 Cases: a null or empty text counts 0 tokens and 0 bytes; whole texts count, whatever their length; strings of special
 tokens are plain text; rows that repeat count each; an empty table gives an empty result. Only the id and text columns
@@ -140,9 +140,18 @@ class TokenCounter:
         return [sum(map(self.young.__getitem__, us)) for us in cut]
 
 
+_COUNTERS: dict[str, TokenCounter] = {}  # one a worker process: its tasks share what is remembered
+
+
+def counter_of(path: str) -> TokenCounter:
+    if path not in _COUNTERS:
+        _COUNTERS[path] = TokenCounter(MergeRanks.from_model(path))
+    return _COUNTERS[path]
+
+
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(MergeRanks.from_model(path))
+        counter = counter_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)

@@ -123,7 +123,7 @@ def test_big_groups_are_counted_by_pairs(plain, monkeypatch):
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(40000))
 EDGE = [
     (1, None), (2, ""), (3, " \n "), (None, "no id"), (5, "tie of ties"), (5, "tie of ties"), (6, LONG), (7, "it holds ▁ itself"),
-    (8, "x" * 3000), (9, "<|endoftext|> <s>"), (10, "日本語 the 日本 the"), (11, "\n\nthe\nthe"),
+    (8, "x" * 3000), (12, "the " + "abcde" * 60_000 + " 日" * 3000), (9, "<|endoftext|> <s>"), (10, "日本語 the 日本 the"), (11, "\n\nthe\nthe"),
 ]
 
 
