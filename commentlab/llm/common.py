@@ -51,3 +51,9 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def as_row(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of ``docs`` as one, so that helper columns beside it can have any name; ``select(name + ".*")`` gives
+    them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)

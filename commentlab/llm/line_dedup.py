@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commentlab.llm.common import SPACE_CHARS, join_null_safe
+from commentlab.llm.common import SPACE_CHARS, WORD_PATTERN, as_row, join_null_safe
 from commentlab.session import cut_lineage
 
 WINDOW_LINES = 3
@@ -59,29 +59,41 @@ def later_windows(windows: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, width: int = WINDOW_LINES) -> DataFrame:
-    """All rows and columns of ``docs`` with ``text`` cleaned, plus ``n_lines`` and ``n_removed``."""
+    """All rows and columns of ``docs`` with ``text`` cleaned, plus ``n_lines`` and ``n_removed``, which replace columns of these
+    names."""
+    docs = docs.drop("n_lines", "n_removed")
     windows = cut_lineage(line_windows(docs.select("doc_id", "text"), width), "line-windows")
     covered = (
         later_windows(windows)
         .groupBy("doc_id", "text_id")
-        .agg(F.collect_set(F.struct("first", "last")).alias("_ranges"))
+        .agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
         .select(
             "doc_id",
-            F.col("text_id").alias("_text_id"),
-            F.array_distinct(F.flatten(F.transform("_ranges", lambda r: F.sequence(r["first"], r["last"])))).alias("_gone"),
+            "text_id",
+            F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"])))).alias("gone"),
         )
     )
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    marked = join_null_safe(
-        docs.select(*own).withColumn("_text_id", F.xxhash64("text")), covered, ["doc_id", "_text_id"], "left"
-    )
+    rows = docs.select(as_row(docs), "doc_id", F.xxhash64("text").alias("text_id"))
+    marked = join_null_safe(rows, covered, ["doc_id", "text_id"], "left")
+    text = F.col("row.text")
     # the outer lambda binds the line array to a variable, so the text is split once, not once a line
     kept = F.transform(
-        F.array(_lines(F.col("text"))),
-        lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone")), lambda i: ls[i]),
+        F.array(_lines(text)),
+        lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone")), lambda i: ls[i]),
     )
+    cleaned = F.when(F.col("gone").isNotNull(), F.array_join(kept[0], "\n")).otherwise(text)
     return marked.select(
-        *[F.when(F.col("_gone").isNotNull(), F.array_join(kept[0], "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in own],
-        F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        *[(cleaned if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns],
+        F.coalesce(F.size(_lines(text)), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
     )
+
+
+def keep_unrepeated(docs: DataFrame, width: int = WINDOW_LINES) -> DataFrame:
+    """``docs`` cleaned, without the documents that lose their last word: all they say stands in earlier ones. A document that
+    loses nothing stays, also one without words."""
+    beside = docs.drop("text")
+    cleaned = dedup_lines(docs.select(as_row(beside, "beside"), "doc_id", "text"), width)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(WORD_PATTERN)
+    kept = cleaned.where(~F.coalesce(emptied, F.lit(False)))
+    return kept.select(*[F.col("text") if c == "text" else F.col("beside")[c].alias(c) for c in docs.columns])

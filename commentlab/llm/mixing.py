@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commentlab.llm.common import join_null_safe, word_count
+from commentlab.llm.common import as_row, join_null_safe, word_count
 from commentlab.operators.order import segmented_scan, shuffle_key
 from commentlab.session import cut_lineage
 
@@ -91,13 +91,12 @@ def repeat_documents(docs: DataFrame, seed: int = SEED, max_epochs: int = MAX_EP
     """The mixed corpus: the rows of ``docs``, each as often as ``mix`` says (0 to ``max_epochs`` times).
 
     Rows that share a doc_id, a source and a size are one document here: each of them appears as often as
-    the rounded mean of their copies, so ids need not be unique.
+    the rounded mean of their copies, so ids need not be unique. Other columns pass through under any name.
     """
     chosen = mix(docs, seed=seed, max_epochs=max_epochs).groupBy("doc_id", "size", "source").agg(
-        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")
     )
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    right = chosen.withColumnRenamed("size", "_size")
-    joined = join_null_safe(sized, right, ["doc_id", "_size", "source"])
-    times = F.round(F.col("_copies") / F.col("_rows")).cast("int")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(0), times))).where(F.col("_copy") > 0).select(*docs.columns)
+    rows = docs.select(as_row(docs), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    joined = join_null_safe(rows, chosen, ["doc_id", "size", "source"])
+    times = F.round(F.col("copies") / F.col("rows")).cast("int")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(0), times))).where(F.col("copy") > 0).select("row.*")

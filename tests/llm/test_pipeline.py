@@ -85,7 +85,7 @@ def test_stages_on_awkward_rows(spark):
             continue
         assert out.columns == docs.columns
         rows = out.collect()
-        assert rows
+        assert rows or name == "quality"  # all of these fail a base rule
         for r in rows:  # what belongs to a row stays with it
             i, text, source = whole[tuple(r)[5:]]
             assert (r["doc_id"], r["source"]) == (i, source) and (name == "line_dedup" or r["text"] == text)
