@@ -9,11 +9,12 @@ sketch is light, so common passages come last, and breaks ties by a hash of its
    order meet in the group of that token; the group is named by the smallest of its rows, its leader, so that
    the tokens of copies name one group. One row per (leader, member) stands for all pairs of the group: their
    number grows with the documents, not with the square of a group. Rows of equal sets become one class.
-2. Groups are cut into blocks of about ``BLOCK`` members. Members without a partner of a fitting size go, then,
+2. Groups are cut into blocks of about ``BLOCK`` members and ``BLOCK_TOKENS`` tokens at most. Members without a partner of a fitting size go, then,
    by short signatures (counts of shingles in hash buckets, which bound the overlap from above), members
    that can have no partner.
 3. The other members' whole sets come in. Candidate pairs share prefix tokens under every order; the
-   filters are intersected, and what is left is verified exactly. A block sends a tree of edges, not all pairs.
+   filters are intersected, and of what is left every pair that is not connected already is verified exactly. A block
+   sends a tree of edges, not all pairs.
 4. In a group of more than one block, members of different components meet across blocks in the same way.
 
 Nothing is capped: every pair of linked texts is in one block at least, or linked already.
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from commentlab.llm.common import join_null_safe, write_table
+from commentlab.llm.common import as_row, join_null_safe, write_table
 from commentlab.llm.components import connected_components
 from commentlab.session import cut_lineage
 
@@ -43,9 +44,10 @@ WORDS = 5
 NUM, DEN = 75, 100  # similarity 0.75 as a ratio of integers
 ORDERS = (0x51ED27, 0x2545F4, 0x9E3779)  # seeds of the token orders; the first one builds the groups
 BUCKETS = 1 << 20  # of the corpus sketch: one byte each goes to the tasks, whatever the corpus
-BLOCK = 1024
+BLOCK = 1024  # members of a block, about
+BLOCK_TOKENS = 1 << 22  # tokens of a block's sets, about
 ROWS_AT_ONCE = 512
-BROADCAST_ROWS = 1_000_000  # of three numbers each
+BROADCAST_ROWS = 1_000_000  # of three numbers each: 24 MB, whatever the ids and texts are
 HELD_WORDS = 500_000
 _U = np.uint64
 
@@ -243,8 +245,34 @@ def _shared(owner: np.ndarray, tokens: np.ndarray, m: int) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _alike(shared: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return DEN * shared >= NUM * (n[:, None] + n[None, :] - shared)
+def _connect(candidates: np.ndarray, roots: np.ndarray, ends: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The smallest root that each set reaches by links among the candidate pairs. Sets are taken one by one and compared
+    with their candidates in other components only, so that a crowd of copies costs one comparison each."""
+    component = roots.copy()
+    _, column = np.unique(tokens, return_inverse=True)
+    own = np.zeros(column.max(initial=-1) + 1, dtype=bool)
+    n = np.diff(ends)
+    for i in np.flatnonzero(candidates.any(axis=1)).tolist():
+        others = np.flatnonzero(candidates[i, :i])
+        others = others[component[others] != component[i]]
+        if not len(others):
+            continue
+        # one of each component at a time: a link makes the others of it needless
+        while len(others):
+            _, first = np.unique(component[others], return_index=True)
+            tried = others[first]
+            own[column[ends[i] : ends[i + 1]]] = True
+            sizes = n[tried]
+            places = np.repeat(ends[tried] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            shared = np.add.reduceat(own[column[places]].astype(np.int64), np.cumsum(sizes) - sizes)
+            own[column[ends[i] : ends[i + 1]]] = False
+            alike = tried[DEN * shared >= NUM * (n[i] + sizes - shared)]
+            if len(alike):
+                joined = np.unique(np.append(component[alike], component[i]))
+                component[np.isin(component, joined)] = joined[0]
+            others = np.setdiff1d(others, tried, assume_unique=True)
+            others = others[component[others] != component[i]]
+    return component
 
 
 def _fits(n: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -278,7 +306,7 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     bound = overlap_bound(sig[i], sig[j])
                     if DEN * bound >= NUM * (int(n[i] + n[j]) - bound):
                         keep[i] = keep[j] = True
-        out = group.filter(pa.array(keep)).select(["leader", "block", "blocks", "cid"])
+        out = group.filter(pa.array(keep)).select(["leader", "block", "blocks", "cid", "n"])
         yield from out.combine_chunks().to_batches()
 
 
@@ -299,20 +327,9 @@ def _link(levels: np.ndarray, keys: list[str]) -> Callable:
                 linked &= _shared(*prefixes(ends, tokens, levels, seed), len(n)) > 0
             if not linked.any():
                 continue
-            linked &= _alike(_shared(np.repeat(np.arange(len(n)), n), tokens, len(n)), n)
-            x, y = np.nonzero(linked)
-            best = {int(r): int(r) for r in roots}
-
-            def top(r: int, best: dict[int, int] = best) -> int:
-                while best[r] != r:
-                    best[r] = best[best[r]]
-                    r = best[r]
-                return r
-
-            for i, j in zip(roots[x].tolist(), roots[y].tolist(), strict=True):
-                low, high = sorted((top(i), top(j)))
-                best[high] = low
-            edges = [(r, top(r)) for r in best if top(r) != r]
+            component = _connect(linked, roots, ends, tokens)
+            moved = np.flatnonzero(component != roots)
+            edges = sorted(set(zip(roots[moved].tolist(), component[moved].tolist(), strict=True)))
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
 
@@ -323,10 +340,17 @@ def _by_block(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def _join_checked(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Join with a written table of few columns: broadcast when it is counted to be small, else shuffled."""
-    fits = small.count() <= BROADCAST_ROWS
-    return join_null_safe(big, F.broadcast(small) if fits else small, keys)
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(cid, text)``: the texts of the rows that ``wanted`` (doc_id, text_id, cid) names. The join goes by two hashes, so that
+    its rows have one size and a count of them is a check of their bytes; a larger table is joined by a shuffle."""
+    keys = [F.col("text_id"), F.xxhash64(F.lit(1), F.col("doc_id")).alias("id_hash")]
+    named = write_table(wanted.select(*keys, "cid"), "wanted")
+    fits = named.count() <= BROADCAST_ROWS
+    return docs.select(*keys, "text").join(F.broadcast(named) if fits else named, ["text_id", "id_hash"]).select("cid", "text")
+
+
+def _blocks_for(members: Column, tokens: Column) -> Column:
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(tokens / BLOCK_TOKENS)).cast("bigint")
 
 
 def _block_of(member: Column, blocks: Column) -> Column:
@@ -337,16 +361,16 @@ def _cross_blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
     """``(leader, pair, cid, root)``: blocks of groups that fill more than one block and more than one
     component. The members of a group's largest component meet the others, not each other."""
     placed = members.where(F.col("blocks") > 1).join(roots.withColumnsRenamed({"node": "cid"}), "cid", "left")
-    placed = write_table(placed.select("leader", "cid", F.coalesce("root", "cid").alias("root")), "large-groups")
-    sizes = placed.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("n"))
+    placed = write_table(placed.select("leader", "cid", "n", F.coalesce("root", "cid").alias("root")), "large-groups")
+    sizes = placed.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
     groups = sizes.groupBy("leader").agg(
-        F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots")
+        F.max(F.struct("members", "tokens", "root")).alias("most"), F.sum("members").alias("members"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("roots")
     )
     groups = groups.where(F.col("roots") > 1).select(
         "leader",
         F.col("most.root").alias("main"),
-        F.ceil(F.col("most.n") / BLOCK).cast("bigint").alias("n_main"),
-        F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("bigint").alias("n_rest"),
+        _blocks_for(F.col("most.members"), F.col("most.tokens")).alias("n_main"),
+        _blocks_for(F.col("members") - F.col("most.members"), F.col("tokens") - F.col("most.tokens")).alias("n_rest"),
     )
     groups = cut_lineage(groups, "groups-to-cross")
     rows = placed.join(groups, "leader")
@@ -393,20 +417,20 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     leaders = write_table(leaders.where(F.col("leader") < F.col("last")).drop("last"), "leaders")
     found = write_table(postings.join(leaders, "token").select("leader", "rid").distinct(), "rows-by-leader")
     numbered = _number_classes(described, found)
-    members = write_table(found.join(numbered.select("rid", "cid"), "rid").select("leader", "cid").distinct(), "members")
+    members = write_table(found.join(numbered.select("rid", "cid", "n"), "rid").select("leader", "cid", "n").distinct(), "members")
 
-    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n_members")).where(F.col("n_members") > 1)
-    sizes = sizes.select("leader", F.ceil(F.col("n_members") / BLOCK).cast("bigint").alias("blocks"))
+    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")).where(F.col("members") > 1)
+    sizes = sizes.select("leader", _blocks_for(F.col("members"), F.col("tokens")).alias("blocks"))
     blocked = members.join(cut_lineage(sizes, "group-sizes"), "leader").withColumn("block", _block_of(F.col("cid"), F.col("blocks")))
     one = numbered.where(F.col("rid") == F.col("cid"))
-    names = "leader bigint, block int, blocks bigint, cid bigint"
-    sized = blocked.join(one.select("cid", "n"), "cid").select("leader", "block", "blocks", "cid", "n")
-    fitting = write_table(_by_block(sized, ["leader", "block"]).mapInArrow(_sizes_fit, names + ", n bigint"), "members-of-fitting-size")
+    names = "leader bigint, block int, blocks bigint, cid bigint, n bigint"
+    sized = blocked.select("leader", "block", "blocks", "cid", "n")
+    fitting = write_table(_by_block(sized, ["leader", "block"]).mapInArrow(_sizes_fit, names), "members-of-fitting-size")
     signed = fitting.join(one.select("cid", "sig"), "cid")
     members = write_table(_by_block(signed, ["leader", "block"]).mapInArrow(_partners, names), "possible-members")
 
-    wanted = write_table(one.join(members.select("cid").distinct(), "cid").select("doc_id", "text_id", "cid"), "wanted")
-    sets = _join_checked(docs, wanted, ["doc_id", "text_id"]).select("cid", "text").mapInArrow(_whole_sets, "cid bigint, tokens binary")
+    wanted = one.join(members.select("cid").distinct(), "cid").select("doc_id", "text_id", "cid")
+    sets = _texts_of(docs, wanted).mapInArrow(_whole_sets, "cid bigint, tokens binary")
     sets = write_table(sets, "sets").dropDuplicates(["cid"])  # rows that repeat id and text
 
     blocks = members.join(sets, "cid").withColumn("root", F.col("cid"))
@@ -438,14 +462,13 @@ def similarity_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the smallest (doc_id, text hash), and every row without words.
 
-    Rows equal in id and text are one document: they stay or go together.
+    Rows equal in id and text are one document: they stay or go together. Other columns pass through under any name.
     """
     found = similarity_components(docs)
     row = F.struct(F.col("doc_id").isNull(), "doc_id", "text_id")
     first = found.where("root is not null").groupBy("root").agg(F.min(row).alias("keep"))
-    stay = first.select(F.col("keep.doc_id").alias("doc_id"), F.col("keep.text_id").alias("_text_id"))
-    lone = found.where("root is null").select("doc_id", F.col("text_id").alias("_text_id")).distinct()
+    stay = first.select("keep.doc_id", "keep.text_id")
+    lone = found.where("root is null").select("doc_id", "text_id").distinct()
     stay = write_table(stay.unionByName(lone), "documents-that-stay")
-    marked = docs.withColumn("_text_id", F.xxhash64("text"))
-    kept = join_null_safe(marked, stay, ["doc_id", "_text_id"])
-    return kept.select(*docs.columns)
+    marked = docs.select(as_row(docs), "doc_id", F.xxhash64("text").alias("text_id"))
+    return join_null_safe(marked, stay, ["doc_id", "text_id"]).select("row.*")
