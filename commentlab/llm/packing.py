@@ -282,7 +282,9 @@ def pack(
     else:
         share = np.array([weights[s] for s in order])
     schedule = RoundRobin(n, share, window, segment)
-    placed = join_null_safe(tokens, starts_before(tokens, "doc_tokens", ["source"], "_before"), ["_part", "source"])
+    # one row a task and source; written, so that the planner knows its bytes and broadcasts it where it may
+    starts = write_table(starts_before(tokens, "doc_tokens", ["source"], "_before"), "starts")
+    placed = join_null_safe(tokens, starts, ["_part", "source"])
     schema = f"doc_id {kind}, source string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     return placed.select("doc_id", "source", "doc_tokens", "ids", (F.col("_local") + F.col("_before")).alias("start")).mapInArrow(
         _cut(order, schedule, WordTokenizer.of(path).dtype, with_ids), schema + (", ids binary" if with_ids else "")
