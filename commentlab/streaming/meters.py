@@ -1,6 +1,6 @@
 """Structured Streaming versions of the cleaning step and of the meters (ST1–ST3).
 
-Sources are file streams over a folder of Parquet files (one table picked by ``pathGlobFilter``). Sink and checkpoint
+Sources are file streams over a folder of Parquet files, or over one table, be it a file or a folder. Sink and checkpoint
 folder belong to the caller: a run with the folders of an earlier run goes on where that one stopped, reads the files
 that have come since, and every row counts once. Aggregating meters keep one state row per key (series x epoch, or
 target x prediction): the state is bounded by the key domain, so no watermark is needed.
@@ -28,7 +28,9 @@ def folder_stream(spark: SparkSession, folder: str, schema: StructType) -> DataF
 def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A file stream of one supplied table (schema from the Parquet footer, not inferred from rows)."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    # a stream does not start from the plain path of one file, and a name filter on the folder misses the files of a table
+    # that is a folder itself: a pattern of this one name finds both
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
 
 
 def run_append(stream: DataFrame, sink: str, checkpoint: str) -> DataFrame:
