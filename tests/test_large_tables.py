@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import types as T
+
+from commentlab.plans.q_vocab import _sparse_summary
 from commentlab.streaming import meters as St
 
 
+def test_sparse_summary_does_not_build_the_dense_vector(spark):
+    size = 2**31 - 1
+    rows = [(1, SparseVector(size, [0, 7], [1.0, 2.0])), (2, SparseVector(size, [], []))]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("id", T.LongType()), T.StructField("vector", VectorUDT())]))
+    got = {r["id"]: tuple(r)[1:] for r in _sparse_summary(df, size).collect()}
+    assert got == {1: (2, 17.0, 7, True), 2: (0, 0.0, -1, True)}
+
+
 def test_stream_of_a_table_that_is_a_folder(spark, tmp_path):
     rows = [(i, i % 3, [float(i == j) for j in range(10)]) for i in range(10)]
     df = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>")
