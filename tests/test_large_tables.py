@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from commentlab.operators import vocab as V
 from commentlab.plans.q_vocab import _sparse_summary
 from commentlab.streaming import meters as St
 
 
+def test_token_difference_keeps_no_row_per_token(spark):
+    rows = [("en", "a"), ("en", "a"), ("en", "b"), ("de", "b"), ("de", "c"), (None, "d"), ("en", "d"), ("en", None)]
+    df = spark.createDataFrame(rows, "lang string, token string")
+    out = V.token_difference(df, F.col("lang") == "en", F.col("lang") != "en")
+    want = df.where("lang = 'en'").select("token").subtract(df.where("lang <> 'en'").select("token"))
+    assert sorted(out.collect(), key=str) == sorted(want.collect(), key=str)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sparse_summary_does_not_build_the_dense_vector(spark):
     size = 2**31 - 1
     rows = [(1, SparseVector(size, [0, 7], [1.0, 2.0])), (2, SparseVector(size, [], []))]
