@@ -29,8 +29,8 @@ def _sql_clean_tokens(arg: str) -> str:
     out = arg
     for lit in T.BR_LITERALS:
         out = f"replace({out}, '{lit}', ' ')"
-    out = f"lower(regexp_replace({out}, {T.spark_sql_regex(T.CLEAN_PUNCT)}, ' '))"
-    return f"regexp_extract_all({out}, {T.spark_sql_regex(T.NON_WS_RUN)}, 0)"
+    out = f"lower(regexp_replace({out}, {T.spark_sql_regex(T.CLEAN_JAVA)}, ' '))"
+    return f"regexp_extract_all({out}, {T.spark_sql_regex(T.NON_WS_JAVA)}, 0)"
 
 
 def register_sql_functions(spark: SparkSession) -> None:
@@ -41,7 +41,7 @@ def register_sql_functions(spark: SparkSession) -> None:
         "CREATE OR REPLACE TEMPORARY FUNCTION clamp(x DOUBLE, c DOUBLE) RETURNS DOUBLE RETURN greatest(-c, least(c, x))",
         "CREATE OR REPLACE TEMPORARY FUNCTION sigmoid(x DOUBLE) RETURNS DOUBLE RETURN 1D / (1D + exp(-x))",
         "CREATE OR REPLACE TEMPORARY FUNCTION tokens_of(t STRING) RETURNS TABLE (pos INT, token STRING) "
-        f"RETURN SELECT posexplode(regexp_extract_all(lower(t), {T.spark_sql_regex(T.WORD_OR_MARK)}, 0))",
+        f"RETURN SELECT posexplode(regexp_extract_all(lower(t), {T.spark_sql_regex(T.WORD_JAVA)}, 0))",
     ]
     for s in stmts:
         spark.sql(s)

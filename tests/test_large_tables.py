@@ -6,11 +6,20 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from commentlab.functions.sql import register_sql_functions
 from commentlab.operators import vocab as V
 from commentlab.plans.q_vocab import _sparse_summary
 from commentlab.streaming import meters as St
 
 
+def test_sql_functions_use_the_fast_spelling(spark):
+    register_sql_functions(spark)
+    spark.range(1).selectExpr("CAST(id AS STRING) AS s").createOrReplaceTempView("some_texts")
+    for query in ("SELECT clean_tokens(s) AS x FROM some_texts", "SELECT t.token FROM some_texts, LATERAL tokens_of(s) t"):
+        plan = spark.sql(query)._jdf.queryExecution().optimizedPlan().toString()
+        assert "(?U)" in plan and "x{2028}" not in plan
+
+
 def test_token_difference_keeps_no_row_per_token(spark):
     rows = [("en", "a"), ("en", "a"), ("en", "b"), ("de", "b"), ("de", "c"), (None, "d"), ("en", "d"), ("en", None)]
     df = spark.createDataFrame(rows, "lang string, token string")
