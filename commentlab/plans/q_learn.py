@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from commentlab.functions import math as X
-from commentlab.operators import features as Fe
 from commentlab.operators import kernel as K
 from commentlab.operators import learn as Ln
 from commentlab.operators import metrics as M
@@ -23,6 +22,7 @@ from commentlab.operators import monitor as W
 from commentlab.operators import order as O
 from commentlab.plans import fixtures as fx
 from commentlab.plans.fixtures import with_views
+from commentlab.plans.q_features import mean_vectors
 from commentlab.plans.q_order import SEED, SHUFFLE_SQL, TEST_FRACTION, VAL_FRACTION
 from commentlab.plans.q_vocab import Corpus
 from commentlab.plans.registry import r6, register
@@ -35,7 +35,7 @@ MIXED_TRAIN_ROWS = 10_000  # the reference fits its second-stage classifier on t
 def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Mean-pooled document vectors of the scored comments, split train / val (seeded, exact sizes)."""
     labels = fx.scored_comments(spark, sf).select("id", *fx.LABELS)
-    dv = Fe.doc_vector_mean(Corpus(spark, sf).seq_vectors(labels.select("id")))
+    dv = mean_vectors(Corpus(spark, sf), ids=labels.select("id"))
     feats = Ln.feature_frame(dv, labels, list(fx.LABELS))
     split = O.shuffled_split(feats.select("id"), "id", SEED, VAL_FRACTION)
     feats = feats.join(split, "id")
@@ -45,7 +45,7 @@ def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def _three_parts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """The same features in three parts: models are fitted on train, chosen on val and reported on test."""
     labels = fx.scored_comments(spark, sf).select("id", *fx.LABELS)
-    feats = Ln.feature_frame(Fe.doc_vector_mean(Corpus(spark, sf).seq_vectors(labels.select("id"))), labels, list(fx.LABELS))
+    feats = Ln.feature_frame(mean_vectors(Corpus(spark, sf), ids=labels.select("id")), labels, list(fx.LABELS))
     split = O.three_way_split(feats.select("id"), "id", SEED, VAL_FRACTION, TEST_FRACTION)
     feats = feats.join(split, "id")
     return {part: feats.where(F.col("split") == part).drop("split") for part in ("train", "val", "test")}
