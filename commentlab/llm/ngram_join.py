@@ -27,7 +27,6 @@ name no component unless nothing else is in it; an empty table gives an empty re
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +47,11 @@ BLOCK = 1024  # members of a block, about
 BLOCK_TOKENS = 1 << 22  # tokens of a block's sets, about
 ROWS_AT_ONCE = 512
 BROADCAST_ROWS = 1_000_000  # of three numbers each: 24 MB, whatever the ids and texts are
-HELD_WORDS = 500_000
+LONG_WORD = 256  # bytes
 _U = np.uint64
+IS_SPACE = np.zeros(256, dtype=bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True  # the six white-space characters of a word's ends
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)  # of the first bytes of eight
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,39 +61,72 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _split(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(raw, starts, ends, n): all texts in lower case, where their words start and end in them, and words per text."""
+    coded = [t.encode("utf-8") for t in texts]
+    raw = b"\n".join(coded).lower()  # bytes.lower() knows ASCII only: A-Z
+    space = np.ones(len(raw) + 2, dtype=bool)
+    space[1:-1] = IS_SPACE[np.frombuffer(raw, dtype=np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    first = np.cumsum([0, *[len(c) + 1 for c in coded]])
+    return raw, starts, ends, np.diff(np.searchsorted(starts, first))
+
+
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words ``raw[starts[i]:ends[i]]``: eight bytes of every word at a time, each mixed in by a function
+    that has an inverse, so that only words of more than eight bytes can meet by chance. Very long words go one by one."""
+    padded = np.frombuffer(raw + bytes(8), dtype=np.uint8)
+    eights = np.lib.stride_tricks.as_strided(padded, (max(len(padded) - 7, 1), 8), (1, 1))
+    n = ends - starts
+    out = _mix(n.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + _U(1))
+    long = np.flatnonzero(n > LONG_WORD)
+    rest, at, left = None, starts, np.where(n > LONG_WORD, 0, n)
+    while True:
+        keep = np.flatnonzero(left > 0) if rest is None else np.flatnonzero(left > 8)
+        if not len(keep):
+            break
+        if rest is None:
+            rest, at, left = keep, starts[keep], left[keep]
+        else:
+            rest, at, left = rest[keep], at[keep] + 8, left[keep] - 8
+        chunk = eights[at].view("<u8").ravel() & MASKS[np.minimum(left, 8)]
+        out[rest] = _mix(out[rest] ^ chunk)
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return out
+
+
 class Shingler:
     """Shingle sets of batches of texts."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
     def shingles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(text number, token) of every shingle."""
-        # bytes.lower() and bytes.split() know ASCII only: A-Z, and the six white-space characters of a word's ends
-        words = [t.encode("utf-8").lower().split() for t in texts]
-        if len(self.known) > HELD_WORDS:
-            self.known.clear()
-        for w in set(chain.from_iterable(words)).difference(self.known):
-            self.known[w] = xxhash.xxh3_64_intdigest(w)
-        n = np.array([len(w) for w in words], dtype=np.int64)
-        flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(n.sum()))
-        doc = np.repeat(np.arange(len(n)), n)
-        left = np.repeat(np.cumsum(n), n) - np.arange(len(flat))  # words from here to the text's end
+        """(text number, token) of every shingle, by text."""
+        raw, starts, ends, n = _split(texts)
+        flat = word_hashes(raw, starts, ends)
         code = _mix(flat)
         for k in range(1, min(WORDS, len(flat))):
-            code = code.copy()
             code[: len(flat) - k] = _mix(code[: len(flat) - k] * _U(3) + flat[k:])
-        full = left >= WORDS
-        short = [i for i, w in enumerate(words) if 0 < len(w) < WORDS]
-        whole = [xxhash.xxh3_64_intdigest(b" ".join(words[i]), seed=len(words[i])) for i in short]
-        doc = np.concatenate([doc[full], np.array(short, dtype=np.int64)])
-        return doc, np.concatenate([code[full], np.array(whole, dtype=np.uint64)])
+        text = np.repeat(np.arange(len(n)), n)
+        upto = np.cumsum(n)
+        last = np.maximum(upto - (WORDS - 1), upto - n)  # words from here on have too few behind them
+        kept = np.ones(len(flat), dtype=bool)
+        for a, b in zip(last.tolist(), upto.tolist(), strict=True):
+            kept[a:b] = False
+        # a text of fewer words is one token, that of all of them, at its first word
+        short = np.flatnonzero((n > 0) & (n < WORDS))
+        at = (upto - n)[short]
+        for i, a in zip(short.tolist(), at.tolist(), strict=True):
+            code[a] = xxhash.xxh3_64_intdigest(flat[a : a + n[i]].tobytes(), seed=int(n[i]))
+        kept[at] = True
+        return text[kept], code[kept]
 
     def sets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ends, tokens): the sorted distinct tokens of text i are ``tokens[ends[i]:ends[i + 1]]``."""
         doc, code = self.shingles(texts)
-        order = np.lexsort((code, doc))
-        doc, code = doc[order], code[order]
+        cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            code[a:b].sort()
         first = np.ones(len(doc), dtype=bool)
         first[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
         doc, code = doc[first], code[first]
@@ -103,15 +138,27 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n - (NUM * n + DEN - 1) // DEN + 1, 0)
 
 
+def _smallest(key: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` smallest keys; of equal ones at the limit the first."""
+    if k == len(key):
+        return np.arange(k)
+    limit = np.partition(key, k - 1)[k - 1]
+    below = np.flatnonzero(key <= limit)
+    if len(below) > k:
+        equal = np.flatnonzero(key == limit)
+        below = np.setdiff1d(below, equal[k - len(below) :], assume_unique=True)
+    return below
+
+
 def prefixes(ends: np.ndarray, tokens: np.ndarray, levels: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, token) of every prefix token under the order of ``seed``: light tokens first."""
+    """(set number, token) of every prefix token under the order of ``seed``, light tokens first; of a set in any order."""
     n = np.diff(ends)
-    owner = np.repeat(np.arange(len(n)), n)
+    length = prefix_length(n)
     level = levels[(tokens & _U(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
     key = (level << _U(57)) | (_mix(tokens ^ _U(seed)) >> _U(7))
-    order = np.lexsort((key, owner))
-    inside = np.arange(len(tokens)) - np.repeat(ends[:-1], n) < np.repeat(prefix_length(n), n)
-    return owner[inside], tokens[order][inside]
+    places = [a + _smallest(key[a:b], k) for a, b, k in zip(ends[:-1].tolist(), ends[1:].tolist(), length.tolist(), strict=True) if k]
+    chosen = np.concatenate(places) if places else np.zeros(0, dtype=np.int64)
+    return np.repeat(np.arange(len(n)), length), tokens[chosen]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -92,3 +92,42 @@ def test_components(spark, edges):
             if a in root and b in root:
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+def test_shingles_tell_all_words_apart_and_hold_none_of_them():
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abé") for _ in range(n)) for n in [*range(1, 20), 255, 256, 257, 300] for _ in range(9)})
+    texts = [" \t" + "\x0b".join(rng.choice(words) for _ in range(rng.randrange(0, 40))) + "\r\n" for _ in range(200)]
+    texts += ["", " ", "a", "A b", "a  B", "b a", "a b c d", "a b c d e", "x" * 256 + " y", "x" * 257 + " y", "x" * 8 + " y", "x" * 9 + " y", "a b c", "a\x00 b", "a b\x00"]
+    texts += [w for w in words] + [w.upper() for w in words]
+
+    def shingles(text):
+        found = text.encode().lower().split()
+        return {tuple(found[i : i + 5]) for i in range(len(found) - 4)} if len(found) > 4 else ({tuple(found)} if found else set())
+
+    shingler = J.Shingler()
+    ends, tokens = shingler.sets(texts)
+    sets = [tokens[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    named = {}
+    for text, got in zip(texts, sets, strict=True):
+        want = shingles(text)
+        assert len(got) == len(want) == len(set(got)) and got == sorted(got)
+        for token in got:
+            named.setdefault(token, []).append(want)
+    for wants in named.values():
+        assert set.intersection(*wants)  # a token stands for a shingle that all its texts hold
+    assert len(named) == len(set().union(*map(shingles, texts)))
+    assert not vars(shingler)
+
+
+def test_prefix_is_the_smallest_keys_of_every_set():
+    rng = random.Random(4)
+    sets = [sorted(rng.sample(range(1 << 20), n)) for n in (0, 1, 2, 5, 0, 60, 200)]
+    ends = J.np.cumsum([0, *map(len, sets)])
+    tokens = J.np.array([t for s in sets for t in s], dtype=J.np.uint64)
+    levels = J.np.array([rng.randrange(3) for _ in range(J.BUCKETS)], dtype=J.np.uint8)
+    owner, token = J.prefixes(ends, tokens, levels, J.ORDERS[1])
+    for i, s in enumerate(sets):
+        key = {t: (int(levels[t]), int(J._mix(J.np.array([t ^ J.ORDERS[1]], dtype=J.np.uint64))[0])) for t in s}
+        want = sorted(s, key=key.get)[: int(J.prefix_length(J.np.array([len(s)]))[0])]
+        assert sorted(token[owner == i].tolist()) == sorted(want)
