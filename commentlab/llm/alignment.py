@@ -186,12 +186,13 @@ class Aligner:
         width = (last_b - first_b)[group]
         codes = (a[first_a[group] + place // width] * self.b.size + b[first_b[group] + place % width]).tobytes()
         single = set(np.searchsorted(upto, big, side="right").tolist())  # cuts with a group that is not spelled out
-        n_a, n_b, n_l = (np.concatenate([[0], x]).take(upto).tolist() for x in (last_a, last_b, np.cumsum(spelled)))
-        out: list[Cut | None] = []
-        g = p = q = k = 0
-        for n, (c, g2, p2, q2, k2) in enumerate(zip(cuts, upto.tolist(), n_a, n_b, n_l, strict=True)):
-            out.append(self._single(c) if n in single else Cut(";".join(names[g:g2]), (p2 - p, q2 - q, g2 - g, k2 - k), codes[8 * k : 8 * k2]))
-            g, p, q, k = g2, p2, q2, k2
+        n_a, n_b, n_l = (np.concatenate([[0], x]).take(upto) for x in (last_a, last_b, np.cumsum(spelled)))
+        counts = zip(*[np.diff(x, prepend=0).tolist() for x in (n_a, n_b, upto, n_l)], strict=True)
+        last, end = upto.tolist(), (8 * n_l).tolist()
+        bounds = zip([0, *last[:-1]], last, counts, [0, *end[:-1]], end, strict=True)
+        out: list[Cut | None] = [Cut(";".join(names[g:g2]), n, codes[k:k2]) for g, g2, n, k, k2 in bounds]
+        for n in single:
+            out[n] = self._single(cuts[n])
         return out
 
     def _single(self, cut: str) -> Cut | None:
@@ -217,8 +218,10 @@ class Aligner:
         out = {c: young[c] for c in cuts if c in young}
         rest = cuts.difference(out)
         out |= {c: old[c] for c in rest if c in old}
-        group, size, groups = [], 0, []
+        group, size, groups, once = [], 0, [], []
         for c in rest.difference(out):
+            if len(c) > LONG_CUT:
+                once.append(c)
             # one that does not come back, that is no neighbour of another cut, or that takes the other library
             if SPACE in c or c[-1].isspace() or len(c) > LONG_PIECE:
                 out[c] = self._single(c)
@@ -230,7 +233,9 @@ class Aligner:
                 group, size = [], 0
         for g in [*groups, group] if group else groups:
             out.update(zip(g, self._strung(g), strict=True))
-        young.update((c, out[c]) for c in rest if len(c) <= LONG_CUT)
+        young.update(out)
+        for c in once:
+            del young[c]
         return out
 
 
@@ -248,39 +253,49 @@ ROWS = "block bigint, cuts binary, n_a bigint, n_b bigint, n_groups bigint, n_li
 TABLES = "codes array<bigint>, docs array<bigint>, sizes binary, pairs binary, times binary"
 
 
+def _different(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers in order, and how often each comes: a plain sort, which few numbers take fastest."""
+    numbers = np.sort(numbers)
+    first = np.flatnonzero(np.concatenate([[len(numbers) > 0], numbers[1:] != numbers[:-1]]))
+    return numbers[first], np.diff(first, append=len(numbers))
+
+
 class Block:
     """Texts of one task whose pairs are counted together."""
 
     def __init__(self, number: int):
         self.number = number
         self.places: dict[str, int] = {}
-        self.met: list[Cut] = []
         self.digests: list[str] = []
+        self.codes: list[bytes] = []
+        self.times: list[bytes | None] = []
         self.counts = np.zeros((0, 4), dtype=np.int64)
         self.rows: list[tuple] = []
         self.seen: list[np.ndarray] = []
         self.n_seen = 0
 
     def full(self) -> bool:
-        return len(self.met) >= BLOCK_CUTS or len(self.rows) >= BLOCK_TEXTS or self.n_seen >= BLOCK_PAIRS
+        return len(self.codes) >= BLOCK_CUTS or len(self.rows) >= BLOCK_TEXTS or self.n_seen >= BLOCK_PAIRS
 
     def add(self, doc_ids: list, texts: list[list[str]], known: dict[str, Cut | None]) -> None:
         """Take texts, each a list of cuts."""
         lost = {c for c, x in known.items() if x is None}
         new = [c for c, x in known.items() if x is not None and c not in self.places]
-        self.places.update(zip(new, range(len(self.met), len(self.met) + len(new)), strict=True))
-        self.met += [known[c] for c in new]
-        self.digests += [known[c].digest for c in new]
+        self.places.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
         if new:
-            self.counts = np.concatenate([self.counts, np.array([known[c].counts for c in new], dtype=np.int64)])
+            digests, counts, codes, times = zip(*map(known.__getitem__, new), strict=True)
+            self.digests += digests
+            self.codes += codes
+            self.times += times
+            self.counts = np.concatenate([self.counts, np.fromiter(chain.from_iterable(counts), np.int64, 4 * len(new)).reshape(-1, 4)])
         for doc_id, cuts in zip(doc_ids, texts, strict=True):
             if not cuts or (lost and not lost.isdisjoint(cuts)):
                 self.rows.append((doc_id, b"", 0, 0, 0, 0, ""))
                 continue
             places = list(map(self.places.__getitem__, cuts))
             digest = hashlib.sha256(";".join(map(self.digests.__getitem__, places)).encode()).hexdigest()
-            own, repeats = np.unique(np.array(places), return_counts=True)
-            codes = np.unique(np.frombuffer(b"".join([self.met[i].codes for i in own.tolist()]), dtype=np.int64))
+            own, repeats = _different(np.array(places))
+            codes, _ = _different(np.frombuffer(b"".join(map(self.codes.__getitem__, own.tolist())), dtype=np.int64))
             self.seen.append(codes)
             self.n_seen += len(codes)
             packed = zlib.compress(np.concatenate([np.diff(own, prepend=0), repeats]).astype("<u4").tobytes(), 1)
@@ -296,13 +311,13 @@ class Block:
         if not self.seen:
             return
         codes, docs = np.unique(np.concatenate(self.seen), return_counts=True)
-        links = np.frombuffer(b"".join([x.codes for x in self.met]), dtype=np.int64)
-        sizes = np.array([len(x.codes) // 8 for x in self.met])
+        links = np.frombuffer(b"".join(self.codes), dtype=np.int64)
+        sizes = np.fromiter(map(len, self.codes), dtype=np.int64, count=len(self.codes)) // 8
         times = np.ones(len(links), dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
-        for i, x in enumerate(self.met):
-            if x.times is not None:
-                times[starts[i] : starts[i] + sizes[i]] = np.frombuffer(x.times, dtype=np.int64)
+        for i, x in enumerate(self.times):
+            if x is not None:
+                times[starts[i] : starts[i] + sizes[i]] = np.frombuffer(x, dtype=np.int64)
         used = np.searchsorted(codes, links)
         # a cut that only came with texts that have no tokens may hold pairs that no text of the block counts
         times[codes[np.minimum(used, len(codes) - 1)] != links] = 0

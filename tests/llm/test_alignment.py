@@ -152,3 +152,24 @@ def test_awkward_rows(spark, plain, small_blocks, monkeypatch):
 def test_query(spark, plain):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.QUERIES["op11_end_index_alignment"](spark, SF_SMALL).collect()), key=repr) == plain.answer(docs)
+
+
+def test_cuts_are_aligned_together_as_one_by_one_and_long_ones_are_not_kept():
+    aligner = alignment.aligner_of(alignment.default_paths())
+    cuts = {" plain", " wörd", "\n", " " * 9, " x" + "y" * 300, " " + "▁" * 3, " 12", " 345678", " zz" * 3, " \U0001f600", " " + "a" * 150}
+    found = aligner.of(set(cuts))
+    for c in cuts:
+        alone = aligner._single(c)
+        assert (found[c] is None) == (alone is None)
+        if alone is not None:
+            assert found[c][:2] == alone[:2] and len(found[c].codes) // 8 == (alone.counts[3] if found[c].times is None else len(found[c].times) // 8)
+    assert {c for c in cuts if c in aligner.young} == {c for c in cuts if len(c) <= alignment.LONG_CUT}
+    assert aligner.of(set(cuts)) == found
+
+
+@pytest.mark.parametrize("numbers", [[], [5], [3, 1, 3, 2, 1, 3], [7] * 9, [-(2**62), 2**62, 0]])
+def test_different_numbers(numbers):
+    numbers = alignment.np.array(numbers, dtype=alignment.np.int64)
+    got, times = alignment._different(numbers)
+    want, often = alignment.np.unique(numbers, return_counts=True)
+    assert got.tolist() == want.tolist() and times.tolist() == often.tolist()
