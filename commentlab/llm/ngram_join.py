@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from commentlab.llm.common import as_row, join_null_safe, write_table
+from commentlab.llm.common import as_row, bound_batches, join_null_safe, write_table
 from commentlab.llm.components import connected_components
 from commentlab.session import cut_lineage
 
@@ -449,6 +449,7 @@ def _number_classes(described: DataFrame, found: DataFrame) -> DataFrame:
 
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(described, numbered, roots): a row per document, the class of each row in a group, a root per linked class."""
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
     levels = token_levels(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()

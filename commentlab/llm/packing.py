@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
 
-from commentlab.llm.common import join_null_safe, starts_before, write_table
+from commentlab.llm.common import bound_batches, join_null_safe, starts_before, write_table
 
 WINDOW = 2048
 SEGMENT = 16
@@ -263,6 +263,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with
     ``with_ids``, the ids as little-endian unsigned 32-bit numbers."""
+    bound_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()

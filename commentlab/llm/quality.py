@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commentlab.llm.common import SPACE_CHARS, write_table
+from commentlab.llm.common import SPACE_CHARS, bound_batches, write_table
 
 COMMON_SHARE = 1000  # a common word: at least one in so many words of its language
 MIN_REFERENCE_WORDS = 2000
@@ -36,7 +36,7 @@ MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.32
 MIN_WORDS, MAX_WORD_DISTANCE = 30, 0.53
 FULL_WORDS, SCATTER = 100, 0.5  # below so many words the limit is higher, as a sample's scatter falls with the root of its length
 WINDOW = 5
-HELD_WORDS = 100_000
+HELD_WORDS = 200_000  # different words whose counts a task holds, over all languages
 FILTER_BITS = 1 << 24  # of the filter of repeated texts: 2 MB go to the tasks, whatever the corpus
 
 # The symbols of the base rules.
@@ -104,12 +104,13 @@ class WordKeys:
 
     def count(self, words: list[str]) -> Counter:
         out: Counter = Counter()
-        if len(self.known) > 2 * HELD_WORDS:
+        if len(self.known) > HELD_WORDS:
             self.known.clear()
         for w, n in Counter(words).items():
             key = self.known.get(w)
             if key is None:
-                key = self.known[w] = _EDGES.sub("", w.lower())
+                key = _EDGES.sub("", w.lower())
+                self.known[w] = key = w if key == w else key  # one string for both
             out[key] += n
         return out
 
@@ -171,25 +172,31 @@ def _filtered(bits: np.ndarray, hit: bool):
 def _count_references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str | None, Counter] = defaultdict(Counter)
     classes: dict[str | None, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES), dtype=np.int64))
-    keys = WordKeys()
+    keys, held = WordKeys(), 0
+
+    def counts(lang: str, word: list, cls: list, n: list) -> pa.RecordBatch:
+        cols = [pa.array([lang] * len(n), pa.string()), pa.array(word, pa.string()), pa.array(cls, pa.int32()), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["lang", "word", "cls", "n"])
 
     def flush() -> Iterator[pa.RecordBatch]:
-        rows = [(lang, w, -1, n) for lang, c in words.items() for w, n in c.items()]
-        rows += [(lang, None, i, int(n)) for lang, c in classes.items() for i, n in enumerate(c) if n]
-        words.clear()
+        for lang, c in classes.items():
+            some = np.flatnonzero(c).tolist()
+            yield counts(lang, [None] * len(some), some, c[some].tolist())
+        while words:  # a language's counts go as soon as they are sent
+            lang, c = words.popitem()
+            yield counts(lang, list(c), [-1] * len(c), list(c.values()))
         classes.clear()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["lang", "word", "cls", "n"]).cast(
-                pa.schema([("lang", pa.string()), ("word", pa.string()), ("cls", pa.int32()), ("n", pa.int64())])
-            )
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if text and lang is not None:
+                before = len(words[lang])
                 words[lang].update(keys.count(_WORD.findall(text)))
                 classes[lang] += class_counts(text)
-                if len(words[lang]) > HELD_WORDS:
+                held += len(words[lang]) - before
+                if held > HELD_WORDS:
                     yield from flush()
+                    held = 0
     yield from flush()
 
 
@@ -200,6 +207,7 @@ def build_references(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> dic
     others one row each (by 128 bits of hash) is counted after a shuffle. Tasks send partial counts; words are summed by (language, word). Only what is bounded by definition
     comes back: the class counts, and at most ``COMMON_SHARE`` words a language.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("lang").cast("string").alias("lang"), "text").where(F.col("lang").isNotNull() & (F.col("text") != ""))
     texts = texts.withColumn("h", F.xxhash64("text"))
     bits, counted = _repeated_texts(texts), "lang string, word string, cls int, n bigint"
@@ -274,6 +282,7 @@ def judge(docs: DataFrame, references: dict[str, Reference], id_cols: tuple[str,
                 names=[*id_cols, *[f for f, _ in _FIELDS]],
             )
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(*id_cols, F.col("lang").cast("string").alias("_lang"), F.col("text").alias("_text"))
     ids = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in id_cols)
     return rows.mapInArrow(

@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -284,6 +285,53 @@ def test_short_junk_is_rejected(spark):
     assert all(got[i]["kept"] for i in range(100)) and not any(got[m[0]]["kept"] or got[m[0]]["base_failed"] for m in menus)
 
 
+def test_texts_reach_python_in_bounded_batches(spark):
+    own = spark.conf.get(common.BATCH_SETTING)
+    docs = spark.range(0, 2400, 1, 1).selectExpr("id AS doc_id", "concat(id, repeat(' some words', 900)) AS text", "'en' AS lang", "'a' AS source")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    try:
+        for stage in (quality.keep_good, quality.quality, packing.pack):
+            spark.conf.unset(common.BATCH_SETTING)
+            stage(docs.limit(20))
+            met = docs.select("text").mapInArrow(sizes, "rows bigint, bytes bigint").collect()
+            assert sum(m["rows"] for m in met) == 2400 and max(m["bytes"] for m in met) < 2 * common.BATCH_BYTES
+        spark.conf.set(common.BATCH_SETTING, "1m")  # a size that the session names stays
+        quality.keep_good(docs.limit(20))
+        assert spark.conf.get(common.BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.set(common.BATCH_SETTING, own)
+
+
+def test_counts_held_are_bounded_over_all_languages(monkeypatch):
+    monkeypatch.setattr(quality, "HELD_WORDS", 100)
+    rows = [(f"l{i % 7}", " ".join(f"word{chr(97 + (i + k) % 26)}{chr(97 + k)}" for k in range(20))) for i in range(350)]
+    sent, most = 0, 0
+
+    def feed():
+        nonlocal sent, most
+        for row in rows:
+            yield pa.RecordBatch.from_pylist([dict(zip(("lang", "text"), row, strict=True))])
+            most, sent = max(most, sent), 0
+
+    got = {}
+    for batch in quality._count_references(feed()):
+        for r in batch.to_pylist():
+            sent += r["word"] is not None
+            got[r["lang"], r["word"], r["cls"]] = got.get((r["lang"], r["word"], r["cls"]), 0) + r["n"]
+    want = {}
+    for lang, text in rows:
+        for w in text.split():
+            want[lang, w, -1] = want.get((lang, w, -1), 0) + 1
+        for i, n in enumerate(quality.class_counts(text).tolist()):
+            if n:
+                want[lang, None, i] = want.get((lang, None, i), 0) + n
+    assert got == want and most <= 120
+
+
 def test_language_without_a_reference_has_no_distance(spark):
     rare = " ".join("\u0441\u043b\u043e\u0432\u043e" + chr(0x430 + i % 32) + chr(0x430 + i // 32) for i in range(120))
     rows = [(i, t, "en", "a") for i, t in enumerate(sentences(10, 60, 150))] + [(100, rare, "ru", "a"), (101, rare, None, "a")]
