@@ -20,6 +20,7 @@ window are cut; equal rows are packed each; an empty table gives an empty result
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,12 +29,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
-from commentlab.llm.common import bound_batches, join_null_safe, starts_before, write_table
+from commentlab.llm.common import byte_alphabet, bound_batches, join_null_safe, starts_before, write_table
 
 WINDOW = 2048
 SEGMENT = 16
@@ -41,7 +44,8 @@ END_ID = 1
 MAX_SOURCES = 4096
 ROWS_AT_ONCE = 512
 HELD_PIECES = 250_000
-PIECES_AT_ONCE = 200
+PIECES_AT_ONCE, RANKED_AT_ONCE = 200, 2000
+LONG_PIECE = 2000  # characters; the faster library's time grows with the square of a piece's length
 
 # The pieces that the default tokenizer's pre-tokenizer makes of lower-cased text, and the
 # characters for which they are known to be right: ASCII, Latin letters in composed form (without the capitals
@@ -59,6 +63,65 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class RankedPieces:
+    """Ids of pieces by a faster library, which merges the neighbours whose joined bytes have the lowest rank.
+
+    It knows no suffix at the end of a word: a byte that no plain piece holds stands for it, and joins to the last byte before any
+    other merge. Its merges are those of the vocabulary where merges only join what earlier ones made and make every
+    token once, and where every token by itself is merged to that token: then the two parts of a token that ever stand
+    side by side are those that its merge names. ``of`` gives None for other vocabularies.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], ids: np.ndarray):
+        self.merges = tiktoken.Encoding("pieces", pat_str=f"[^{_SEPARATOR}]+{_SEPARATOR}", mergeable_ranks=ranks, special_tokens={})
+        self.ids = ids
+        self.ends = np.zeros(len(ids), dtype=bool)
+        self.ends[[i for token, i in ranks.items() if len(token) > 1 and token.endswith(_SEPARATOR.encode())]] = True
+
+    @classmethod
+    def of(cls, model: dict, dtype: str) -> RankedPieces | None:
+        suffix, vocab = model.get("end_of_word_suffix"), model["vocab"]
+        others = ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")
+        if model["type"] != "BPE" or not suffix or any(model.get(k) for k in others):
+            return None
+        alphabet = byte_alphabet()
+        mark = ord(_SEPARATOR)
+        end = {c: chr(0xE000 + b) for c, b in alphabet.items()}  # one character for a byte and the suffix
+
+        def one_each(token: str) -> str:
+            cut = token.removesuffix(suffix)
+            return token if cut == token or not cut else cut[:-1] + end[cut[-1]]
+
+        def raw(token: str) -> bytes:
+            cut = token.removesuffix(suffix)
+            return bytes(alphabet[c] for c in cut) + bytes([mark] * (cut != token))
+
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        tokens = [*alphabet, *[c + suffix for c, b in alphabet.items() if b != mark]]
+        made = set(tokens)
+        for a, b in pairs:
+            if a not in made or b not in made or a + b in made or a.endswith(suffix) or mark in raw((a + b).removesuffix(suffix)):
+                return None
+            if (a + b).endswith(suffix) != b.endswith(suffix):  # spells the suffix in the middle of a word
+                return None
+            made.add(a + b)
+        tokens += [a + b for a, b in pairs]
+        if not made <= vocab.keys():
+            return None
+        plain = BPE({one_each(t): i for i, t in enumerate(tokens)}, [(one_each(a), one_each(b)) for a, b in pairs])
+        if any(len(plain.tokenize(one_each(t))) != 1 for t in tokens):
+            return None
+        return cls({raw(t): i for i, t in enumerate(tokens)}, np.array([vocab[t] for t in tokens], dtype=dtype))
+
+    def encode(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each piece with its ids; no piece is empty or holds the separator."""
+        found = np.array(self.merges.encode_ordinary(_SEPARATOR.join([*pieces, ""])), dtype=np.int64)
+        ids, width = self.ids[found].tobytes(), self.ids.itemsize
+        cuts = (width * (np.flatnonzero(self.ends[found]) + 1)).tolist()
+        for w, a, b in zip(pieces, [0, *cuts[:-1]], cuts, strict=True):
+            yield w, ids[a:b]
+
+
 class WordTokenizer:
     """Token ids of whole texts, one look-up per piece.
 
@@ -66,6 +129,8 @@ class WordTokenizer:
     encodes each by itself, so the ids of a text are those of its pieces in turn. Text with other characters, or
     that may hold a special token, is handed over word by word as it is: no piece crosses white space. The ids
     of pieces seen lately are kept in two generations; when the young one is full it replaces the old one.
+
+    New pieces are merged by ranks where ``RankedPieces`` finds that the vocabulary allows it, else by the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -74,6 +139,8 @@ class WordTokenizer:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.separator = self._ids(_SEPARATOR)
+        with open(path, encoding="utf-8") as f:
+            self.ranked = RankedPieces.of(json.load(f)["model"], self.dtype)
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -86,6 +153,11 @@ class WordTokenizer:
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of new pieces: many are encoded as one text, with a separator between them to tell them apart."""
+        if self.ranked is not None:
+            plain = [w for w in pieces if len(w) <= LONG_PIECE and _PLAIN.fullmatch(w) and "<|" not in w]
+            for at in range(0, len(plain), RANKED_AT_ONCE):
+                self.young.update(self.ranked.encode(plain[at : at + RANKED_AT_ONCE]))
+            pieces = list(set(pieces).difference(plain))
         for at in range(0, len(pieces), PIECES_AT_ONCE):
             group = pieces[at : at + PIECES_AT_ONCE]
             ids = self._ids(f" {_SEPARATOR} ".join(group))
