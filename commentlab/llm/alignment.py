@@ -1,12 +1,12 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies cover the same bytes of a text.
 
-Both vocabularies encode a text; each token list gives the cumulative byte ends of its tokens, kept as a dictionary from
-end to index. The ends that both dictionaries hold are the places where tokens of both end; sorted, they slice the two id
+Both vocabularies encode a text; each token list gives the cumulative byte ends of its tokens, kept as a table from
+end to index. The ends that both tables hold are the places where tokens of both end; in order, they slice the two id
 lists into groups, and within a group every token of one list is linked with every token of the other.
 
 1. Texts are cut before spaces and line breaks that follow other text. Tokens of both vocabularies end there, so groups
    never reach over a cut, and every different cut (a word with what leads and trails it) is encoded and aligned once
-   while a worker remembers it. New cuts are strung together, so that one pair of dictionaries serves many of them. A text's
+   while a worker remembers it. New cuts are strung together, so that one pair of tables serves many of them. A text's
    digest and counts are put together from its cuts.
 2. A task's texts form blocks of bounded size. Per block, one row holds its cuts' links and in how many texts each
    linked pair of ids occurs; the texts are rows of numbers of cuts. So pairs are counted once a block before any shuffle.
@@ -21,13 +21,15 @@ the id and text columns are read, so that other columns may have any name.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import accumulate, chain
+from collections.abc import Iterator, Sequence
+from functools import partial
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -43,7 +45,7 @@ from pyspark.taskcontext import TaskContext
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from commentlab.llm.common import write_table
+from commentlab.llm.common import byte_alphabet, write_table
 from commentlab.llm.token_counts import SPACE, check_cuts, plain_pieces, units
 
 ROWS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 20
@@ -61,13 +63,6 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Character -> byte of byte-level vocabularies: printable bytes stand for themselves, the others follow from U+0100."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
-
-
 class ByteVocabulary:
     """Byte-level vocabulary: the bytes of every id, and ids of cuts.
 
@@ -126,16 +121,20 @@ class PieceVocabulary:
         return self.model.encode(text[1:]) if len(text) > 1 else [self.space]
 
 
-def index_by_end(sizes: Iterable[int]) -> dict[int, int]:
-    """Cumulative byte end of each token -> number of tokens up to it."""
-    return {end: i for i, end in enumerate(accumulate(sizes), 1)}
+def index_by_end(sizes: Sequence[int]) -> np.ndarray:
+    """Cumulative byte end of each token -> number of tokens up to it; 0 for bytes that end none."""
+    ends = np.cumsum(np.asarray(sizes, dtype=np.int64))
+    index = np.zeros(ends[-1] + 1 if len(ends) else 1, dtype=np.int64)
+    index[ends] = np.arange(1, len(ends) + 1)
+    return index
 
 
-def group_slices(a_sizes: Iterable[int], b_sizes: Iterable[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def group_slices(a_sizes: Sequence[int], b_sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ends, a, b): groups end at the bytes ``ends``, after the first ``a`` and ``b`` tokens of the lists."""
     a, b = index_by_end(a_sizes), index_by_end(b_sizes)
-    ends = sorted(a.keys() & b.keys())
-    return tuple(np.fromiter(x, dtype=np.int64, count=len(ends)) for x in (ends, map(a.__getitem__, ends), map(b.__getitem__, ends)))
+    n = min(len(a), len(b))
+    ends = np.flatnonzero((a[:n] > 0) & (b[:n] > 0))
+    return ends, a[ends], b[ends]
 
 
 class Cut(NamedTuple):
@@ -148,13 +147,19 @@ class Cut(NamedTuple):
     times: bytes | None = None
 
 
+_cut = partial(tuple.__new__, Cut)  # a cut of its four fields, as ``Cut._make``
+
+
 class Aligner:
     """Alignments of cuts; None where a vocabulary does not give the cut back byte by byte."""
 
     def __init__(self, paths: tuple[str, str]):
         self.a, self.b = ByteVocabulary(paths[0]), PieceVocabulary(paths[1])
-        self.a_size, self.b_size = [len(x) for x in self.a.bytes], [len(x) for x in self.b.bytes]
-        self.a_name, self.b_name = [str(i) for i in range(self.a.size)], [str(i) for i in range(self.b.size)]
+        self.a_size, self.b_size = (np.array([len(x) for x in v.bytes], dtype=np.int64) for v in (self.a, self.b))
+        # how a digest spells an id within its group's list and, after it, at the list's end: first ids, then second ones
+        ends = [("|", self.a.size), (";", self.b.size)]
+        self.names = [f"{i}{after}" for end, size in ends for i in range(size) for after in (",", end)]
+        self.name_size = np.array([len(x) for x in self.names], dtype=np.int64)
         self.young: dict[str, Cut | None] = {}
         self.old: dict[str, Cut | None] = {}
 
@@ -162,23 +167,27 @@ class Aligner:
         a, b, raw = self.a.encode(text, long), self.b.encode(text), text.encode("utf-8")
         if b"".join(map(self.a.bytes.__getitem__, a)) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
             return None
-        ends, i, j = group_slices(map(self.a_size.__getitem__, a), map(self.b_size.__getitem__, b))
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        ends, i, j = group_slices(self.a_size[a], self.b_size[b])
         first_a, first_b = np.concatenate([[0], i[:-1]]), np.concatenate([[0], j[:-1]])
-        a_name, b_name = [self.a_name[x] for x in a], [self.b_name[x] for x in b]
-        names = [
-            f"{a_name[p]}|{b_name[r]}" if q - p == 1 == s - r else ",".join(a_name[p:q]) + "|" + ",".join(b_name[r:s])
-            for p, q, r, s in zip(first_a.tolist(), i.tolist(), first_b.tolist(), j.tolist(), strict=True)
-        ]
-        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), ends, first_a, i, first_b, j, names
+        # digests of all groups as one string: a group's first ids stand behind the second ids of the groups before
+        spelled_a, spelled_b = 2 * a, 2 * (self.a.size + b)
+        spelled_a[i - 1] += 1
+        spelled_b[j - 1] += 1
+        order = np.empty(len(a) + len(b), dtype=np.int64)
+        order[np.arange(len(a)) + np.repeat(first_b, i - first_a)] = spelled_a
+        order[np.arange(len(b)) + np.repeat(i, j - first_b)] = spelled_b
+        digests = "".join(map(self.names.__getitem__, order.tolist()))
+        return a, b, ends, first_a, i, first_b, j, digests, np.cumsum(self.name_size[order])[i + j - 1]
 
     def _strung(self, cuts: list[str]) -> list[Cut | None]:
         """Alignments of cuts that end in other characters than white space, encoded as one string."""
         found = self._groups("".join(cuts))
         if found is None:
             return [self._single(c) for c in cuts]
-        a, b, ends, first_a, last_a, first_b, last_b, names = found
+        a, b, ends, first_a, last_a, first_b, last_b, digests, digest_end = found
         links = (last_a - first_a) * (last_b - first_b)
-        upto = np.searchsorted(ends, np.cumsum([len(c.encode("utf-8")) for c in cuts])) + 1  # groups up to each cut's end
+        upto = np.searchsorted(ends, np.cumsum(list(map(len, map(str.encode, cuts))))) + 1  # groups up to each cut's end
         big = np.flatnonzero(links > BIG_GROUP)
         spelled = np.where(links > BIG_GROUP, 0, links)
         group = np.repeat(np.arange(len(links)), spelled)
@@ -188,9 +197,10 @@ class Aligner:
         single = set(np.searchsorted(upto, big, side="right").tolist())  # cuts with a group that is not spelled out
         n_a, n_b, n_l = (np.concatenate([[0], x]).take(upto) for x in (last_a, last_b, np.cumsum(spelled)))
         counts = zip(*[np.diff(x, prepend=0).tolist() for x in (n_a, n_b, upto, n_l)], strict=True)
-        last, end = upto.tolist(), (8 * n_l).tolist()
-        bounds = zip([0, *last[:-1]], last, counts, [0, *end[:-1]], end, strict=True)
-        out: list[Cut | None] = [Cut(";".join(names[g:g2]), n, codes[k:k2]) for g, g2, n, k, k2 in bounds]
+        last, end = digest_end[upto - 1].tolist(), (8 * n_l).tolist()
+        own_digests = [digests[k : k2 - 1] for k, k2 in zip([0, *last[:-1]], last, strict=True)]
+        own_codes = [codes[k:k2] for k, k2 in zip([0, *end[:-1]], end, strict=True)]
+        out: list[Cut | None] = list(map(_cut, zip(own_digests, counts, own_codes, repeat(None))))
         for n in single:
             out[n] = self._single(cuts[n])
         return out
@@ -200,7 +210,7 @@ class Aligner:
         found = self._groups(cut, len(cut) > LONG_PIECE)
         if found is None:
             return None
-        a, b, _, first_a, last_a, first_b, last_b, names = found
+        a, b, _, first_a, last_a, first_b, last_b, digests, _ = found
         links: Counter[int] = Counter()
         for i, j, k, m in zip(first_a.tolist(), last_a.tolist(), first_b.tolist(), last_b.tolist(), strict=True):
             second = Counter(b[k:m].tolist()).items()
@@ -208,35 +218,32 @@ class Aligner:
                 for y, t in second:
                     links[x * self.b.size + y] += n * t
         codes, times = (np.fromiter(x, dtype=np.int64, count=len(links)).tobytes() for x in (links.keys(), links.values()))
-        return Cut(";".join(names), (len(a), len(b), len(names), sum(links.values())), codes, times)
+        return Cut(digests[:-1], (len(a), len(b), len(last_a), sum(links.values())), codes, times)
 
     def of(self, cuts: set[str]) -> dict[str, Cut | None]:
         """Alignments of ``cuts``."""
         if len(self.young) > HELD_CUTS:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        out = {c: young[c] for c in cuts if c in young}
-        rest = cuts.difference(out)
-        out |= {c: old[c] for c in rest if c in old}
-        group, size, groups, once = [], 0, [], []
-        for c in rest.difference(out):
-            if len(c) > LONG_CUT:
-                once.append(c)
-            # one that does not come back, that is no neighbour of another cut, or that takes the other library
-            if SPACE in c or c[-1].isspace() or len(c) > LONG_PIECE:
-                out[c] = self._single(c)
-                continue
-            group.append(c)
-            size += len(c)
-            if size > STRUNG:
-                groups.append(group)
-                group, size = [], 0
-        for g in [*groups, group] if group else groups:
-            out.update(zip(g, self._strung(g), strict=True))
+        rest = cuts.difference(young)
+        known = cuts.difference(rest)
+        absent = rest.difference(old)
+        out = {c: old[c] for c in rest.difference(absent)}
+        # cuts that end in white space, are no neighbours of another cut, or take the other library go by themselves
+        alone = [c for c in absent if c[-1].isspace() or SPACE in c or len(c) > LONG_PIECE]
+        strung = list(absent.difference(alone))
+        string = np.cumsum(list(map(len, strung))) // STRUNG
+        bounds = [0, *(np.flatnonzero(string[1:] != string[:-1]) + 1).tolist(), len(strung)]
+        for first, end in zip(bounds, bounds[1:]):
+            if first < end:
+                out.update(zip(strung[first:end], self._strung(strung[first:end]), strict=True))
+        out.update((c, self._single(c)) for c in alone)
+        once = [c for c in absent if len(c) > LONG_CUT]
+        remembered = dict(zip(known, map(young.__getitem__, known), strict=True))
         young.update(out)
         for c in once:
             del young[c]
-        return out
+        return out | remembered
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}  # one a worker process: its tasks share what is remembered
@@ -256,8 +263,24 @@ TABLES = "codes array<bigint>, docs array<bigint>, sizes binary, pairs binary, t
 def _different(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different numbers in order, and how often each comes: a plain sort, which few numbers take fastest."""
     numbers = np.sort(numbers)
-    first = np.flatnonzero(np.concatenate([[len(numbers) > 0], numbers[1:] != numbers[:-1]]))
-    return numbers[first], np.diff(first, append=len(numbers))
+    bounds = np.empty(len(numbers) + 1, dtype=bool)
+    bounds[0] = bounds[-1] = True
+    np.not_equal(numbers[1:], numbers[:-1], out=bounds[1:-1])
+    bounds = np.flatnonzero(bounds)
+    return numbers[bounds[:-1]], bounds[1:] - bounds[:-1]
+
+
+def _pack(places: np.ndarray, repeats: np.ndarray) -> bytes:
+    """Rising places (as differences) and repeats in as many bytes a number as they need; the tables are compressed."""
+    steps = np.diff(places, prepend=0)
+    kinds = [np.min_scalar_type(int(x.max())).newbyteorder("<") for x in (steps, repeats)]
+    return bytes(k.itemsize for k in kinds) + b"".join(x.astype(k).tobytes() for x, k in zip((steps, repeats), kinds, strict=True))
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = (len(packed) - 2) // (packed[0] + packed[1])
+    steps = np.frombuffer(packed, f"<u{packed[0]}", n, 2)
+    return np.cumsum(steps, dtype=np.int64), np.frombuffer(packed, f"<u{packed[1]}", n, 2 + n * packed[0]).astype(np.int64)
 
 
 class Block:
@@ -278,9 +301,9 @@ class Block:
         return len(self.codes) >= BLOCK_CUTS or len(self.rows) >= BLOCK_TEXTS or self.n_seen >= BLOCK_PAIRS
 
     def add(self, doc_ids: list, texts: list[list[str]], known: dict[str, Cut | None]) -> None:
-        """Take texts, each a list of cuts."""
+        """Take texts, each a list of cuts; ``known`` holds those that are not in the block yet."""
         lost = {c for c, x in known.items() if x is None}
-        new = [c for c, x in known.items() if x is not None and c not in self.places]
+        new = [c for c in known if c not in lost] if lost else list(known)
         self.places.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
         if new:
             digests, counts, codes, times = zip(*map(known.__getitem__, new), strict=True)
@@ -298,8 +321,7 @@ class Block:
             codes, _ = _different(np.frombuffer(b"".join(map(self.codes.__getitem__, own.tolist())), dtype=np.int64))
             self.seen.append(codes)
             self.n_seen += len(codes)
-            packed = zlib.compress(np.concatenate([np.diff(own, prepend=0), repeats]).astype("<u4").tobytes(), 1)
-            self.rows.append((doc_id, packed, *(repeats @ self.counts[own]).tolist(), digest))
+            self.rows.append((doc_id, _pack(own, repeats), *(repeats @ self.counts[own]).tolist(), digest))
 
     def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         ids, cuts, n_a, n_b, n_groups, n_links, digests = zip(*self.rows, strict=True)
@@ -345,15 +367,19 @@ def _align_texts(paths: tuple[str, str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, first = aligner_of(paths), TaskContext.get().partitionId() << BLOCK_BITS
         block = Block(first)
-        for batch in batches:
-            for ids, texts in _parts(batch):
-                cut = [units(" " + t) if t else [] for t in texts]
-                block.add(ids, cut, aligner.of(set(chain.from_iterable(cut))))
-                if block.full():
-                    yield from block.batches(schema)
-                    block = Block(block.number + 1)
-        if block.rows:
-            yield from block.batches(schema)
+        gc.disable()  # a million remembered cuts, none in a cycle, would be looked through again and again
+        try:
+            for batch in batches:
+                for ids, texts in _parts(batch):
+                    cut = [units(" " + t) if t else [] for t in texts]
+                    block.add(ids, cut, aligner.of(set(chain.from_iterable(cut)).difference(block.places)))
+                    if block.full():
+                        yield from block.batches(schema)
+                        block = Block(block.number + 1)
+            if block.rows:
+                yield from block.batches(schema)
+        finally:
+            gc.enable()
 
     return run
 
@@ -373,8 +399,7 @@ def _sum_block(schema: pa.Schema):
             cut_sum, cut_best = np.add.reduceat(counts[at] * times, starts), np.add.reduceat(best[at] * times, starts)
             for i, cuts in enumerate(rows.column("cuts").to_pylist()):
                 if cuts:
-                    own, often = np.frombuffer(zlib.decompress(cuts), dtype="<u4").astype(np.int64).reshape(2, -1)
-                    own = np.cumsum(own)
+                    own, often = _unpack(cuts)
                     n_best[i], count_sum[i] = cut_best[own] @ often, cut_sum[own] @ often
         data = {"n_best": pa.array(n_best), "count_sum": pa.array(count_sum)}
         return pa.Table.from_arrays([data[f.name] if f.name in data else rows.column(f.name) for f in schema], schema=schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -173,3 +176,35 @@ def test_different_numbers(numbers):
     got, times = alignment._different(numbers)
     want, often = alignment.np.unique(numbers, return_counts=True)
     assert got.tolist() == want.tolist() and times.tolist() == often.tolist()
+
+
+@pytest.mark.parametrize("places", [[0], [3, 4, 260], [0, 70_000], [65_535, 65_536, 200_000]])
+@pytest.mark.parametrize("often", [1, 255, 256, 70_000])
+def test_places_of_cuts_are_packed_in_as_few_bytes_as_they_need(places, often):
+    places = alignment.np.array(places)
+    repeats = alignment.np.arange(len(places)) + often
+    packed = alignment._pack(places, repeats)
+    assert [x.tolist() for x in alignment._unpack(packed)] == [places.tolist(), repeats.tolist()]
+    assert len(packed) <= 2 + 8 * len(places) and (often > 200 or places[-1] > 260 or len(packed) <= 2 + 3 * len(places))
+
+
+def test_a_block_asks_for_each_cut_once_and_the_collector_runs_again(monkeypatch):
+    asked, of = [], alignment.Aligner.of
+
+    def spy(self, cuts):
+        assert not gc.isenabled()
+        asked.extend(cuts)
+        return of(self, cuts)
+
+    monkeypatch.setattr(alignment.Aligner, "of", spy)
+    monkeypatch.setattr(alignment, "ROWS_AT_ONCE", 2)
+    monkeypatch.setattr(alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    kinds = {"doc_id": pa.int64(), "groups_sha256": pa.string(), "codes": pa.list_(pa.int64()), "docs": pa.list_(pa.int64())}
+    names = ["doc_id", "block", "cuts", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "docs", "sizes", "pairs", "times"]
+    kinds |= dict.fromkeys(["cuts", "sizes", "pairs", "times"], pa.binary())
+    schema = pa.schema([(n, kinds.get(n, pa.int64())) for n in names])
+    texts = ["the cat and the dog", "the dog", None, "the cat\nsat", "and a dog", "", "the cat"]
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    out = [r for b in alignment._align_texts(alignment.default_paths(), schema)(iter([rows])) for r in b.to_pylist()]
+    assert len(asked) == len(set(asked)) and gc.isenabled()
+    assert [r["doc_id"] for r in out] == [*range(len(texts)), None] and out[-1]["sizes"] is not None
