@@ -3,7 +3,9 @@
 A document's tokens are the 64-bit hashes of its distinct five-word shingles. Two sets with a Jaccard
 similarity of at least 0.75 share a token among the first n - ceil(0.75 n) + 1 of each, under any order that
 is the same for all documents. Every order here starts with the tokens whose bucket of a fixed-size corpus
-sketch is light, so common passages come last, and breaks ties by a hash of its own.
+sketch is light, so common passages come last, and breaks ties by a hash of its own; the sketch adds up the counts of all
+tasks. The first order has, among light tokens, those of rare words first: shingles of common words meet by chance, and
+the more so the larger the corpus. How common its words are is in six bits of a token, the other 58 are its hash.
 
 1. Within a task, documents with equal sets go on as one row. Rows that share a prefix token under the first
    order meet in the group of that token; the group is named by the smallest of its rows, its leader, so that
@@ -11,7 +13,8 @@ sketch is light, so common passages come last, and breaks ties by a hash of its
    number grows with the documents, not with the square of a group. Rows of equal sets become one class.
 2. Groups are cut into blocks of about ``BLOCK`` members and ``BLOCK_TOKENS`` tokens at most. Members without a partner of a fitting size go, then,
    by short signatures (counts of shingles in hash buckets, which bound the overlap from above), members
-   that can have no partner.
+   that can have no partner; in a group of more than one block, those without one in their block look in the others.
+   What is left is cut into blocks again.
 3. The other members' whole sets come in. Candidate pairs share prefix tokens under every order; the
    filters are intersected, and of what is left every pair that is not connected already is verified exactly. A block
    sends a tree of edges, not all pairs.
@@ -42,11 +45,16 @@ from commentlab.session import cut_lineage
 WORDS = 5
 NUM, DEN = 75, 100  # similarity 0.75 as a ratio of integers
 ORDERS = (0x51ED27, 0x2545F4, 0x9E3779)  # seeds of the token orders; the first one builds the groups
-BUCKETS = 1 << 20  # of the corpus sketch: one byte each goes to the tasks, whatever the corpus
+BUCKETS = 1 << 21  # of the corpus sketch: one byte each goes to the tasks, whatever the corpus
+WORD_BUCKETS = 1 << 20
+SLICE = 1 << 12  # buckets that are added up together
+AT_ONCE = 1 << 20  # tokens counted at once
 BLOCK = 1024  # members of a block, about
 BLOCK_TOKENS = 1 << 22  # tokens of a block's sets, about
 ROWS_AT_ONCE = 512
 BROADCAST_ROWS = 1_000_000  # of three numbers each: 24 MB, whatever the ids and texts are
+RARE = 14  # words of less than one in 2 ** RARE words count as equally rare
+COMMON, COMMON_AT = 63, 21  # how common a token's words are, in six bits of the token, above those of its bucket
 LONG_WORD = 256  # bytes
 _U = np.uint64
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -97,13 +105,27 @@ def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, words per text)."""
+    raw, starts, ends, n = _split(texts)
+    return word_hashes(raw, starts, ends), n
+
+
 class Shingler:
-    """Shingle sets of batches of texts."""
+    """Shingle sets of batches of texts. ``common`` has, by the bucket of a word's hash, how common it is in quarters of a bit; six
+    bits of a token then say how common its words are together, which depends on the shingle alone like the others."""
+
+    common: np.ndarray | None = None
+
+    def __init__(self, common: np.ndarray | None = None):
+        if common is not None:
+            self.common = common
 
     def shingles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(text number, token) of every shingle, by text."""
-        raw, starts, ends, n = _split(texts)
-        flat = word_hashes(raw, starts, ends)
+        return self.of_words(*_words(texts))
+
+    def of_words(self, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         code = _mix(flat)
         for k in range(1, min(WORDS, len(flat))):
             code[: len(flat) - k] = _mix(code[: len(flat) - k] * _U(3) + flat[k:])
@@ -119,6 +141,14 @@ class Shingler:
         for i, a in zip(short.tolist(), at.tolist(), strict=True):
             code[a] = xxhash.xxh3_64_intdigest(flat[a : a + n[i]].tobytes(), seed=int(n[i]))
         kept[at] = True
+        if self.common is not None:
+            each = self.common[(flat & _U(WORD_BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
+            together = each.copy()
+            for k in range(1, min(WORDS, len(flat))):
+                together[: len(flat) - k] += each[k:]
+            together[at] = 0
+            bits = np.minimum(together // _U(4), _U(COMMON)) << _U(COMMON_AT)
+            code = (code & ~_U(COMMON << COMMON_AT)) | bits
         return text[kept], code[kept]
 
     def sets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,11 +181,15 @@ def _smallest(key: np.ndarray, k: int) -> np.ndarray:
 
 
 def prefixes(ends: np.ndarray, tokens: np.ndarray, levels: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, token) of every prefix token under the order of ``seed``, light tokens first; of a set in any order."""
+    """(set number, token) of every prefix token under the order of ``seed``, light tokens first; of a set in any order. In the
+    order that builds the groups, light tokens of rare words come before those of common words, which meet by chance."""
     n = np.diff(ends)
     length = prefix_length(n)
     level = levels[(tokens & _U(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
     key = (level << _U(57)) | (_mix(tokens ^ _U(seed)) >> _U(7))
+    if seed == ORDERS[0]:
+        common = (tokens >> _U(COMMON_AT)) & _U(COMMON)
+        key = (level << _U(57)) | (common << _U(51)) | ((key & _U((1 << 57) - 1)) >> _U(6))
     places = [a + _smallest(key[a:b], k) for a, b, k in zip(ends[:-1].tolist(), ends[1:].tolist(), length.tolist(), strict=True) if k]
     chosen = np.concatenate(places) if places else np.zeros(0, dtype=np.int64)
     return np.repeat(np.arange(len(n)), length), tokens[chosen]
@@ -169,26 +203,59 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets that stand out in this task's documents, with their counts."""
-    counts, shingler = np.zeros(BUCKETS, dtype=np.int64), Shingler()
-    for _, texts in _texts(batches):
-        counts += np.bincount((shingler.shingles(texts)[1] & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    mean = counts.mean()
-    heavy = np.flatnonzero(counts > mean + 4 * np.sqrt(mean) + 3)
-    yield pa.RecordBatch.from_arrays([pa.array(heavy), pa.array(counts[heavy])], names=["bucket", "n"])
+    """How often each bucket of tokens, and after them each bucket of words, occurs in this task's documents, in slices."""
+    counts, held = np.zeros(BUCKETS + WORD_BUCKETS, dtype=np.int64), []
 
+    def count() -> None:
+        np.add(counts, np.bincount(np.concatenate(held), minlength=len(counts)), out=counts)
+        held.clear()
+
+    shingler = Shingler()
+    for _, texts in _texts(batches):
+        flat, n = _words(texts)
+        held.append((shingler.of_words(flat, n)[1] & _U(BUCKETS - 1)).astype(np.int64))
+        held.append((flat & _U(WORD_BUCKETS - 1)).astype(np.int64) + BUCKETS)
+        if sum(map(len, held)) > AT_ONCE:
+            count()
+    if held:
+        count()
+    for at in np.flatnonzero(counts.reshape(-1, SLICE).any(axis=1)).tolist():
+        n = counts[at * SLICE : (at + 1) * SLICE]
+        raw = n.astype(np.min_scalar_type(n.max())).tobytes()  # of one, two, four or eight bytes each
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([raw], pa.binary())], names=["slice", "counts"])
 
-def token_levels(docs: DataFrame) -> np.ndarray:
-    """Level of each sketch bucket: 0 for a light one, else twice the logarithm of its count.
 
-    Any levels give a right order as long as all tasks use the same, so that counts below a task's threshold
-    may be missing. At most ``BUCKETS`` rows come back, whatever the corpus.
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each slice, and its levels: of tokens 0 for a light bucket, else twice the logarithm of its count; of words four times
+    the logarithm."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            n = np.frombuffer(counts, dtype=f"u{len(counts) // SLICE}").astype(np.int64)
+            sums[at] = sums[at] + n if at in sums else n
+    for at, n in sums.items():
+        logs = np.log2(np.maximum(n, 1))
+        usual = np.median(n)
+        light = n <= usual + 4 * np.sqrt(usual) + 3
+        level = np.where(light, 0, 1 + 2 * logs) if at * SLICE < BUCKETS else np.round(4 * logs)
+        arrays = [pa.array([at], pa.int32()), pa.array([int(n.sum())]), pa.array([level.astype(np.uint8).tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["slice", "n", "levels"])
+
+
+def corpus_levels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(levels, common): level of each sketch bucket of tokens, 0 for a light one; how common the words of each bucket are, four
+    times the logarithm of their share, 0 for rare ones.
+
+    Any levels give a right order as long as all tasks use the same. The counts of all tasks are added up: a token that every
+    thousandth document holds stands out in none of many tasks. One byte a bucket comes back, whatever the corpus.
     """
-    heavy = docs.select("text").mapInArrow(_sketch, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = heavy.toPandas()
-    levels = np.zeros(BUCKETS, dtype=np.uint8)
-    levels[rows["bucket"].to_numpy(dtype=np.int64)] = 1 + 2 * np.log2(rows["n"].to_numpy(dtype=np.float64))
-    return levels
+    counted = docs.select("text").mapInArrow(_sketch, "slice int, counts binary")
+    levels, words = np.zeros(BUCKETS + WORD_BUCKETS, dtype=np.uint8), 0
+    for row in counted.repartition("slice").mapInArrow(_levels, "slice int, n bigint, levels binary").collect():
+        levels[row["slice"] * SLICE :][:SLICE] = np.frombuffer(row["levels"], dtype=np.uint8)
+        words += row["n"] if row["slice"] * SLICE >= BUCKETS else 0
+    common = np.maximum(levels[BUCKETS:] + 4 * (RARE - np.log2(max(words, 1))), 0).astype(np.uint8)
+    return levels[:BUCKETS].copy(), common
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -206,9 +273,9 @@ def overlap_bound(a: bytes, b: bytes) -> int:
     return 1 << 60 if full else int(np.minimum(x, y).sum())
 
 
-def _describe(levels: np.ndarray) -> Callable:
+def _describe(levels: np.ndarray, common: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, part, rows = Shingler(), TaskContext.get().partitionId(), 0
+        shingler, part, rows = Shingler(common), TaskContext.get().partitionId(), 0
         met: dict[bytes, int] = {}  # one entry per different text of this task
         for batch, texts in _texts(batches):
             ends, tokens = shingler.sets(texts)
@@ -241,12 +308,15 @@ def _describe(levels: np.ndarray) -> Callable:
     return run
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
-    for batch, texts in _texts(batches):
-        ends, tokens = shingler.sets(texts)
-        raw = [tokens[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(raw, pa.binary())], names=["cid", "tokens"])
+def _whole_sets(common: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(common)
+        for batch, texts in _texts(batches):
+            ends, tokens = shingler.sets(texts)
+            raw = [tokens[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(raw, pa.binary())], names=["cid", "tokens"])
+
+    return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -338,25 +408,41 @@ def _sizes_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from group.filter(pa.array(keep)).combine_chunks().to_batches()
 
 
+def _possible(n: np.ndarray, sig: list[bytes], seeking: np.ndarray) -> np.ndarray:
+    """Which members have a partner that the signatures leave possible; looked for as long as one of the two is ``seeking``."""
+    met, place = ~seeking, np.arange(len(n))
+    for i in np.flatnonzero(seeking).tolist():
+        for j in np.flatnonzero(_fits(n[i], n) & (~seeking | (place < i))).tolist():
+            if met[i] and met[j]:
+                continue
+            bound = overlap_bound(sig[i], sig[j])
+            if DEN * bound >= NUM * (int(n[i] + n[j]) - bound):
+                met[i] = met[j] = True
+    return met
+
+
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of one-block groups whose signature leaves a partner possible; all members of larger groups."""
+    """Members of a block, with whether the signature leaves a partner in it possible; those of one-block groups only if so."""
     for group in _groups(batches, ["leader", "block"]):
         n = group.column("n").to_numpy()
-        keep = np.ones(len(n), dtype=bool)
+        met = _possible(n, group.column("sig").to_pylist(), np.ones(len(n), dtype=bool))
+        out = group.select(["leader", "block", "blocks", "cid", "n"]).append_column("met", pa.array(met))
         if group.column("blocks")[0].as_py() == 1:
-            sig = group.column("sig").to_pylist()
-            keep[:] = False
-            for i in range(len(n)):
-                for j in np.flatnonzero(_fits(n[i], n[:i])).tolist():
-                    if keep[i] and keep[j]:
-                        continue
-                    bound = overlap_bound(sig[i], sig[j])
-                    if DEN * bound >= NUM * (int(n[i] + n[j]) - bound):
-                        keep[i] = keep[j] = True
-        out = group.filter(pa.array(keep)).select(["leader", "block", "blocks", "cid", "n"])
+            out = out.filter(pa.array(met))
         yield from out.combine_chunks().to_batches()
 
 
+def _partners_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of large groups that had no possible partner in their block and have one in another."""
+    for group in _groups(batches, ["leader", "pair"]):
+        group = group.combine_chunks()
+        seeking = group.column("seeking").to_numpy(zero_copy_only=False)
+        if not seeking.any():
+            continue
+        found = _possible(group.column("n").to_numpy(), group.column("sig").to_pylist(), seeking)
+        yield from group.filter(pa.array(found & seeking)).select(["leader", "cid"]).combine_chunks().to_batches()
+
+
 def _link(levels: np.ndarray, keys: list[str]) -> Callable:
     """Edges ``(a, b)`` that join the roots of linked sets of a block: to the smallest root reached in it."""
 
@@ -439,6 +525,45 @@ def _cross_blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.select("leader", "cid", "root", F.explode(F.when(is_main, with_main).otherwise(with_rest)).alias("pair"))
 
 
+def _possible_members(fitting: DataFrame, signatures: DataFrame) -> DataFrame:
+    """``(leader, block, blocks, cid, n)``: members with a partner that their signatures leave possible, in blocks again.
+
+    In a group of more than one block, a member without one in its own block looks in all others: the signatures of those that
+    look meet the signatures of every block, so that no group sends whole sets for members that are alike in a common line only."""
+    names = "leader bigint, block int, blocks bigint, cid bigint, n bigint, met boolean"
+    tried = write_table(_by_block(fitting.join(signatures, "cid"), ["leader", "block"]).mapInArrow(_partners, names), "members-tried")
+    large = tried.where(F.col("blocks") > 1)
+    looking = large.where(~F.col("met")).groupBy("leader").agg(F.count(F.lit(1)).alias("looking"))
+    looking = cut_lineage(looking.select("leader", F.ceil(F.col("looking") / BLOCK).cast("bigint").alias("parts")), "groups-that-look")
+    if looking.isEmpty():
+        return write_table(tried.where("met").drop("met"), "possible-members")
+    rows = large.join(looking, "leader")
+    blocks, parts = (F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1) for c in ("blocks", "parts"))
+    part = F.pmod(F.xxhash64(F.lit(2), F.col("cid")), F.col("parts")).cast("bigint")
+
+    def placed(of: DataFrame, pair: Column, seeking: bool) -> DataFrame:
+        return of.select("leader", "cid", "n", F.lit(seeking).alias("seeking"), F.explode(pair).alias("pair"))
+
+    seek = placed(rows.where(~F.col("met")), F.transform(blocks, lambda b: b * F.col("parts") + part), True)
+    sought = placed(rows, F.transform(parts, lambda s: F.col("block") * F.col("parts") + s), False)
+    # one that looks, and is in the block that it looks in, comes once
+    pairs = seek.unionByName(sought).groupBy("leader", "pair", "cid", "n").agg(F.max("seeking").alias("seeking"))
+    pairs = write_table(pairs, "pairs-to-look-in").join(signatures, "cid")
+    found = _by_block(pairs, ["leader", "pair"]).mapInArrow(_partners_across, "leader bigint, cid bigint").distinct()
+    found = write_table(found, "members-found-across")
+    possible = tried.join(found.withColumn("across", F.lit(True)), ["leader", "cid"], "left").where(F.col("met") | F.col("across"))
+    possible = write_table(possible.select("leader", "cid", "n"), "possible-members")
+    return write_table(_in_blocks(possible), "possible-members-in-blocks")
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """``(leader, block, blocks, cid, n)`` of the groups of more than one member."""
+    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")).where(F.col("members") > 1)
+    sizes = sizes.select("leader", _blocks_for(F.col("members"), F.col("tokens")).alias("blocks"))
+    blocked = members.join(cut_lineage(sizes, "group-sizes"), "leader").withColumn("block", _block_of(F.col("cid"), F.col("blocks")))
+    return blocked.select("leader", "block", "blocks", "cid", "n")
+
+
 def _number_classes(described: DataFrame, found: DataFrame) -> DataFrame:
     """``(rid, cid, doc_id, text_id, n, sig)`` of the rows that are in a group: the smallest row of a set names it."""
     rows = described.where(F.col("sig").isNotNull()).drop("prefix")
@@ -451,11 +576,11 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(described, numbered, roots): a row per document, the class of each row in a group, a root per linked class."""
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
-    levels = token_levels(docs)
+    levels, common = corpus_levels(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     described = write_table(
         docs.mapInArrow(
-            _describe(levels),
+            _describe(levels, common),
             f"doc_id {kind}, text_id bigint, n bigint, rid bigint, h1 bigint, h2 bigint, prefix array<bigint>, sig binary",
         ),
         "described",
@@ -467,18 +592,13 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     numbered = _number_classes(described, found)
     members = write_table(found.join(numbered.select("rid", "cid", "n"), "rid").select("leader", "cid", "n").distinct(), "members")
 
-    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")).where(F.col("members") > 1)
-    sizes = sizes.select("leader", _blocks_for(F.col("members"), F.col("tokens")).alias("blocks"))
-    blocked = members.join(cut_lineage(sizes, "group-sizes"), "leader").withColumn("block", _block_of(F.col("cid"), F.col("blocks")))
     one = numbered.where(F.col("rid") == F.col("cid"))
     names = "leader bigint, block int, blocks bigint, cid bigint, n bigint"
-    sized = blocked.select("leader", "block", "blocks", "cid", "n")
-    fitting = write_table(_by_block(sized, ["leader", "block"]).mapInArrow(_sizes_fit, names), "members-of-fitting-size")
-    signed = fitting.join(one.select("cid", "sig"), "cid")
-    members = write_table(_by_block(signed, ["leader", "block"]).mapInArrow(_partners, names), "possible-members")
+    fitting = write_table(_by_block(_in_blocks(members), ["leader", "block"]).mapInArrow(_sizes_fit, names), "members-of-fitting-size")
+    members = _possible_members(fitting, one.select("cid", "sig"))
 
     wanted = one.join(members.select("cid").distinct(), "cid").select("doc_id", "text_id", "cid")
-    sets = _texts_of(docs, wanted).mapInArrow(_whole_sets, "cid bigint, tokens binary")
+    sets = _texts_of(docs, wanted).mapInArrow(_whole_sets(common), "cid bigint, tokens binary")
     sets = write_table(sets, "sets").dropDuplicates(["cid"])  # rows that repeat id and text
 
     blocks = members.join(sets, "cid").withColumn("root", F.col("cid"))

@@ -131,3 +131,51 @@ def test_prefix_is_the_smallest_keys_of_every_set():
         key = {t: (int(levels[t]), int(J._mix(J.np.array([t ^ J.ORDERS[1]], dtype=J.np.uint64))[0])) for t in s}
         want = sorted(s, key=key.get)[: int(J.prefix_length(J.np.array([len(s)]))[0])]
         assert sorted(token[owner == i].tolist()) == sorted(want)
+
+
+def strangers(n: int, shared: str, at: int = 0) -> list[tuple]:
+    """Texts of words of their own, alike in one line."""
+    return [(i, " ".join(f"d{i}w{j}" for j in range(60)) + "\n" + shared, None, 1) for i in range(at, at + n)]
+
+
+def line(name: str, words: int) -> str:
+    return " ".join(f"{name}{i}" for i in range(words))
+
+
+def test_large_groups_send_whole_sets_of_possible_partners_only(spark, monkeypatch):
+    copies = near_copies(1, 12, seed=2)
+    rows = [r for k in range(20) for r in strangers(3, line(f"k{k}n", 12), at=10000 + 3 * k)] + copies
+    want = sorted(jaccard_answer([r[:2] for r in rows]), key=repr)
+    sent, texts_of = [], J._texts_of
+    monkeypatch.setattr(J, "_texts_of", lambda docs, wanted: sent.append(wanted.count()) or texts_of(docs, wanted))
+    monkeypatch.setattr(J, "BLOCK", 2)
+    assert answer(spark, rows) == want
+    assert sent[0] <= len(copies)  # strangers in groups of two blocks went too, as whole sets
+
+
+def test_partners_in_other_blocks_are_found(spark, monkeypatch):
+    some = strangers(40, line("common", 40))
+    rows = some + [(100 + i, t + " changed", None, 1) for i, t, *_ in some[::9]]
+    monkeypatch.setattr(J, "BLOCK", 3)
+    assert answer(spark, rows) == sorted(jaccard_answer([r[:2] for r in rows]), key=repr)
+
+
+def test_a_line_that_no_task_holds_often_is_no_prefix(spark, monkeypatch):
+    rows = strangers(48, line("common", 20))
+    found, number = [], J._number_classes
+    monkeypatch.setattr(J, "_number_classes", lambda described, by_leader: found.append(by_leader.count()) or number(described, by_leader))
+    df = spark.createDataFrame(rows, SCHEMA).repartitionByRange(24, "doc_id")
+    assert J.similarity_components(df).select("component_id").distinct().count() == 48
+    assert found == [0]
+
+
+def test_tokens_of_rare_words_come_first():
+    common = J.np.zeros(J.WORD_BUCKETS, dtype=J.np.uint8)
+    often, rare = [f"of{i}" for i in range(30)], [f"seldom{i}" for i in range(30)]
+    common[(J._words([" ".join(often)])[0] & J._U(J.WORD_BUCKETS - 1)).astype(int)] = 40
+    levels = J.np.zeros(J.BUCKETS, dtype=J.np.uint8)
+    shingler = J.Shingler(common)
+    _, first = J.prefixes(*shingler.sets([" ".join(often + rare)]), levels, J.ORDERS[0])
+    _, of_rare = shingler.sets([" ".join(rare)])
+    assert len(first) and set(first.tolist()) <= set(of_rare.tolist())
+    assert set(of_rare.tolist()) <= set(shingler.sets([" ".join(often + rare)])[1].tolist())  # by the shingle, not the text
